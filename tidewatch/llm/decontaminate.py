@@ -158,3 +158,19 @@ def _find(docs: DataFrame, wanted: list[str], width: int) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP4_SQL = f"""
+with b as (select item_id, {_WORDS} w from benchmark),
+i as (select distinct item_id, unnest(list_transform(range(greatest(1, len(w) - 9)), lambda k: array_to_string(w[k + 1:k + 10], ' '))) x, least(10, len(w)) n
+    from b where len(w) > 0),
+d as (select doc_id, {_WORDS} w from documents),
+p as (select doc_id, n, unnest(range(len(w) - n + 1)) k, w from d, (select distinct n from i)),
+h as (select distinct doc_id, k, n, item_id from (select doc_id, n, k, array_to_string(w[k + 1:k + n], ' ') x from p) join i using (n, x)),
+g as (select doc_id, count(distinct place) n_hit from (select doc_id, unnest(range(k, k + n)) place from h) group by doc_id),
+l as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item_id::varchar item from h) group by doc_id)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+    sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join g using (doc_id) left join l using (doc_id)
+"""

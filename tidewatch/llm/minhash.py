@@ -175,3 +175,21 @@ def _links(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
+
+
+# Pairs by a common shingle, so fit for small tables only.
+OP7_SQL = """
+with recursive d as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') w from documents),
+s as (select doc_id, list_distinct(list_transform(range(greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) s
+    from d where len(w) > 0),
+t as (select doc_id, len(s) n, unnest(s) x from s),
+p as (select a.doc_id a, b.doc_id b, a.n an, b.n bn, count(*) c from t a join t b using (x) where a.doc_id < b.doc_id group by all),
+l as (select a, b from p where 100 * c >= 75 * (an + bn - c)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, low) as (select doc_id, doc_id from d union select e.b, r.low from r join e on e.a = r.doc_id),
+m as (select doc_id, min(low) low from r group by doc_id)
+select d.doc_id, coalesce(len(s.s), 0)::bigint n_shingles, m.low component_id, d.doc_id = m.low kept
+from d left join s using (doc_id) join m on m.doc_id = d.doc_id
+"""

@@ -75,9 +75,18 @@ def pieces(docs: DataFrame, path: str | None = None, room: int = ROOM, end: int
 def patterns(count: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths of a sequence, how many such sequences)] that use up count, pieces by length.
 
-    From the longest length down, its gap is filled exactly by one, two or three lengths that are still there; the
-    combinations are looked up by their sums, and each is consumed as often as the counts allow. What finds no exact
-    complement goes best-fit, in bulk, into the sequences with the smallest gap that holds it. Its work depends on the
+    Plans that fill gaps exactly by up to three, two or one other lengths; the one with the fewest sequences. (Where
+    there are few pieces, triples can use up the short ones that would fill more gaps alone.)
+    """
+    plans = [_plan(count, room, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _plan(count: dict[int, int], room: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """From the longest length down, its gap is filled exactly by one to `most` lengths that are still there.
+
+    The combinations are looked up by their sums, and each is consumed as often as the counts allow. What finds no exact
+    complement goes best-fit, in bulk, into the sequences with the smallest gap that holds it. The work depends on the
     number of different lengths, not on the number of pieces.
     """
     have = np.zeros(room + 1, np.int64)
@@ -87,7 +96,7 @@ def patterns(count: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, .
     have[room] = 0
     for top in range(room - 1, 0, -1):
         while have[top]:
-            combo = _complement(have, top, room - top)
+            combo = _complement(have, top, room - top, most)
             if combo is None:
                 break
             lengths, times = np.unique((top, *combo), return_counts=True)
@@ -119,15 +128,19 @@ def patterns(count: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, .
     return out + [x for own in open_.values() for x in own]
 
 
-def _complement(have: np.ndarray, top: int, gap: int) -> tuple[int, ...] | None:
+def _complement(have: np.ndarray, top: int, gap: int, most: int) -> tuple[int, ...] | None:
     """One, two or three lengths that add up to gap and are there besides one piece of length top."""
     free = have[: gap + 1].copy()
     if top <= gap:
         free[top] -= 1
     if free[gap] > 0:
         return (gap,)
+    if most < 2:
+        return None
     if pair := _pair(free, gap):
         return pair
+    if most < 3:
+        return None
     for a in np.flatnonzero(free[: gap - 1] > 0)[::-1]:  # the longest first: short ones fill later gaps
         if 3 * a < gap:
             return None
