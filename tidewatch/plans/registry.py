@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidewatch.plans import base, features
+
+_ = features
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
