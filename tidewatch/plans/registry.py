@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import base, features
+from tidewatch.plans import base, content, features, graph, scoring
 
-_ = features
+_ = content, features, graph, scoring
 
 
 def queries() -> dict:
@@ -13,3 +13,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(base.ORACLES)
+
+
+def flagship(spark, sf_dir: str):
+    """Wallet features, scores and decisions in one plan."""
+    return base.QUERIES["policy_signals"](spark, sf_dir)
