@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The letter codes of Soundex.
 CODES = {"BFPV": "1", "CGJKQSXZ": "2", "DT": "3", "L": "4", "MN": "5", "R": "6"}
@@ -102,19 +103,19 @@ def match(query: list[str], other: list[str]) -> float:
     return min(1.0, 0.7 * sum(best) / len(best) + bonus)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf("soundex string, metaphone string, tokens array<string>")
+@F.pandas_udf(T.StructType([T.StructField("soundex", T.StringType()), T.StructField("metaphone", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType()))]))
 def sounds_udf(name: pd.Series) -> pd.DataFrame:
     rows = [plain(x) for x in name]
     main = [max(r, key=len) if r else "" for r in rows]
     return pd.DataFrame({"soundex": [soundex(m) for m in main], "metaphone": [metaphone(m) for m in main], "tokens": rows})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def match_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([match(list(x), list(y)) for x, y in zip(a, b)], dtype=float)
 
