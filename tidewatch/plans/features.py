@@ -9,6 +9,7 @@ from tidewatch.plans.base import query
 
 LAB = 24
 H, D = f.HOUR * LAB, f.DAY * LAB
+DAY_LAB = 3 * f.DAY
 
 NUMBERS = """nums as (
     select caller msisdn, ts_ms, event_id, 'voice' topic, kind = 'call_start' and callee is not null is_call, case when kind = 'call_start' then callee end callee, imei,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import base, content, features, graph, learned, scoring, serving
+from tidewatch.plans import base, content, extras, features, graph, learned, scoring, serving
 
-_ = content, features, graph, learned, scoring, serving
+_ = content, extras, features, graph, learned, scoring, serving
 
 
 def queries() -> dict:
