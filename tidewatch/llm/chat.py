@@ -178,3 +178,26 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return digests(formatted(convs.unionByName(own)))
+
+
+def _guard_sql(col: str) -> str:
+    safe = f"replace({col}, '{MARK}', '{MARK * 2}')"
+    for c in CONTROL:
+        safe = f"replace({safe}, '{c}', '{c[0]}{MARK}{c[1:]}')"
+    ends = sorted({c[:k] for c in CONTROL for k in range(2, len(c))})
+    risky = " or ".join([f"contains({col}, '{x}')" for x in (MARK, *CONTROL)] + [f"ends_with({col}, '{x}')" for x in ends])
+    return f"case when {risky} then {safe} else {col} end"
+
+
+_FRAME_SQL = " ".join(f"when '{r}' then {len(TURN) + 1 + len(a) + len(b)}" for r, (a, b) in _FRAMES.items())
+OP10_SQL = f"""
+with c as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g as (select *, {_guard_sql("text")} safe, {_guard_sql("role")} safe_role from c)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) turns_sha256,
+    (coalesce(sum(length(text)) filter (role = 'assistant'), 0))::bigint loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) loss_sha256,
+    sum(length(safe) + case role {_FRAME_SQL} else {2 * len(TURN) + 1 + len(EOS)} + length(safe_role) end)::bigint formatted_chars
+from g group by conv_id
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewatch.llm import license, topk
-from tidewatch.llm.chat import op10_chat_format
+from tidewatch.llm.chat import OP10_SQL, op10_chat_format
 from tidewatch.llm.decontaminate import OP4_SQL, op4_decontamination
 from tidewatch.llm.license import op8_license_scan
 from tidewatch.llm.lines import op6_line_dedup
@@ -26,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_kdtree_topk": topk.OP3_SQL, "op4_decontamination": OP4_SQL, "op7_minhash_dedup": OP7_SQL, "op8_license_scan": license.oracle()}
+    return {"op10_chat_format": OP10_SQL, "op3_kdtree_topk": topk.OP3_SQL, "op4_decontamination": OP4_SQL, "op7_minhash_dedup": OP7_SQL, "op8_license_scan": license.oracle()}
