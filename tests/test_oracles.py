@@ -4,19 +4,20 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidewatch.plans.registry import oracle_sql, queries
 
 # Queries that the smallest tables leave without rows.
-MAY_BE_EMPTY = {"fund_flow", "agent_phantom", "motif_bust_out", "motif_voice_sms_momo", "motif_voice_then_momo", "agent_float", "motif_sms_url", "audit_range", "cross_opco", "otp_during_call", "blocklist_check", "report_csa"}
+MAY_BE_EMPTY = {"agent_collusion", "fund_flow", "agent_phantom", "motif_bust_out", "motif_voice_sms_momo", "motif_voice_then_momo", "agent_float", "motif_sms_url", "audit_range", "cross_opco", "otp_during_call", "blocklist_check", "report_csa"}
 
 
 def rows(df):
     cols = sorted(df.columns)
 
     def cell(z):
-        if z is None or z != z:
+        if pd.isna(z):
             return "null"
         return repr(round(float(z), 6)) if isinstance(z, (int, float)) and not isinstance(z, bool) else str(z)
 
