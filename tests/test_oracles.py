@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives."""
 
 import glob
+import numbers
 import os
 
 import duckdb
@@ -19,7 +20,7 @@ def rows(df):
     def cell(z):
         if pd.isna(z):
             return "null"
-        return repr(round(float(z), 6)) if isinstance(z, (int, float)) and not isinstance(z, bool) else str(z)
+        return repr(round(float(z), 6)) if isinstance(z, numbers.Real) and not isinstance(z, bool) else str(z)
 
     return cols, sorted(tuple(cell(z) for z in r) for r in df[cols].itertuples(index=False))
 
