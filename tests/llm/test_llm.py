@@ -249,7 +249,9 @@ def test_within_equals_edit_distance(spark):
             assert row["w"] == (edit_distance(row["a"], row["b"]) <= k)
 
 
-def test_near_lines_lose_no_pair(spark):
+@pytest.mark.parametrize("hot", [64, 0])
+def test_near_lines_lose_no_pair(spark, monkeypatch, hot):
+    monkeypatch.setattr(lines, "HOT", hot)
     r = random.Random(9)
     base = ["".join(r.choice("abcde fgh") for _ in range(r.randint(20, 45))) for _ in range(30)]
     own = set(base)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import connected_components, materialize, table
+from tidewatch.llm.common import connected_components, materialize, size_within, table
 
 EDITS = 2  # edits by which near lines may differ
 SHORTEST = 20  # characters; shorter lines are always kept
+COUNTED = "etaoinshrdlcugwbfpzmvy.,"  # characters of the parity
+HOT = 64  # pairs of a key from which on they must pass the parity
+SENT = 1_000_000  # ids of candidate lines that may travel to every task (8 bytes each); more are joined by a shuffle
 
 
 def segments(length: Column, edits: int = EDITS) -> list[tuple[Column, Column]]:
@@ -23,16 +26,21 @@ def segments(length: Column, edits: int = EDITS) -> list[tuple[Column, Column]]:
     return out
 
 
+def _sided(keys: list[Column], side: int) -> Column:
+    rows = [F.struct(k.alias("key"), F.lit(side).alias("side")) for k in keys]
+    return F.array_compact(F.array(*[F.when(k.isNotNull(), r) for k, r in zip(keys, rows)]))
+
+
 def _key(i: int, length: Column, part: Column) -> Column:
     return F.xxhash64(F.lit(i), length, part)
 
 
-def index_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
+def index_keys(line: Column, length: Column, edits: int = EDITS) -> list[Column]:
     """A key for each segment: its number, the line's length and the characters."""
-    return F.array(*[_key(i, length, F.substring(line, at, own)) for i, (at, own) in enumerate(segments(length, edits))])
+    return [_key(i, length, F.substring(line, at, own)) for i, (at, own) in enumerate(segments(length, edits))]
 
 
-def probe_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
+def probe_keys(line: Column, length: Column, edits: int = EDITS) -> list[Column]:
     """Keys of the substrings of a line that can equal a segment of a line that is as long or shorter.
 
     If a line has no more edits than the threshold, some segment stands whole at a shift that both the edits before it
@@ -45,7 +53,7 @@ def probe_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
                 if abs(shift) <= i and abs(shift - less) <= edits - i:
                     key = _key(i, length - less, F.substring(line, at + shift, own))
                     out.append(F.when((at + shift >= 1) & (at + shift + own - 1 <= length), key))
-    return F.array_compact(F.array(*out))
+    return out
 
 
 def within(x: str = "x", y: str = "y", edits: int = EDITS) -> Column:
@@ -74,23 +82,53 @@ def _lines(docs: DataFrame, shortest: int) -> DataFrame:
     return own.withColumns({"id": F.xxhash64("line"), "other": F.xxhash64(F.lit(1), "line")})
 
 
-def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(src, dst): ids of different lines within so many edits, each pair once."""
+def parity(line: Column) -> Column:
+    """A bit for each of some characters: whether a line has an odd number of them. An edit changes two bits at most."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(COUNTED):
+        odd = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(1)
+        out = out.bitwiseOR(F.shiftleft(odd.cast("long"), i))
+    return out
+
 
-    def keyed(keys: Column) -> DataFrame:
-        return lines.select("id", F.explode(keys).alias("key")).repartition("key").dropDuplicates(["key", "id"])
+def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(src, dst): ids of different lines within so many edits, each pair once.
 
-    length = F.col("length")
-    index, probe = keyed(index_keys(F.col("line"), length, edits)), keyed(probe_keys(F.col("line"), length, edits))
-    pairs = index.alias("i").join(probe.alias("p"), F.expr("i.key = p.key and i.id <> p.id"))
-    pairs = materialize(pairs.select(F.least("i.id", "p.id").alias("src"), F.greatest("i.id", "p.id").alias("dst")).distinct(), "pairs")
-    wanted = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
-    texts = materialize(lines.select("id", "line").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    Segments and probes of a key come from one pass and one shuffle. Most keys belong to one line and go at once; of the
+    rest little is left. Where a key would make many pairs, the lines' parities are worked out and stand in the join, so
+    that pairs whose parities are too far apart are not made, even where thousands of lines share a segment.
+    """
+    length, line = F.col("length"), F.col("line")
+    keyed = F.concat(_sided(index_keys(line, length, edits), 1), _sided(probe_keys(line, length, edits), 2))
+    dealt = lines.select("id", F.explode(keyed).alias("k")).select("id", "k.*").repartition("key")
+    live = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("side").alias("one"), F.max("side").alias("two")).where("low <> high and one <> two")
+    met = dealt.join(live.select("key").hint("shuffle_hash"), "key").groupBy("key", "id").agg(F.max(F.expr("side = 1")).alias("held"), F.max(F.expr("side = 2")).alias("asks"))
+    met = materialize(met, "met")
+    load = met.groupBy("key").agg((F.count_if("held") * F.count_if("asks")).alias("load"))
+    met = met.join(load, "key")
+    few, many = met.where(F.col("load") <= HOT), met.where(F.col("load") > HOT)
+    pairs = _pairs(few, F.lit(True))
+    if not many.isEmpty():
+        odd = _of(lines, many.select("id").distinct()).groupBy("id").agg(F.first("line").alias("line")).select("id", parity(line).alias("odd"))
+        pairs = pairs.unionByName(_pairs(many.join(materialize(odd, "odd"), "id"), F.expr(f"bit_count(i.odd ^ p.odd) <= {2 * edits}")))
+    pairs = materialize(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    texts = materialize(_of(lines, wanted).groupBy("id").agg(F.first("line").alias("line")), "texts")
     split = texts.select("id", F.split("line", "").alias("chars"))
     both = pairs.join(split.withColumnsRenamed({"id": "src", "chars": "x"}), "src").join(split.withColumnsRenamed({"id": "dst", "chars": "y"}), "dst")
     return materialize(both.where(within(edits=edits)).select("src", "dst"), "near")
 
 
+def _pairs(met: DataFrame, near: Column) -> DataFrame:
+    both = met.where("held").alias("i").join(met.where("asks").alias("p"), F.expr("i.key = p.key and i.id <> p.id") & near)
+    return both.select(F.least("i.id", "p.id").alias("src"), F.greatest("i.id", "p.id").alias("dst")).distinct()
+
+
+def _of(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines with these ids, sent to every task if they are few enough, else met by a shuffle."""
+    return lines.join(F.broadcast(ids) if size_within(ids, SENT) else ids, "id", "left_semi")
+
+
 def dedup(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """docs with text without its repeated lines, and n_lines, n_dropped, n_links (long).
 
