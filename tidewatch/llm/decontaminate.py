@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +14,15 @@ from tidewatch.llm.common import materialize, table
 
 WINDOW = 10  # words of a window; an item of fewer words is one window
 SHINGLE = 3  # words of a shingle, the token of the join
+PART = 1 << 20  # bytes of text that are searched together
 FEW = 200_000  # distinct shingles of all items that may travel to every task (16 bytes each)
 
 _KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
 
+PLACE = pa.struct([("shingle", pa.string()), ("p", pa.int64()), ("lo", pa.int64()), ("around", pa.list_(pa.string()))])
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of digits, letters and everything beyond ASCII, A-Z lower-cased."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_KEEP).split()
@@ -40,37 +45,86 @@ def item_windows(benchmark: DataFrame, width: int = WINDOW, shingle: int = SHING
     return benchmark.select("item_id", "text").mapInPandas(run, f"item_id {dict(benchmark.dtypes)['item_id']}, words array<string>, shingles array<string>")
 
 
-def _finder(wanted: list[str], around: int):
-    """A function over batches of documents: where the wanted shingles are, with the words around them."""
-    tables = {}
-    vocabulary = {w.encode("utf-8", "surrogatepass"): i + 1 for i, w in enumerate(sorted({w for s in wanted for w in s.split(" ")}))}
-    base = np.int64(len(vocabulary) + 1)
-    for s in wanted:
-        ids = [vocabulary[w.encode("utf-8", "surrogatepass")] for w in s.split(" ")]
-        code = 0
-        for x in ids:
-            code = code * int(base) + x
-        tables.setdefault(len(ids), {})[code] = s
-    codes = {k: np.array(sorted(v), np.int64) for k, v in tables.items()}
-
-    def run(w: list[bytes]):
-        ids = np.fromiter((vocabulary.get(x, 0) for x in w), np.int64, len(w))
-        if not ids.any():
-            return
-        for k, own in codes.items():
-            if len(ids) < k:
+def chunks(batches):
+    """(texts, bytes of them all in small letters with one blank for every other byte, where each starts) in parts of about a MB."""
+    for batch in batches:
+        text = batch.column(batch.schema.get_field_index("text"))
+        text = text.cast("binary") if text.type != "binary" else text
+        if not len(text):
+            continue
+        cuts = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+        data = memoryview(text.buffers()[2] or b"")
+        first = 0
+        while first < len(text):
+            last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + PART, side="right")) - 1)
+            yield batch.slice(first, last - first), bytes(data[cuts[first] : cuts[last]]).translate(_KEEP), cuts[first : last + 1] - cuts[first]
+            first = last
+
+
+class Finder:
+    """Where wanted shingles are in texts, by arrays: words get their ids from a polynomial hash of their bytes."""
+
+    def __init__(self, wanted: list[str]):
+        vocabulary = sorted({w for s in wanted for w in s.split(" ")})
+        hashes = np.array([self.hashes(*self.spans(w.encode("utf-8", "surrogatepass"), np.array([0])))[0] for w in vocabulary], np.uint64)
+        order = np.argsort(hashes)
+        self.known, ids, self.base = hashes[order], {vocabulary[i]: k + 1 for k, i in enumerate(order)}, len(vocabulary) + 1
+        tables: dict[int, dict[int, str]] = {}
+        for s in wanted:
+            code = 0
+            for w in s.split(" "):
+                code = code * self.base + ids[w]
+            tables.setdefault(s.count(" ") + 1, {})[code] = s
+        self.codes = {k: np.array(sorted(t), np.int64) for k, t in tables.items()}
+        self.names = {k: [t[c] for c in sorted(t)] for k, t in tables.items()}
+
+    @staticmethod
+    def spans(raw: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes, and where words start and end; a word ends with its text."""
+        b = np.frombuffer(raw, np.uint8)
+        word = np.concatenate(([False], b != 0x20, [False]))
+        first = word[1:-1] & ~word[:-2]
+        inner = cuts[(cuts > 0) & (cuts < len(b))]
+        first[inner] = word[1:-1][inner]
+        last = word[1:-1] & ~word[2:]
+        last[inner - 1] = word[1:-1][inner - 1]
+        return b, np.flatnonzero(first), np.flatnonzero(last) + 1
+
+    @staticmethod
+    def hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        size = ends - starts
+        own = b[b != 0x20].astype(np.uint64)
+        first = np.cumsum(size) - size
+        place = np.arange(len(own)) - np.repeat(first, size)
+        power = np.full(int(size.max()) + 1, 0x9E3779B97F4A7C15, np.uint64)
+        with np.errstate(over="ignore"):
+            power = np.cumprod(power)
+            return np.add.reduceat((own + np.uint64(1)) * power[place], first)
+
+    def find(self, raw: bytes, cuts: np.ndarray):
+        """(starts, ends, text of each word, [(shingle words, place of the first word, index of the shingle)])."""
+        b, starts, ends = self.spans(raw, cuts)
+        text = np.searchsorted(cuts, starts, side="right") - 1
+        h = self.hashes(b, starts, ends)
+        at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
+        ids = np.where(self.known[at] == h, at + 1, 0).astype(np.int64) if len(self.known) else np.zeros(len(h), np.int64)
+        found = []
+        for k, codes in self.codes.items():
+            n = len(ids) - k + 1
+            if n < 1:
                 continue
-            code, known = np.zeros(len(ids) - k + 1, np.int64), np.ones(len(ids) - k + 1, bool)
+            p = np.flatnonzero((ids[:n] > 0) & (ids[k - 1 :] > 0) & (text[:n] == text[k - 1 :]))
+            for j in range(1, k - 1):
+                p = p[ids[p + j] > 0]
+            code = np.zeros(len(p), np.int64)
             for j in range(k):
-                part = ids[j : len(ids) - k + 1 + j]
-                code = code * base + part
-                known &= part > 0
-            at = np.flatnonzero(known)
-            at = at[np.isin(code[at], own)]
-            for p in at.tolist():
-                yield tables[k][int(code[p])], p, max(0, p - around), w[max(0, p - around) : p + around + k]
-
-    return run
+                code = code * self.base + ids[p + j]
+            i = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            hit = codes[i] == code
+            found.append((k, p[hit], i[hit]))
+        return starts, ends, text, found
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -129,31 +183,39 @@ def _count(docs: DataFrame, wanted: list[str]) -> DataFrame:
     """How often each of these shingles occurs in all documents: shingle, often."""
 
     def run(batches):
-        find, n = _finder(wanted, 0), {}
-        for pdf in batches:
-            for text in pdf["text"]:
-                for s, *_ in find(words(text)):
-                    n[s] = n.get(s, 0) + 1
-        yield pd.DataFrame({"shingle": list(n), "n": list(n.values())})
+        finder = Finder(wanted)
+        n = {k: np.zeros(len(c), np.int64) for k, c in finder.codes.items()}
+        for _, raw, cuts in chunks(batches):
+            for k, _, i in finder.find(raw, cuts)[3]:
+                n[k] += np.bincount(i, minlength=len(n[k]))
+        rows = [(finder.names[k][i], int(n[k][i])) for k in n for i in np.flatnonzero(n[k])]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], "string"), pa.array([x for _, x in rows], "int64")], ["shingle", "n"])
 
-    return docs.select("text").mapInPandas(run, "shingle string, n long").groupBy("shingle").agg(F.sum("n").alias("often"))
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "shingle string, n long").groupBy("shingle").agg(F.sum("n").alias("often"))
 
 
 def _find(docs: DataFrame, wanted: list[str], width: int) -> DataFrame:
     """doc_id, row (hash of the text), n_words, near: each place of a wanted shingle with the words around it."""
+    around = width - 1
 
     def run(batches):
-        find = _finder(wanted, width - 1)
-        for pdf in batches:
-            n, near = [], []
-            for text in pdf["text"]:
-                w = words(text)
-                n.append(len(w))
-                near.append([{"shingle": s, "p": p, "lo": lo, "around": [x.decode("utf-8", "surrogatepass") for x in own]} for s, p, lo, own in find(w)])
-            yield pdf.assign(n_words=n, near=near)[["doc_id", "row", "n_words", "near"]]
+        finder = Finder(wanted)
+        for batch, raw, cuts in chunks(batches):
+            starts, ends, text, found = finder.find(raw, cuts)
+            n = np.bincount(text, minlength=batch.num_rows)
+            first = np.cumsum(n) - n
+            near: list[list] = [[] for _ in range(batch.num_rows)]
+            for k, places, names in found:
+                for p, i in zip(places.tolist(), names.tolist()):
+                    t = int(text[p])
+                    lo, hi = max(int(first[t]), p - around), min(int(first[t] + n[t]), p + around + k)
+                    own = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
+                    near[t].append({"shingle": finder.names[k][i], "p": p - int(first[t]), "lo": lo - int(first[t]), "around": own})
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("row")), pa.array(n, "int64"), pa.array(near, pa.list_(PLACE))], ["doc_id", "row", "n_words", "near"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.withColumn("row", F.xxhash64("text")).mapInPandas(run, f"doc_id {kind}, row long, n_words long, near array<struct<shingle: string, p: long, lo: long, around: array<string>>>")
+    held = docs.select("doc_id", F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("text"))
+    return held.mapInArrow(run, f"doc_id {kind}, row long, n_words long, near array<struct<shingle: string, p: long, lo: long, around: array<string>>>")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
