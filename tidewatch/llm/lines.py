@@ -27,8 +27,7 @@ def segments(length: Column, edits: int = EDITS) -> list[tuple[Column, Column]]:
 
 
 def _sided(keys: list[Column], side: int) -> Column:
-    rows = [F.struct(k.alias("key"), F.lit(side).alias("side")) for k in keys]
-    return F.array_compact(F.array(*[F.when(k.isNotNull(), r) for k, r in zip(keys, rows)]))
+    return F.array(*[F.struct(k.alias("key"), F.lit(side).alias("side")) for k in keys])
 
 
 def _key(i: int, length: Column, part: Column) -> Column:
@@ -100,7 +99,7 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """
     length, line = F.col("length"), F.col("line")
     keyed = F.concat(_sided(index_keys(line, length, edits), 1), _sided(probe_keys(line, length, edits), 2))
-    dealt = lines.select("id", F.explode(keyed).alias("k")).select("id", "k.*").repartition("key")
+    dealt = lines.select("id", F.explode(keyed).alias("k")).select("id", "k.*").where("key is not null").repartition("key")
     live = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("side").alias("one"), F.max("side").alias("two")).where("low <> high and one <> two")
     met = dealt.join(live.select("key").hint("shuffle_hash"), "key").groupBy("key", "id").agg(F.max(F.expr("side = 1")).alias("held"), F.max(F.expr("side = 2")).alias("asks"))
     met = materialize(met, "met")
@@ -114,8 +113,10 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     pairs = materialize(pairs.distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     texts = materialize(_of(lines, wanted).groupBy("id").agg(F.first("line").alias("line")), "texts")
+    odd = materialize(texts.select("id", parity(line).alias("odd")), "odd")
+    pairs = pairs.join(odd.withColumnsRenamed({"id": "src", "odd": "a"}), "src").join(odd.withColumnsRenamed({"id": "dst", "odd": "b"}), "dst").where(f"bit_count(a ^ b) <= {2 * edits}")
     split = texts.select("id", F.split("line", "").alias("chars"))
-    both = pairs.join(split.withColumnsRenamed({"id": "src", "chars": "x"}), "src").join(split.withColumnsRenamed({"id": "dst", "chars": "y"}), "dst")
+    both = pairs.select("src", "dst").join(split.withColumnsRenamed({"id": "src", "chars": "x"}), "src").join(split.withColumnsRenamed({"id": "dst", "chars": "y"}), "dst")
     return materialize(both.where(within(edits=edits)).select("src", "dst"), "near")
 
 
