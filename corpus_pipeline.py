@@ -30,15 +30,32 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, that with the smallest doc_id."""
-    kept = minhash.components(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left_semi")
+    """One document of each component of near duplicates, that with the smallest doc_id (ties: by a hash of its text).
+
+    A document is a doc_id with a text: rows equal in both stay or go together, texts that share a doc_id are compared
+    like any others. Rows without a doc_id take no part and all stay.
+    """
+    names = docs.withColumns({"__id": F.col("doc_id"), "__row": _row()})
+    order = names.where("__id is not null").select("__id", "__row").distinct().orderBy("__id", "__row")
+    # numbers that rise with doc_id, one for each document
+    order = materialize(order.withColumn("__n", F.monotonically_increasing_id()), "numbers")
+    own = names.withColumnsRenamed({"__id": "__a", "__row": "__b"}).join(order.hint("shuffle_hash"), F.expr("__a = __id and __b = __row"), "left")
+    own = materialize(own.select(*docs.columns, "__n"), "numbered")
+    kept = minhash.components(own.select(F.col("__n").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    out = own.where("__n is not null").join(kept.hint("shuffle_hash"), F.col("__n") == F.col("__kept"), "left_semi")
+    return out.unionByName(own.where("__n is null")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    hit = decontaminate.hits(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left_anti")
+    """Documents without any window of a benchmark item. Rows are told apart by doc_id, null or not, and text."""
+    hit = decontaminate.row_hits(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    names = docs.withColumn("__own", _row())
+    return names.join(hit.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__row")), "left_anti").select(*docs.columns)
+
+
+def _row():
+    """The hash that tells rows of one doc_id apart; no text counts as an empty one, as in the operators."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

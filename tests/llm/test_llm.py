@@ -405,3 +405,18 @@ def test_pipeline_stages(spark, small):
 
 def test_held_out_is_by_crc(spark):
     assert [r[0] for r in frame(spark, [(7, ""), (123, "")]).select(crc()).collect()] == [zlib.crc32(b"7"), zlib.crc32(b"123")]
+
+
+def test_pipeline_keeps_rows_apart(spark, tmp_path):
+    import corpus_pipeline as p
+
+    a, b, c, item = (" ".join(words(60, seed)) for seed in (31, 32, 33, 34))
+    frame(spark, [(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, a), (None, a + " more"), (None, None), (1, a), (2, a + " more"), (2, b), (3, b + " more"), (4, c), (4, c + " more"), (5, None), (5, "")]
+    got = [tuple(r) for r in p.drop_near(spark, frame(spark, rows), str(tmp_path)).collect()]
+    both = [r for r in got if r[0] == 4]
+    want = [(None, a), (None, a + " more"), (None, None), (1, a), (2, b), (5, None), (5, "")]
+    assert len(both) == 1 and both[0] in rows and sorted(map(str, got)) == sorted(map(str, want + both))
+    rows = [(None, item), (None, a), (None, None), (7, b + " " + item), (7, b), (7, None)]
+    got = [tuple(r) for r in p.drop_leaks(spark, frame(spark, rows), str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, a), (None, None), (7, b), (7, None)]))

@@ -140,6 +140,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
     3. The place of the shingle in the window gives the window's place in the document; it must lie inside (position
     and length bounds). 4. The words there must equal the window's.
     """
+    return row_hits(docs, benchmark, width).drop("row")
+
+
+def row_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """hits() with row, the xxhash64 of the text (null as empty)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     wins = materialize(item_windows(benchmark, width), "windows")
     every = materialize(wins.select(F.explode("shingles").alias("shingle")).distinct(), "shingles")
@@ -159,10 +164,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
     owner = wins.select("words", F.col("item_id").cast("string").alias("item")).distinct()
     items = spans.select("doc_id", "row", "words").distinct().join(owner, "words").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     both = n_hit.join(items, _same(n_hit, items), "left").select(n_hit["doc_id"], n_hit["row"], "n_hit", "items")
-    out = scans[0].join(both, _same(scans[0], both), "left").select(scans[0]["doc_id"], "n_words", "n_hit", "items")
+    out = scans[0].join(both, _same(scans[0], both), "left").select(scans[0]["doc_id"], scans[0]["row"], "n_words", "n_hit", "items")
     none = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(none).cast("long").alias("n_items"),
+        "doc_id", "row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(none).cast("long").alias("n_items"),
         F.sha2(F.array_join(none, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
