@@ -136,6 +136,43 @@ def test_pii_query(spark, small):
         assert [r[f"n_{k}"] for k in pii.BASE] == [sum(x[0] == k for x in want) for k in pii.BASE]
 
 
+def test_disguised_mail_equals_the_pattern():
+    whole = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:[\[(] ?at ?[\])]| at ) ?[A-Za-z0-9-]+(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z0-9-]+)+")
+    r = random.Random(1)
+    for _ in range(4000):
+        t = "".join(r.choice(["a", "b.c", " ", "at", " at ", "(at)", "[ at ]", " dot ", "(dot)", ".", "-", "host.de", "é", "  "]) for _ in range(r.randint(0, 12)))
+        assert pii.disguised(t) == [m.span() for m in whole.finditer(t)], t
+
+
+def personal(kind, i, right=True):
+    """A text with one candidate of a kind; its checks hold or not, its format is the same."""
+    r = random.Random(f"{kind} {i}")
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    if kind == "secret":
+        return ("token = " if right else "token; ") + "".join(r.choice("0123456789abcdef") for _ in range(40))
+    if kind == "number":
+        own = "4" + d(14)
+        own += next(c for c in "0123456789" if pii.luhn(own + c) == right)
+        return "pay " + " ".join(own[k : k + 4] for k in (0, 4, 8, 12))
+    if kind == "tel":
+        return f"ask {'+1 ' if right else ''}({d(3)}) 555-{d(4)} now"
+    if kind == "mail":
+        return f"ask j{d(2)}.doe (at) host{d(1)} (dot) {'com' if right else 'zzz'} now"
+    return "from " + ":".join(f"{r.randrange(4096, 65536):x}" for _ in range(8 if right else 7)) + " now"
+
+
+def test_every_wider_kind_is_added(spark, monkeypatch):
+    rows = [(i, personal(kind, i, i % 50 > 0)) for kind in pii.WIDER for i in range(200)]
+    added = [s["kind"] for r in pii.detect(frame(spark, rows)).collect() for s in r["added"]]
+    assert {"secret", "mail", "host", "number", "tel"} == set(added) and added.count("mail") > 180 and added.count("host") > 180
+    assert pii.candidates("ask me at home.com")[0][0] == "mail" and not pii.known("ask me at home.com", "mail", 4, 18)
+    # a kind that is rare beside the sample has a threshold all the same
+    monkeypatch.setattr(pii, "SAMPLE", 100)
+    rows = [(i, personal("number", i)) for i in range(4000)] + [(i, personal("host", i, False)) for i in range(4000)] + [(i, personal("mail", i)) for i in range(40)]
+    added = [s["kind"] for r in pii.detect(frame(spark, rows)).collect() for s in r["added"]]
+    assert added.count("mail") == 40
+
+
 def test_pii_on_awkward_rows(spark):
     docs = awkward(spark).unionByName(spark.createDataFrame([(7, 'token = "a1b2c3d4e5f6a7b8c9d0e1f2" ip 1.2.3.4 +1 (212) 555-0100', 1, "x", 2, 3.0, "r", 4)], awkward(spark).schema))
     out = pii.detect(docs).collect()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ipaddress
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import materialize, table
 
-SAMPLE = 20_000  # candidates that the trees are fitted on, at most; as many again set the thresholds
+SAMPLE = 20_000  # candidates that the trees are fitted on, at most; an equal part for each kind
 PRECISION = 0.95  # of the candidates that a threshold lets through
 BASE = ("email", "ip", "card", "phone")
 WIDER = ("secret", "number", "tel", "mail", "host")
@@ -36,7 +38,16 @@ GENERATORS = (
     ("tel", re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")),
     ("host", re.compile(r"(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}")),
 )
-DISGUISED = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:[\[(] ?at ?[\])]| at ) ?[A-Za-z0-9-]+(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z0-9-]+)+")
+# Disguised mail is found from its "at".
+AT = re.compile(r" ?(?:[\[(] ?at ?[\])]| at ) ?")
+DOTTED = re.compile(r"[A-Za-z0-9-]+(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z0-9-]+)+")
+DOT = re.compile(r" ?[\[(] ?dot ?[\])] ?| dot ")
+TLDS = frozenset(
+    "com org net edu gov mil int info biz name pro io ai app dev xyz online site tech cloud shop test example invalid local "
+    "ac ad ae af ag al am ao ar at au az ba bb bd be bf bg bh bi bj bn bo br bs bt bw by bz ca cd cf cg ch ci ck cl cm cn co cr cu cv cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fm fo fr "
+    "ga ge gh gm gn gr gt gy hk hn hr ht hu id ie il in iq ir is it je jm jo jp ke kg kh ki km kr kw kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mk ml mm mn mo mr mt mu mv mw mx my mz "
+    "na ne ng ni nl no np nr nz om pa pe pg ph pk pl ps pt pw py qa ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st sv sy sz td tg th tj tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vn vu ws ye za zm zw".split()
+)
 HINTS = ("token", "secret", "key", "passw", "phone", "tel", "call", "mail", "card", "account", "iban", "id", "ip", "host")
 
 
@@ -75,14 +86,51 @@ def base(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def disguised(text: str) -> list[tuple[int, int]]:
+    """Addresses with a spelled at, as far to the left as their name goes."""
+    out, done, at = [], 0, AT.search(text)
+    while at:
+        start = at.start()
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at.start() and (m := DOTTED.match(text, at.end())):
+            out.append((start, m.end()))
+            done = m.end()
+        at = AT.search(text, max(at.start() + 1, done))
+    return out
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     out = []
-    if DIGIT.search(text):
-        for kind, pattern in GENERATORS:
+    digit = DIGIT.search(text)
+    for kind, pattern in GENERATORS:
+        if digit or kind == "host":
             out += [(kind, *m.span()) for m in pattern.finditer(text) if kind != "secret" or DIGIT.search(m[0])]
-    if "(at" in text or "[at" in text or "( at" in text or "[ at" in text or " dot " in text:
-        out += [("mail", *m.span()) for m in DISGUISED.finditer(text)]
-    return out
+    return out + [("mail", a, b) for a, b in disguised(text)]
+
+
+def known(text: str, kind: str, start: int, end: int) -> bool:
+    """Whether what the trees do not see shows a candidate to be right: the name of a secret before it, a real top-level
+    domain behind a marked at or dot (or after a word for mail), an address that parses."""
+    own, before = text[start:end], text[max(0, start - 24) : start]
+    if kind == "secret":
+        return bool(re.search(r"(?i)(token|secret|key|passw\w*)\W{0,6}$", before))
+    if kind == "mail":
+        marked = "(" in own or "[" in own or " dot " in own or re.search(r"(?i)(mail|contact|write to|reach)\W{0,6}$", before)
+        return bool(marked) and DOT.sub(".", own).rpartition(".")[2] in TLDS
+    if kind == "host":
+        groups = own.split(":")
+        if before[-1:] == ":" or before[-1:].isalnum() or text[end : end + 1] == ":" or text[end : end + 1].isalnum():
+            return False
+        return (len(groups) == 6 and all(len(g) == 2 for g in groups)) or _parses(own)
+    return False
+
+
+def _parses(address: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(address))
+    except ValueError:
+        return False
 
 
 def describe(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -95,7 +143,7 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     low = before.lower()
     return [
         float(WIDER.index(kind)), n, digits / n, upper / n, hexa / n, len(counts) / n, -sum(c / n * math.log(c / n) for c in counts.values()),
-        len(groups), max(groups), min(groups), groups[0], own.count(" "), own.count("-"), own.count("."), own.count("("),
+        len(groups), max(groups), min(groups), groups[0], own.count(" "), own.count("-"), own.count("."), own.count("(") + own.count("["),
         max((low.rfind(h) for h in HINTS), default=-1) + 1, float(any(c in before[-4:] for c in "=:")), float(before[-1:] in "\"'"), float(before[-1:] == "+"), float("@" in before[-12:]), float(before[-1:].isalnum()),
         float(after[:1] in "\"'"), float(after[:1].isalnum()), float(after[:1] in ".,;"), float("@" in after),
     ]
@@ -111,8 +159,7 @@ def _found(batches):
             rows = []
             for k, a, b in more:
                 covered = any(x < b and a < y for _, x, y in sure)
-                keyed = k == "secret" and bool(re.search(r"(?i)(token|secret|key|passw\w*)\W{0,6}$", text[max(0, a - 24) : a]))
-                rows.append({"kind": k, "start": a, "end": b, "covered": covered, "label": int(covered or keyed), "features": describe(text, k, a, b)})
+                rows.append({"kind": k, "start": a, "end": b, "covered": covered, "label": int(covered or known(text, k, a, b)), "features": describe(text, k, a, b)})
             out.append((named, rows))
         yield pdf.assign(base=[x for x, _ in out], more=[x for _, x in out])[["doc_id", "row", "base", "more"]]
 
@@ -125,23 +172,25 @@ def detect(docs: DataFrame) -> DataFrame:
     (ties: the earlier, then the longer). Equal rows are each searched. Where the candidates are all of one label there
     is nothing to learn from, and nothing is added. Other columns are ignored.
 
-    The trees learn from candidates whose label is known: those that lie on a base span, whose checks they do not see, or
-    behind the name of a secret. They are fitted and their thresholds set on two bounded samples by hash.
+    The trees learn from candidates whose label is known: those that lie on a base span or that known() accepts, by
+    checks that they do not see. They are fitted on a bounded sample by hash, an equal part of it for each kind. The
+    thresholds are set on all other candidates.
     """
     kind = dict(docs.dtypes)["doc_id"]
     span = "struct<kind: string, start: int, end: int>"
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     found = materialize(texts.mapInPandas(_found, f"doc_id {kind}, row long, base array<{span}>, more array<struct<kind: string, start: int, end: int, covered: boolean, label: int, features: array<double>>>"), "found")
     more = found.where("size(more) > 0").select("row", F.posexplode("more").alias("at", "x")).select("row", "at", "x.*").withColumn("vector", array_to_vector("features"))
-    part = F.pmod(F.xxhash64("features", "label"), F.lit(2))
-    fit, held = (more.where(part == i).orderBy(F.xxhash64("row", "at"), "row", "at").limit(SAMPLE) for i in (0, 1))
-    fit = materialize(fit.select("kind", "label", "features"), "fit").withColumn("vector", array_to_vector("features"))
+    order = F.xxhash64("row", "at")
+    first = [more.where((F.col("kind") == k) & (F.pmod(order, F.lit(2)) == 0)).orderBy(order, "row", "at").limit(SAMPLE // len(WIDER)) for k in WIDER]
+    fit = materialize(reduce(DataFrame.unionByName, first).select("row", "at", "label", "features"), "fit").withColumn("vector", array_to_vector("features"))
     if fit.select("label").distinct().count() < 2:
         return found.select("doc_id", "base", F.array().cast(f"array<{span}>").alias("added"))
     model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=12, maxDepth=4, seed=1).fit(fit)
     score = vector_to_array("probability")[1]
-    least = thresholds(model.transform(held).select("kind", "label", score.alias("score")))
-    rated = model.transform(more.where("not covered")).select("row", "kind", "start", "end", score.alias("score"))
+    scored = materialize(model.transform(more).select("row", "kind", "start", "end", "at", "covered", "label", score.alias("score")), "scored")
+    least = thresholds(scored.join(F.broadcast(fit.select("row", "at")), ["row", "at"], "left_anti"))
+    rated = scored.where("not covered")
     passed = F.lit(False)
     for k, t in least.items():
         passed = passed | ((F.col("kind") == k) & (F.col("score") >= t))
