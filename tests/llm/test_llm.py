@@ -318,6 +318,15 @@ def test_line_dedup(spark):
     assert lines.dedup(awkward(spark)).count() == 8
 
 
+def test_short_lines_go_if_they_repeat(spark):
+    long = "a line that is long enough for the edit join"
+    rows = [(1, f"Read more\n{long}\n\n \t\n\u5b8c"), (2, f"{long}\nRead more\nRead mores\n\n \t\nown\nown"), (3, "\u5b8c\nread more\n"), (None, "Read more\nx")]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"], r["n_links"]) for r in lines.dedup(frame(spark, rows)).collect()}
+    assert got == {
+        None: ("Read more\nx", 2, 0, 0), 1: (f"{long}\n\n \t\n\u5b8c", 5, 1, 0), 2: ("Read mores\n\n \t\nown", 7, 3, 0), 3: ("read more\n", 3, 1, 0),
+    }
+
+
 # 7: near duplicates
 
 

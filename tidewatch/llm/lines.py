@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import connected_components, materialize, size_within, table
 
 EDITS = 2  # edits by which near lines may differ
-SHORTEST = 20  # characters; shorter lines are always kept
+SHORTEST = 20  # characters; of shorter lines only equal ones are repeats
 COUNTED = "etaoinshrdlcugwbfpzmvy.,"  # characters of the parity
 HOT = 64  # pairs of a key from which on they must pass the parity
 SENT = 1_000_000  # ids of candidate lines that may travel to every task (8 bytes each); more are joined by a shuffle
@@ -136,12 +136,14 @@ def dedup(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Data
     Lines are what newlines part, taken as they are. Two lines are near if they differ by at most `edits` insertions,
     deletions or substitutions of characters (those beyond the basic plane count as two). Near and equal lines, and what
     they reach over others, form classes; of a class the first line stays, by doc_id, then place, and all others go.
-    Lines shorter than `shortest` characters always stay, empty ones too. n_links counts the different lines near to
+    Lines shorter than `shortest` characters are near to none, so their classes are equal lines; of these, lines of white
+    space and empty ones always stay. n_links counts the different lines near to
     those of a document. A null text stays null and has no lines; an empty one has a single empty line. Rows equal in
     doc_id and text count as one document. Null doc_ids come first. Other columns are kept, but for three of these names.
     """
     lines = _lines(docs, shortest)
-    places = materialize(lines.select("doc_id", "row", "n", "id", "other"), "places")
+    every = _lines(docs, 1).where((F.col("length") >= shortest) | F.col("line").rlike(r"\S"))
+    places = materialize(every.select("doc_id", "row", "n", "id", "other"), "places")
     links = near_lines(lines, edits)
     classes = connected_components(links)
     degree = links.select(F.col("src").alias("id")).unionAll(links.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
