@@ -286,13 +286,14 @@ def test_within_equals_edit_distance(spark):
             assert row["w"] == (edit_distance(row["a"], row["b"]) <= k)
 
 
-@pytest.mark.parametrize("hot", [64, 0])
-def test_near_lines_lose_no_pair(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, block", [(64, 48), (0, 48), (0, 3), (6, 4)])
+def test_near_lines_lose_no_pair(spark, monkeypatch, hot, block):
     monkeypatch.setattr(lines, "HOT", hot)
+    monkeypatch.setattr(lines, "BLOCK", block)
     r = random.Random(9)
     base = ["".join(r.choice("abcde fgh") for _ in range(r.randint(20, 45))) for _ in range(30)]
     own = set(base)
-    for t in base * 4:
+    for t in base * 4 + base[:2] * 12:
         s = list(t)
         for _ in range(r.randint(1, 3)):
             i = r.randint(0, len(s))
@@ -300,12 +301,42 @@ def test_near_lines_lose_no_pair(spark, monkeypatch, hot):
         if len(s) >= 20:
             own.add("".join(s))
     own = sorted(own)
-    docs = frame(spark, [(i, t) for i, t in enumerate(own)])
-    held = lines._lines(docs, 20)
-    ids = {row["id"]: row["line"] for row in held.select("id", "line").collect()}
-    got = {frozenset((ids[row["src"]], ids[row["dst"]])) for row in lines.near_lines(held).collect()}
+    held = lines.distinct_lines(frame(spark, [(i, t) for i, t in enumerate(own + own[:50])]), 20)
+    ids = {row["id"]: row["line"] for row in held.collect()}
+    assert sorted(ids.values()) == own
+    links, degree = lines.near_lines(held)
     want = {frozenset((a, b)) for i, a in enumerate(own) for b in own[:i] if abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2}
-    assert got == want and len(want) > 30
+    got = {frozenset((ids[row["src"]], ids[row["dst"]])) for row in links.collect()}
+    count = defaultdict(int)
+    for a, b in map(tuple, want):
+        count[a] += 1
+        count[b] += 1
+    assert {ids[row["id"]]: row["degree"] for row in degree.collect()} == count and len(want) > 30
+    assert got == want if hot == 64 else parts(got) == parts(want)
+
+
+def parts(pairs):
+    low = {}
+    find = lambda x: x if low.setdefault(x, x) == x else find(low[x])
+    for a, b in map(sorted, pairs):
+        x, y = sorted((find(a), find(b)))
+        low[y] = x
+    return {x: find(x) for x in low}
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    import corpus_pipeline as p
+
+    text = "a line that is long enough for the edit join"
+    names = ("gone", "degree", "row", "doc", "__doc", "class", "hash", "n")
+    docs = spark.createDataFrame([(1, text, *names), (2, text + "\nown", *names)], DOC + "".join(f", {n} string" for n in names))
+    got = {r["doc_id"]: r for r in lines.dedup(docs).collect()}
+    assert got[2]["text"] == "own" and all(r[n] == n for r in got.values() for n in names)
+    docs = docs.withColumns({"n_lines": F.lit("mine"), "n_dropped": F.lit("mine"), "n_links": F.lit("mine"), "n_chars": F.lit(7)})
+    out = p.drop_lines(spark, docs, "")
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert set(got) == {1, 2} and all(r[n] == "mine" for r in got.values() for n in ("n_lines", "n_dropped", "n_links")) and got[2]["n_chars"] == 3
 
 
 def test_line_dedup(spark):

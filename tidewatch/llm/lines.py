@@ -10,9 +10,12 @@ from tidewatch.llm.common import connected_components, materialize, size_within,
 EDITS = 2  # edits by which near lines may differ
 SHORTEST = 20  # characters; of shorter lines only equal ones are repeats
 COUNTED = "etaoinshrdlcugwbfpzmvy.,"  # characters of the parity
-HOT = 64  # pairs of a key from which on they must pass the parity
+HOT = 64  # pairs of a key from which on its lines are compared in blocks
+BLOCK = 48  # lines of a block, about
 SENT = 1_000_000  # ids of candidate lines that may travel to every task (8 bytes each); more are joined by a shuffle
 
+HELD, ALIKE, LONGER = 3, 2, 1  # what a line is to a key: its own segment; a probe by a line as long; by a longer line
+
 
 def segments(length: Column, edits: int = EDITS) -> list[tuple[Column, Column]]:
     """(start from 1, length) of the edits + 1 segments of a line of this length; the last ones are longer by one."""
@@ -26,36 +29,35 @@ def segments(length: Column, edits: int = EDITS) -> list[tuple[Column, Column]]:
     return out
 
 
-def _sided(keys: list[Column], side: int) -> Column:
-    return F.array(*[F.struct(k.alias("key"), F.lit(side).alias("side")) for k in keys])
-
-
-def _key(i: int, length: Column, part: Column) -> Column:
-    return F.xxhash64(F.lit(i), length, part)
-
-
-def index_keys(line: Column, length: Column, edits: int = EDITS) -> list[Column]:
-    """A key for each segment: its number, the line's length and the characters."""
-    return [_key(i, length, F.substring(line, at, own)) for i, (at, own) in enumerate(segments(length, edits))]
-
-
-def probe_keys(line: Column, length: Column, edits: int = EDITS) -> list[Column]:
-    """Keys of the substrings of a line that can equal a segment of a line that is as long or shorter.
+def probes(edits: int = EDITS) -> list[tuple[int, int, int, int]]:
+    """(side, segment, how much shorter, shift) of the substrings of a line that can equal a segment of a line as long or
+    shorter.
 
     If a line has no more edits than the threshold, some segment stands whole at a shift that both the edits before it
-    and the edits behind it allow; only these shifts are probed.
+    and the edits behind it allow; only these shifts are probed. Those without shift or difference are also the line's
+    own segments, so one key says both.
     """
     out = []
     for less in range(edits + 1):
-        for i, (at, own) in enumerate(segments(length - less, edits)):
+        for i in range(edits + 1):
             for shift in range(-edits, edits + 1):
                 if abs(shift) <= i and abs(shift - less) <= edits - i:
-                    key = _key(i, length - less, F.substring(line, at + shift, own))
-                    out.append(F.when((at + shift >= 1) & (at + shift + own - 1 <= length), key))
-    return out
+                    out.append((LONGER if less else ALIKE if shift else HELD, i, less, shift))
+    return sorted(out, key=lambda x: -x[0])
+
+
+def keys(line: Column, length: Column, edits: int = EDITS) -> Column:
+    """An array of the keys of probes(): a hash of the segment's number, the length of the line that has it and the
+    characters. Lines must have 2 * edits + 1 characters at least, so that every probe lies inside."""
+    parts = {less: segments(length - less, edits) for less in range(edits + 1)}
+    return F.array(*[F.xxhash64(F.lit(i), length - less, F.substring(line, parts[less][i][0] + shift, parts[less][i][1])) for _, i, less, shift in probes(edits)])
 
 
 def within(x: str = "x", y: str = "y", edits: int = EDITS) -> Column:
+    return F.expr(within_sql(x, y, edits))
+
+
+def within_sql(x: str = "x", y: str = "y", edits: int = EDITS) -> str:
     """Whether two arrays of characters differ by at most so many edits: a banded, bit-parallel automaton.
 
     Bit i of word r_e: the first j characters of x match the first j - edits + i of y with e edits. The words move along
@@ -71,14 +73,18 @@ def within(x: str = "x", y: str = "y", edits: int = EDITS) -> Column:
     step = f"transform(array({match}), m -> named_struct({', '.join(f"'r{e}', {own}" for e, own in enumerate(new))}))[0]"
     folded = f"aggregate(sequence(0, size({x}) - 1), struct({start}), (a, j) -> {step}, a -> a.r{edits})"
     near = f"abs(size({x}) - size({y})) <= {edits}"
-    return F.expr(f"case when not {near} then false when size({x}) = 0 or size({y}) = 0 then {near} else shiftright({folded}, size({y}) - size({x}) + {edits}) & 1 = 1 end")
+    return f"case when not {near} then false when size({x}) = 0 or size({y}) = 0 then {near} else shiftright({folded}, size({y}) - size({x}) + {edits}) & 1 = 1 end"
 
 
-def _lines(docs: DataFrame, shortest: int) -> DataFrame:
-    """doc_id, row (hash of doc_id and text), n, line, length, id and other (hashes of the line) of all lines long enough."""
-    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    own = own.withColumn("length", F.length("line")).where(F.col("length") >= shortest)
-    return own.withColumns({"id": F.xxhash64("line"), "other": F.xxhash64(F.lit(1), "line")})
+def _hashes(line: str = "line") -> list[Column]:
+    return [F.xxhash64(line).alias("hash"), F.xxhash64(F.lit(1), line).alias("other")]
+
+
+def distinct_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """id, line, length, hash, other: each different line that is long enough, once. Repeats are combined before the
+    shuffle, so a line that very many documents have is a few rows."""
+    own = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= shortest).distinct()
+    return materialize(own.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("length"), *_hashes()), "lines")
 
 
 def parity(line: Column) -> Column:
@@ -90,44 +96,78 @@ def parity(line: Column) -> Column:
     return out
 
 
-def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(src, dst): ids of different lines within so many edits, each pair once.
+def near_lines(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
+    """Links (src, dst) that connect all different lines within so many edits of each other, and (id, degree): to how many
+    lines each is near.
 
-    Segments and probes of a key come from one pass and one shuffle. Most keys belong to one line and go at once; of the
-    rest little is left. Where a key would make many pairs, the lines' parities are worked out and stand in the join, so
-    that pairs whose parities are too far apart are not made, even where thousands of lines share a segment.
+    lines: id, line, length; each line once. Segments and probes of a key come from one pass and one shuffle. Most keys
+    belong to one line and go at once. Keys with few pairs are joined. Where a key would make many pairs its lines are
+    compared in blocks, so that no row is made for a pair (_in_blocks).
     """
-    length, line = F.col("length"), F.col("line")
-    keyed = F.concat(_sided(index_keys(line, length, edits), 1), _sided(probe_keys(line, length, edits), 2))
-    dealt = lines.select("id", F.explode(keyed).alias("k")).select("id", "k.*").where("key is not null").repartition("key")
-    live = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("side").alias("one"), F.max("side").alias("two")).where("low <> high and one <> two")
-    met = dealt.join(live.select("key").hint("shuffle_hash"), "key").groupBy("key", "id").agg(F.max(F.expr("side = 1")).alias("held"), F.max(F.expr("side = 2")).alias("asks"))
-    met = materialize(met, "met")
-    load = met.groupBy("key").agg((F.count_if("held") * F.count_if("asks")).alias("load"))
-    met = met.join(load, "key")
-    few, many = met.where(F.col("load") <= HOT), met.where(F.col("load") > HOT)
-    pairs = _pairs(few, F.lit(True))
+    sides = [x[0] for x in probes(edits)]
+    side = F.when(F.col("pos") < sides.count(HELD), HELD).when(F.col("pos") < sides.count(HELD) + sides.count(ALIKE), ALIKE).otherwise(LONGER)
+    dealt = lines.select("id", keys(F.col("line"), F.col("length"), edits).alias("keys")).select("id", F.posexplode("keys").alias("pos", "key")).select("id", "key", side.cast("byte").alias("side")).repartition("key")
+    live = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("side").alias("top")).where(f"low <> high and top = {HELD}")
+    met = materialize(dealt.join(live.select("key").hint("shuffle_hash"), "key").groupBy("key", "id").agg(F.max("side").alias("side")), "met")
+    sizes = met.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("side") == HELD).alias("held"))
+    sizes = materialize(sizes.where("held > 0 and n > 1"), "sizes")
+    few = met.join(sizes.where(F.col("n") * F.col("held") <= HOT).select("key"), "key")
+    pairs = few.alias("i").join(few.alias("p"), F.expr(f"i.key = p.key and i.side = {HELD} and i.id <> p.id and (p.side = {LONGER} or i.id < p.id)"))
+    pairs = materialize(pairs.select(F.col("i.id").alias("src"), F.col("p.id").alias("dst")).distinct(), "pairs")
+    many = sizes.where(F.col("n") * F.col("held") > HOT)
+    hot = None
     if not many.isEmpty():
-        odd = _of(lines, many.select("id").distinct()).groupBy("id").agg(F.first("line").alias("line")).select("id", parity(line).alias("odd"))
-        pairs = pairs.unionByName(_pairs(many.join(materialize(odd, "odd"), "id"), F.expr(f"bit_count(i.odd ^ p.odd) <= {2 * edits}")))
-    pairs = materialize(pairs.distinct(), "pairs")
+        hot = materialize(met.join(many.select("key", "n"), "key"), "hot")
+        own = hot.groupBy("id").agg(F.collect_set(F.when(F.col("side") == HELD, F.col("key"))).alias("held"), F.collect_set("key").alias("asks"))
+        own = materialize(own.join(lines.select("id", "line"), "id").select("id", "held", "asks", parity(F.col("line")).alias("odd"), F.split("line", "").alias("chars")), "members")
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    texts = materialize(_of(lines, wanted).groupBy("id").agg(F.first("line").alias("line")), "texts")
-    odd = materialize(texts.select("id", parity(line).alias("odd")), "odd")
-    pairs = pairs.join(odd.withColumnsRenamed({"id": "src", "odd": "a"}), "src").join(odd.withColumnsRenamed({"id": "dst", "odd": "b"}), "dst").where(f"bit_count(a ^ b) <= {2 * edits}")
+    texts = lines.join(F.broadcast(wanted) if size_within(wanted, SENT) else wanted, "id", "left_semi")
+    texts = materialize(texts.select("id", "line", parity(F.col("line")).alias("odd")), "texts")
+    odd = texts.select("id", "odd")
+    if hot is not None:  # a pair that some block sees is left to it
+        odd = odd.join(own.select("id", "held", "asks"), "id", "left")
+    pairs = pairs.join(odd.withColumnsRenamed({"id": "src", "odd": "a", "held": "x"}).drop("asks"), "src").join(odd.withColumnsRenamed({"id": "dst", "odd": "b", "asks": "y"}).drop("held"), "dst")
+    pairs = pairs.where(f"bit_count(a ^ b) <= {2 * edits}")
+    if hot is not None:
+        pairs = pairs.where("not coalesce(arrays_overlap(x, y), false)")
     split = texts.select("id", F.split("line", "").alias("chars"))
     both = pairs.select("src", "dst").join(split.withColumnsRenamed({"id": "src", "chars": "x"}), "src").join(split.withColumnsRenamed({"id": "dst", "chars": "y"}), "dst")
-    return materialize(both.where(within(edits=edits)).select("src", "dst"), "near")
-
-
-def _pairs(met: DataFrame, near: Column) -> DataFrame:
-    both = met.where("held").alias("i").join(met.where("asks").alias("p"), F.expr("i.key = p.key and i.id <> p.id") & near)
-    return both.select(F.least("i.id", "p.id").alias("src"), F.greatest("i.id", "p.id").alias("dst")).distinct()
-
-
-def _of(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """The lines with these ids, sent to every task if they are few enough, else met by a shuffle."""
-    return lines.join(F.broadcast(ids) if size_within(ids, SENT) else ids, "id", "left_semi")
+    links = materialize(both.where(within(edits=edits)).select("src", "dst"), "near")
+    degree = links.select(F.explode(F.array("src", "dst")).alias("id"), F.lit(1).cast("long").alias("k"))
+    if hot is not None:
+        found = materialize(_in_blocks(hot, own, many, edits), "found")
+        links = links.unionByName(found.where("src <> dst").select("src", "dst"))
+        degree = degree.unionByName(found.select(F.col("src").alias("id"), F.col("k").cast("long").alias("k")))
+    return links, degree.groupBy("id").agg(F.sum("k").alias("degree"))
+
+
+def _in_blocks(hot: DataFrame, own: DataFrame, many: DataFrame, edits: int) -> DataFrame:
+    """src, dst, k: for the lines of each two blocks of a key, a line that stands for those it is connected with there,
+    and to how many lines it is near.
+
+    The lines of a key are dealt to blocks of bounded size by hash, and each two blocks meet in one row, which belongs to
+    the key and both blocks: even a key of very many lines is spread over all tasks. A pair counts in the first key only
+    in which both lines meet. Parities are compared before the automaton runs.
+    """
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    member = F.struct("id", "side", "odd", "held", "asks", "chars")
+    blocks = hot.withColumn("part", F.pmod(F.xxhash64("id", "key"), parts).cast("int")).join(own, "id").groupBy("key", "part").agg(F.collect_list(member).alias("lines"))
+    blocks = materialize(blocks, "blocks")
+    two = many.select("key", parts.alias("parts")).select("key", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("lo")).select("key", "lo", F.explode(F.sequence("lo", F.col("parts") - 1)).alias("hi"))
+    both = two.join(blocks.withColumnsRenamed({"part": "lo", "lines": "first"}), ["key", "lo"]).join(blocks.withColumnsRenamed({"part": "hi", "lines": "second"}), ["key", "hi"])
+    both = both.select("key", F.size("first").alias("cut"), (F.col("lo") < F.col("hi")).alias("across"), F.expr("if(lo < hi, concat(first, second), first)").alias("m"))
+    one_way = "{0}.side = %d and ({1}.side = %d or {0}.id < {1}.id) and array_min(array_intersect({0}.held, {1}.asks)) = key" % (HELD, LONGER)
+    chars = f"transform(array(named_struct('x', m[p].chars, 'y', m[q].chars)), z -> {within_sql('z.x', 'z.y', edits)})[0]"
+    near = f"""transform(sequence(0, size(m) - 1), q -> filter(sequence(0, size(m) - 1), p -> p < q and (not across or p < cut and q >= cut)
+        and bit_count(m[p].odd ^ m[q].odd) <= {2 * edits} and ({one_way.format("m[p]", "m[q]")} or {one_way.format("m[q]", "m[p]")}) and {chars}))"""
+    both = both.select(F.expr("transform(m, z -> z.id)").alias("ids"), F.expr(near).alias("near")).where("exists(near, z -> size(z) > 0)")
+    # of connected lines the first stands for all: each line joins the labels of those before it that it is near to
+    label = """aggregate(sequence(0, size(ids) - 1), sequence(0, size(ids) - 1), (lab, q) -> if(size(near[q]) = 0, lab,
+        transform(array(array_append(transform(near[q], p -> lab[p]), lab[q])), own -> transform(lab, l -> if(array_contains(own, l), array_min(own), l)))[0]))"""
+    both = both.select("ids", F.expr(label).alias("label"), F.expr("transform(near, z -> size(z))").alias("before"), F.flatten("near").alias("after"))
+    count = "before[i] + size(filter(after, p -> p = i))"
+    rows = F.expr(f"filter(transform(sequence(0, size(ids) - 1), i -> named_struct('src', ids[i], 'dst', ids[label[i]], 'k', {count})), z -> z.k > 0)")
+    return both.select(F.explode(rows).alias("z")).select("z.*")
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
@@ -141,26 +181,31 @@ def dedup(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Data
     those of a document. A null text stays null and has no lines; an empty one has a single empty line. Rows equal in
     doc_id and text count as one document. Null doc_ids come first. Other columns are kept, but for three of these names.
     """
-    lines = _lines(docs, shortest)
-    every = _lines(docs, 1).where((F.col("length") >= shortest) | F.col("line").rlike(r"\S"))
-    places = materialize(every.select("doc_id", "row", "n", "id", "other"), "places")
-    links = near_lines(lines, edits)
-    classes = connected_components(links)
-    degree = links.select(F.col("src").alias("id")).unionAll(links.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
-    linked = materialize(classes.join(degree, "id"), "linked")
-    placed = places.join(linked, "id", "left").withColumn("class", F.coalesce("component", "id")).withColumn("other", F.when(F.col("component").isNull(), F.col("other")))
-    firsts = placed.groupBy("class", "other").agg(F.min(F.struct("doc_id", "row", "n")).alias("first"), F.count("*").alias("often")).where("often > 1").select("class", F.col("other").alias("rest"), "first")
-    gone = placed.join(firsts.withColumnRenamed("class", "own"), F.expr("class = own and other <=> rest and struct(doc_id, row, n) <> first"))
-    near = placed.where("degree > 0").select("doc_id", "row", "id", "degree").distinct()
+    if shortest < 2 * edits + 1:
+        raise ValueError("lines must be longer than twice the edits")
+    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    own = own.where((F.length("line") >= shortest) | F.col("line").rlike(r"\S"))
+    places = materialize(own.select("doc_id", "row", "n", *_hashes()), "places")
+    lines = distinct_lines(docs, shortest)
+    links, degree = near_lines(lines.select("id", "line", "length"), edits)
+    linked = connected_components(links).join(degree, "id").join(lines.select("id", "hash", "other"), "id")
+    linked = materialize(linked.select("hash", "other", F.col("component").alias("class"), "degree"), "linked")
+    placed = places.join(linked, ["hash", "other"], "left")
+    # a class is that of near lines, or else all lines of the same two hashes
+    placed = placed.select("doc_id", "row", "n", F.coalesce("class", "hash").alias("class"), F.when(F.col("class").isNull(), F.col("other")).alias("rest"))
+    firsts = placed.groupBy("class", "rest").agg(F.min(F.struct("doc_id", "row", "n")).alias("first"), F.count("*").alias("often")).where("often > 1")
+    gone = placed.join(firsts.select(F.col("class").alias("own"), F.col("rest").alias("other"), "first"), F.expr("class = own and rest <=> other and struct(doc_id, row, n) <> first"))
+    near = places.join(linked, ["hash", "other"]).select("doc_id", "row", "hash", "other", "degree").distinct()
     marks = gone.select("doc_id", "row", "n", F.lit(0).cast("long").alias("degree")).unionByName(near.select("doc_id", "row", F.lit(None).cast("int").alias("n"), "degree"))
-    marked = marks.groupBy("doc_id", "row").agg(F.collect_set("n").alias("gone"), F.sum("degree").alias("degree")).withColumnsRenamed({"doc_id": "__doc", "row": "__row"})
-    row = F.xxhash64(docs["doc_id"], docs["text"])
-    out = docs.join(marked.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__doc")) & (row == F.col("__row")), "left")
-    text = F.split(docs["text"], "\n")
-    kept = F.when(F.col("gone").isNull(), docs["text"]).otherwise(F.array_join(F.filter(text, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    names = {"text", "n_lines", "n_dropped", "n_links"}
+    marked = marks.groupBy("doc_id", "row").agg(F.collect_set("n").alias("gone"), F.sum("degree").alias("degree"))
+    # the columns of docs go as one, so that none can clash
+    held = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.struct(*docs.columns).alias("doc")).alias("d")
+    out = held.join(marked.hint("shuffle_hash").alias("m"), F.expr("d.doc_id <=> m.doc_id and d.row = m.row"), "left").select("doc", "gone", "degree")
+    text = F.split("doc.text", "\n")
+    kept = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(F.filter(text, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    names = {"n_lines", "n_dropped", "n_links"}
     return out.select(
-        *[kept.alias("text") if c == "text" else docs[c] for c in docs.columns if c == "text" or c not in names],
+        *[kept.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns if c not in names],
         F.coalesce(F.size(text), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce("degree", F.lit(0)).cast("long").alias("n_links"),
     )
