@@ -21,12 +21,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines, n_chars counted anew; those of which nothing is left go."""
-    out = lines.dedup(docs)
-    out = out.where("not (n_dropped > 0 and trim(text) = '')")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """Documents without their repeated lines, n_chars counted anew; those of which nothing is left go.
+
+    Null, empty and blank texts lose no line and stay. Rows equal in doc_id and text are one document, so they stay or go
+    together; a null doc_id comes first among those that have a line. Other columns stay as they are, whatever their names.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    out = lines.dedup(docs.select("doc_id", "text", F.struct(*rest).alias("rest"))).where("not (n_dropped > 0 and trim(text) = '')")
+    own = {c: F.col("rest").getField(c) for c in rest} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
