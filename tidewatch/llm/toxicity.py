@@ -20,127 +20,225 @@ BEGINNINGS = (4, 5, 6, 7)  # letters
 RATE = 60  # a beginning counts fully where one word in so many has it
 BITS = 26
 LEAST_GAIN = 8.0  # one is added while its score statistic is at least this
+ORDER = 4  # letters of the letter model's terms
+PART = 1 << 20  # characters that are counted together
 
 # Letters that a mark or digit may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz", "#": "abcdefghijklmnopqrstuvwxyz",
 }
-_SIGNS = "0-9@$!|+(*#"
-# A span is disguised if it has signs between letters or before them, a letter three times or more, or letters set apart.
-SPAN = re.compile(
-    rf"[a-z{_SIGNS}]*[a-z][{_SIGNS}]+[a-z](?:[a-z{_SIGNS}]*[a-z0-9])?"
-    rf"|(?<![a-z{_SIGNS}])[0-9@$!|]{{1,3}}[a-z]{{2}}(?:[a-z{_SIGNS}]*[a-z0-9])?"
-    r"|[a-z]*([a-z])\1{2,}[a-z]*"
-    r"|(?<![^\W_])[a-z](?P<sep>[ .\-_*/])[a-z](?:(?P=sep)[a-z])+(?![^\W_])"
-)
+WILD = "*#"
+_SIGN = "0-9@$!|+(*#"
+_SEP = r".\-_*/,~'| "
+# Costs (log probabilities) of the channel.
+READ, READ_WILD, TWICE, DROPPED, DROPPED_DOLLAR, CHOICE = -0.5, -3.0, -0.5, -1.5, -4.0, -0.7
+
+SPAN = re.compile(rf"[a-z{_SIGN}]+")
+OUTER = re.compile(rf"[^a-z{_SIGN}]*(.*?)[^a-z{_SIGN}]*", re.S)
+DISGUISED = re.compile(rf"[{_SIGN}]|([a-z])\1\1")
+SPACED = re.compile(rf"[a-z{_SIGN}](?:[{_SEP}]+[a-z{_SIGN}])+")
+LONE = re.compile(rf"[^\w{_SIGN}]*[a-z{_SIGN}][^\w@$]*")
+MARKS = re.compile(r"[^\w\s]+")
+LETTER = re.compile(r"[a-z]")
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST = 40  # longer spans are codes, not words: they stay as they are
+RUNS = re.compile(r"(.)\1*", re.S)
 
+# Kinds of tokens: nothing to count, a single letter or sign, something to count, marks only.
+PLAIN, ALONE, COUNTS, MARK = range(4)
+_ALONE_RUN, _COUNTED = re.compile(rb"\x01(?:\x03*\x01){2,}"), re.compile(rb"\x02")
 
-def trigram_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of letter trigrams (0: no letter a-z) over all documents."""
+
+def letter_counts(docs: DataFrame) -> np.ndarray:
+    """Counts of the runs of ORDER letters (0: anything but a-z, once however long) over all documents."""
+    size = 27**ORDER
 
     def run(batches):
-        lower = np.zeros(256, np.int64)
+        lower = np.zeros(256, np.uint8)
         lower[ord("a") : ord("z") + 1] = lower[ord("A") : ord("Z") + 1] = np.arange(1, 27)
-        n = np.zeros(27**3, np.int64)
+        n = np.zeros(size, np.int64)
+
+        def count(texts):
+            c = lower[np.frombuffer(f" {' '.join(texts)} ".encode("utf-8", "surrogatepass"), np.uint8)]
+            c = c[np.append(True, (c[1:] > 0) | (c[:-1] > 0))].astype(np.int32)
+            if len(c) >= ORDER:
+                code = c[: len(c) - ORDER + 1]
+                for i in range(1, ORDER):
+                    code = code * 27 + c[i : len(c) - ORDER + 1 + i]
+                n[:] += np.bincount(code, minlength=size)
+
         for pdf in batches:
+            held, chars = [], 0
             for text in pdf["text"]:
-                c = lower[np.frombuffer(f" {text or ''} ".encode("utf-8", "surrogatepass"), np.uint8)]
-                n += np.bincount((c[:-2] * 27 + c[1:-1]) * 27 + c[2:], minlength=27**3)
+                held.append(text or "")
+                chars += len(held[-1])
+                if chars > PART:
+                    count(held)
+                    held, chars = [], 0
+            count(held)
         at = np.flatnonzero(n)
         yield pd.DataFrame({"code": at, "n": n[at]})
 
-    out = np.zeros(27**3, np.int64)
-    for r in docs.select("text").mapInPandas(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # 27^3 rows at most
-        out[r["code"]] = r["n"]
+    out = np.zeros(size, np.int64)
+    got = docs.select("text").mapInPandas(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # 27^ORDER rows at most
+    out[got["code"].to_numpy(np.int64)] = got["n"]
     return out
 
 
 class Decoder:
-    """Viterbi decoding of disguised spans under a trigram model of letters."""
+    """Viterbi decoding of disguised spans under a letter model of order ORDER, each order backed off to the one below."""
 
     def __init__(self, counts: np.ndarray):
-        n = counts.reshape(27, 27, 27).astype(float)
-        one = (n.sum(axis=(0, 1)) + 1) / (n.sum() + 27)
-        two = (n.sum(axis=0) + 10 * one) / (n.sum(axis=0).sum(axis=1, keepdims=True) + 10)
-        three = (n + 10 * two[None]) / (n.sum(axis=2, keepdims=True) + 10)
-        self.log = np.log(three).tolist()
+        n = counts.reshape((27,) * ORDER).astype(float)
+        p = np.full(27, 1 / 27)
+        for k in range(ORDER):
+            own = n.sum(axis=tuple(range(ORDER - 1 - k)))
+            p = (own + 10 * p) / (own.sum(axis=-1, keepdims=True) + 10)
+        self.table = np.log(p).astype(np.float32).ravel()
+        self.log: list[float] | None = None
         self.seen: dict[str, str] = {}
 
     def restore(self, text: str) -> str:
-        """The text in small letters with its disguised spans decoded."""
-        return SPAN.sub(self._span, text.lower())
+        """The text in small letters, its disguised words decoded, with single blanks between its tokens."""
+        tokens = text.lower().split()
+        kinds = bytes(ALONE if LONE.fullmatch(t) else MARK if MARKS.fullmatch(t) else PLAIN for t in tokens)
+        out, done = [], 0
+        for a, b in self.runs(tokens, kinds):
+            out += [*map(self.token, tokens[done:a]), self.spaced(" ".join(tokens[a:b]))]
+            done = b
+        return " ".join([*out, *map(self.token, tokens[done:])])
+
+    @staticmethod
+    def runs(tokens: list[str], kinds: bytes) -> Iterator[tuple[int, int]]:
+        """Where three or more single letters or signs stand in a row, two letters among them at least."""
+        for m in _ALONE_RUN.finditer(kinds):
+            if sum(bool(LETTER.search(t)) for t in tokens[m.start() : m.end()]) > 1:
+                yield m.span()
+
+    def token(self, token: str) -> str:
+        """A token with its disguised spans decoded; letters set apart by marks are one span."""
+        if not DISGUISED.search(token) and not SPACED.search(token):
+            return token
+        m = OUTER.fullmatch(token)
+        if m and SPACED.fullmatch(m[1]) and len(LETTER.findall(m[1])) > 1 and len(SPAN.findall(m[1])) > 2:
+            return token[: m.start(1)] + self.spaced(m[1]) + token[m.end(1) :]
+        return SPAN.sub(self._span, token)
 
     def _span(self, m: re.Match) -> str:
+        """What is decoded: a span with letters and with signs or a letter three times, wild signs no more than letters."""
         span = m[0]
-        if len(span) > LONGEST or span.isdigit():
-            return span
-        if m["sep"]:
-            span = span[::2]
-        if span not in self.seen:
+        letters = len(LETTER.findall(span))
+        if letters and len(span) > 2 and DISGUISED.search(span) and sum(c in WILD for c in re.sub(r"([*#])\1+", r"\1", span)) <= letters:
+            return self.known(span, False)
+        return span
+
+    def spaced(self, span: str) -> str:
+        return self.known(span, True)
+
+    def known(self, span: str, apart: bool) -> str:
+        key = span + " " * apart
+        if key not in self.seen:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            self.seen[span] = self.decode(span)
-        return self.seen[span]
+            self.seen[key] = self.decode(self.slots(span, apart))
+        return self.seen[key]
 
-    def slots(self, span: str) -> list[list[tuple[str, float]]]:
-        """The lattice: for each run of a character, what it may stand for and the channel's log probability."""
-        out = []
-        for run in re.finditer(r"(.)\1*", span):
+    def slots(self, span: str, apart: bool = False) -> list[list[tuple[str, float]]]:
+        """The lattice: for each run of a character, what it may stand for and the channel's log probability.
+
+        A sign is read as a letter; at an end of the span it may also be a mark that goes. A letter three times or more
+        is one or two. In a span of letters set apart, each separator goes or is the end of a word.
+        """
+        out, n = [], len(span)
+        for run in RUNS.finditer(span):
             c, k = run[1], len(run[0])
+            own: list[tuple[str, float]] = []
             if c in LEET:
                 letters = LEET[c]
-                p = -np.log(len(letters)) - (3 if len(letters) > 2 else 0.5)
-                own = [(x * min(k, 2), p * min(k, 2)) for x in letters]
-                own += [(x, p - 0.5) for x in letters] if k > 1 else []
-            elif k > 2:
-                own = [(c, -0.7), (c * 2, -0.7)]
-            else:
-                own = [(c * k, 0.0)]
+                p = -np.log(len(letters)) + (READ_WILD if c in WILD else READ)
+                own += [(x * min(k, 2), p * min(k, 2)) for x in letters]
+                own += [(x, p + TWICE) for x in letters] if k > 1 else []
+                if run.start() == 0 or run.end() == n:
+                    own.append(("", DROPPED_DOLLAR if c == "$" else DROPPED))
+            elif "a" <= c <= "z":
+                own += [(c, CHOICE), (c * 2, CHOICE)] if k > 2 else [(c * k, 0.0)]
+            if apart and c in ".-_*/,~'| " or not own:
+                own += [("", CHOICE), (" ", CHOICE)]
             out.append(own)
         return out
 
-    def decode(self, span: str) -> str:
-        best = {(0, 0): (0.0, "")}
-        for own in self.slots(span):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (p, s) in best.items():
+    def decode(self, slots: list[list[tuple[str, float]]]) -> str:
+        """The best reading of a lattice: the largest sum of the channel's and the letter model's logs, ties to the last
+        in the order of strings."""
+        if self.log is None:
+            self.log = self.table.tolist()
+        log, size = self.log, 27 ** (ORDER - 1)
+        best = {0: (0.0, "")}
+        for own in slots:
+            new: dict[int, tuple[float, str]] = {}
+            for state, (p, s) in best.items():
                 for letters, cost in own:
-                    x, y, q = a, b, p + cost
+                    x, q = state, p + cost
                     for c in letters:
-                        z = ord(c) - 96
-                        q += self.log[x][y][z]
-                        x, y = y, z
-                    if (x, y) not in new or new[x, y][0] < q:
-                        new[x, y] = (q, s + letters)
+                        z = ord(c) - 96 if c != " " else 0
+                        q += log[x * 27 + z]
+                        x = (x * 27 + z) % size
+                    if x not in new or new[x] < (q, s + letters):
+                        new[x] = (q, s + letters)
             best = new
-        return max((p + self.log[a][b][0], s) for (a, b), (p, s) in best.items())[1]
+        return " ".join(max((p + log[x * 27], s) for x, (p, s) in best.items())[1].split())
 
 
 class Features(dict):
-    """Ids of what a word counts for, by word: the word itself first, then its beginnings. With `chosen`, of these only."""
+    """Ids of what a text's words count for: each word itself, then its beginnings. With `chosen`, of these only.
+
+    As a dict it holds the kind of each token met; a token's decoding and counting are done once.
+    """
 
-    def __init__(self, chosen=None):
-        self.chosen = chosen
+    def __init__(self, decoder: Decoder, chosen=None):
+        self.decoder, self.chosen = decoder, chosen
+        self.counted: dict[str, tuple] = {}
 
-    def __missing__(self, word: str) -> tuple:
+    def __missing__(self, token: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        ids = [_id("=" + word), *(_id(word[:k]) for k in BEGINNINGS if len(word) > k)]
-        out = tuple((i, k == 0) for k, i in enumerate(ids) if self.chosen is None or i in self.chosen)
-        self[word] = out
-        return out
+            self.counted.clear()
+        if LONE.fullmatch(token):
+            kind = ALONE
+        elif MARKS.fullmatch(token):
+            kind = MARK
+        else:
+            kind = COUNTS if self.ids(token) else PLAIN
+        self[token] = kind
+        return kind
+
+    def ids(self, token: str) -> tuple:
+        if token not in self.counted:
+            own = self.of_words(self.decoder.token(token))
+            if not own:
+                return own
+            self.counted[token] = own
+        return self.counted[token]
+
+    def of_words(self, text: str) -> tuple:
+        out = []
+        for word in WORD.findall(text):
+            for k, i in enumerate([_id("=" + word), *(_id(word[:k]) for k in BEGINNINGS if len(word) > k)]):
+                if self.chosen is None or i in self.chosen:
+                    out.append((i, k == 0))
+        return tuple(out)
 
     def of(self, text: str) -> dict[int, float]:
-        """id -> value of a restored text: 1 for a word that is there, for a beginning the rate of words that have it."""
-        words = WORD.findall(text)
+        """id -> value of a text: 1 for a word that is there, for a beginning the rate of tokens that have it."""
+        tokens = text.lower().split()
+        kinds = bytes(map(self.__getitem__, tokens))
+        found = [self.ids(tokens[m.start()]) for m in _COUNTED.finditer(kinds)]
+        found += [self.of_words(self.decoder.spaced(" ".join(tokens[a:b]))) for a, b in self.decoder.runs(tokens, kinds)]
         out: dict[int, float] = {}
-        step = RATE / max(1, len(words))
-        for w in words:
-            for i, whole in self[w]:
-                out[i] = 1.0 if whole else min(1.0, out.get(i, 0.0) + step)
+        step = RATE / max(1, len(tokens))
+        for own in found:
+            for i, whole in own:
+                out[i] = 1.0 if whole else max(out.get(i, 0.0), min(1.0, out.get(i, 0.0) + step))
         return out
 
 
@@ -197,13 +295,13 @@ def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.05) ->
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE) -> tuple[Decoder, Scorer]:
     """The letter model from all documents; the scorer from a sample of at most `rows` labelled ones, restored."""
-    decoder = Decoder(trigram_counts(docs))
+    decoder = Decoder(letter_counts(docs))
     held = share(docs.sparkSession, decoder)
 
     def run(batches):
-        own, every = held(), Features()
+        every = Features(held())
         for pdf in batches:
-            rows = [sorted(every.of(own.restore(t)).items()) for t in pdf["text"]]
+            rows = [sorted(every.of(t).items()) for t in pdf["text"]]
             yield pd.DataFrame({"label": pdf["label"], "ids": [np.array([i for i, _ in r], np.int32).tobytes() for r in rows], "values": [bytes(round(255 * v) for _, v in r) for r in rows]})
 
     got = sample(docs, labels, "toxic", learn, rows).mapInPandas(run, "label int, ids binary, values binary").collect()
@@ -217,27 +315,19 @@ def score(docs: DataFrame, model: tuple[Decoder, Scorer]) -> DataFrame:
     Equal texts get equal scores. Without labels of both kinds every text gets the same score, near 0 unless all are
     toxic. Other columns are ignored.
     """
-    held = share(docs.sparkSession, model)
-
-    def run(batches):
-        decoder, scorer = held()
-        chosen = Features(scorer.weights)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxicity": [scorer.score(chosen.of(decoder.restore(t or ""))) for t in pdf["text"]]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, toxicity double")
+    return docs.select("doc_id", rating(docs, model).alias("toxicity"))
 
 
-def rating(docs: DataFrame, model: tuple[Decoder, Scorer]):
-    """The toxicity of the text column as an expression, for use in a filter that keeps whole rows."""
+def rating(docs: DataFrame, model: tuple[Decoder, Scorer]) -> Column:
+    """The toxicity of the text column as an expression: only texts go to Python, other columns stay as they are."""
     held = share(docs.sparkSession, model)
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoder, scorer = held()
-        chosen = Features(scorer.weights)
+        chosen = Features(decoder, scorer.weights)
         for texts in batches:
-            yield pd.Series([scorer.score(chosen.of(decoder.restore(t or ""))) for t in texts], dtype=float)
+            yield pd.Series([scorer.score(chosen.of(t or "")) for t in texts], dtype=float)
 
     return rate("text")
 
