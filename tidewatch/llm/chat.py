@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +16,9 @@ from tidewatch.llm.common import table
 BOS, EOS, OPEN, CLOSE, SYS_OPEN, SYS_CLOSE, TURN = "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|turn|>"
 CONTROL = (BOS, EOS, OPEN, CLOSE, SYS_OPEN, SYS_CLOSE, TURN)
 MARK = "\\"
-CHUNK = 256  # turns that are rendered together
 
 # A turn is HEAD role BODY text TAIL; user and system texts have the instruct marks, others the bare turn mark.
 _FRAMES = {"user": (f"{BOS}{OPEN} ", f" {CLOSE}"), "system": (f"{BOS}{SYS_OPEN}\n", f"\n{SYS_CLOSE}"), "assistant": (" ", f" {EOS}")}
-_OTHER = (f"{TURN}", f"{EOS}")
 
 
 def escape(text: str) -> str:
@@ -41,115 +41,142 @@ def unescape(text: str) -> str:
     return "".join(out) + text[i:]
 
 
-def render(turns: list[tuple[str, str]]) -> str:
-    """One string for turns of (role, text). Grammar: turn = head text tail; assistant turns are loss text and its end."""
-    out = []
-    for role, text in turns:
-        if role in _FRAMES:
-            head, tail = _FRAMES[role]
-            out.append(f"{TURN}{role[0]}{head}{guard(text)}{tail}")
-        else:
-            out.append(f"{TURN}x{guard(role)}{TURN}{guard(text)}{EOS}")
-    return "".join(out)
-
+def render(role: str, text: str) -> str:
+    """One turn. Grammar: turn = mark kind head text tail; the loss mask of an assistant turn is its text."""
+    if role in _FRAMES:
+        head, tail = _FRAMES[role]
+        return f"{TURN}{role[0]}{head}{text}{tail}"
+    return f"{TURN}x{role}{TURN}{text}{EOS}"
 
-def guard(text: str) -> str:
-    """The text itself where it has nothing of the template's, else escaped until it reads back the same."""
-    if MARK not in text and not any(c in text for c in CONTROL) and not _ends_in_control(text):
-        return text
-    safe = escape(text)
-    if unescape(safe) != text or any(c in safe for c in CONTROL):
-        raise ValueError("a text can't be escaped")
-    return safe
 
-
-def _ends_in_control(text: str) -> bool:
-    """Whether the end of a text could run into the mark that follows it."""
-    return any(text.endswith(c[:k]) for c in CONTROL for k in range(2, len(c)))
+class Unreadable(ValueError):
+    """A rendered text that the grammar does not allow."""
 
 
 def parse(rendered: str) -> list[tuple[str, str, int, int]]:
-    """(role, text, start, end) of each turn; start and end bound the escaped text in rendered."""
+    """(role, text, start, end) of each turn; start and end bound the text as it is written. No control string may stand
+    inside a role or text."""
     out, i = [], 0
     kinds = {r[0]: r for r in _FRAMES}
     while i < len(rendered):
         if not rendered.startswith(TURN, i):
-            raise ValueError(f"no turn at {i}")
+            raise Unreadable(f"no turn at {i}")
         i += len(TURN)
-        kind, i = rendered[i], i + 1
+        kind, i = rendered[i : i + 1], i + 1
         if kind == "x":
-            j = rendered.index(TURN, i)
-            role, i, tail = unescape(rendered[i:j]), j + len(TURN), EOS
-        else:
+            j = _until(rendered, TURN, i)
+            role, i, tail = _read(rendered[i:j]), j + len(TURN), EOS
+        elif kind in kinds:
             role = kinds[kind]
             head, tail = _FRAMES[role]
             if not rendered.startswith(head, i):
-                raise ValueError(f"no {role} head at {i}")
+                raise Unreadable(f"no {role} head at {i}")
             i += len(head)
-        j = rendered.index(tail, i)
-        out.append((role, unescape(rendered[i:j]), i, j))
+        else:
+            raise Unreadable(f"no kind of turn at {i}")
+        j = _until(rendered, tail, i)
+        out.append((role, _read(rendered[i:j]), i, j))
         i = j + len(tail)
     return out
 
 
+def _until(rendered: str, tail: str, i: int) -> int:
+    j = rendered.find(tail, i)
+    if j < 0:
+        raise Unreadable(f"no {tail} after {i}")
+    return j
+
+
+def _read(written: str) -> str:
+    if any(c in written for c in CONTROL):
+        raise Unreadable("a control string in a text")
+    return unescape(written)
+
+
+def format_turn(role: str, text: str) -> tuple[str, int, int]:
+    """The rendered turn and where its text is. It is parsed back, and what reads differently is escaped, until the turn
+    that is read is the one that was given."""
+    own = [role, text]
+    left = sorted((1,) if role in _FRAMES else (0, 1), key=lambda k: _stands(own[k]))  # first what can't be read as it is
+    while True:
+        rendered = render(*own)
+        with contextlib.suppress(Unreadable):
+            back = parse(rendered)
+            if [x[:2] for x in back] == [(role, text)]:
+                return rendered, back[0][2], back[0][3]
+        if not left:
+            raise ValueError("a turn can't be escaped")
+        k = left.pop(0)
+        own[k] = escape(own[k])
+
+
+def _stands(text: str) -> bool:
+    """Whether a text reads back as it is, between marks of its own."""
+    try:
+        return _read(text) == text
+    except Unreadable:
+        return False
+
+
 def format_turns(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
-    """The rendered text and the loss spans in it; what is parsed from it must equal the source."""
-    rendered = render(turns)
+    """The rendered text and the loss spans in it; what is parsed from it equals the source."""
+    rendered = "".join(format_turn(*t)[0] for t in turns)
     back = parse(rendered)
-    if [(r, t) for r, t, *_ in back] != turns:
+    if [x[:2] for x in back] != turns:
         raise ValueError("the rendered text reads back differently")
     return rendered, [(a, b) for r, _, a, b in back if r == "assistant"]
 
 
-def formatted(convs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """conv_id, chunk, rendered, loss (spans in rendered) for up to `chunk` turns of a conversation each.
+def formatted(convs: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, rendered, start, end (of the text in rendered) for each row.
 
-    Rows are ordered by turn, then role and text (nulls first); equal rows are all kept. A null text or role counts as
-    empty, a null turn comes first, rows of a null conv_id form a conversation of their own. Roles other than system,
-    user and assistant are written out. Chunks of a conversation, in order, join to its whole text: a turn is rendered
-    the same wherever it stands. A conversation of very many turns is so never in one task as a whole.
+    A null text or role counts as empty. Roles other than system, user and assistant are written out. The rendered turns
+    of a conversation, in order, join to its whole text: a turn is rendered the same wherever it stands, so rows are
+    formatted where they are, and no conversation or turn number is ever gathered for it.
     """
     rows = convs.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    part = F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(2**62))).cast("long")
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for conv, k, turns in zip(pdf["conv_id"], pdf["chunk"], pdf["turns"]):
-                text, loss = format_turns([(t["role"], t["text"]) for t in turns])
-                out.append((conv, k, len(turns), text, [{"start": a, "end": b} for a, b in loss]))
-            yield pd.DataFrame(out, columns=["conv_id", "chunk", "n_turns", "rendered", "loss"])
+    @F.pandas_udf("struct<rendered: string, start: long, end: long>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for roles, texts in batches:
+            yield pd.DataFrame([format_turn(r, t) for r, t in zip(roles, texts)], columns=["rendered", "start", "end"])
 
-    lists = rows.groupBy("conv_id", part.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    kind = dict(convs.dtypes)["conv_id"]
-    return lists.mapInPandas(run, f"conv_id {kind}, chunk long, n_turns long, rendered string, loss array<struct<start: long, end: long>>")
+    return rows.withColumn("x", run("role", "text")).select("conv_id", "turn", "role", "text", "x.*")
 
 
-def digests(chunks: DataFrame) -> DataFrame:
-    """What the formatted text reads back as: turn and loss digests of each conversation, from its chunks in order.
+def digests(turns: DataFrame) -> DataFrame:
+    """What the formatted text reads back as: turn and loss digests of each conversation, from its rendered turns in order.
 
-    A task holds one chunk and the states of the digests at a time, however long a conversation is.
+    Rows are ordered by turn, then role and text (nulls first); equal rows are all kept. Rows of a null conv_id form a
+    conversation of their own. A conversation goes through one task, as its digest is sequential; the task holds a batch
+    of turns, which are joined and parsed together, and the states of the digests, however long the conversation is.
     """
 
     def run(batches):
         key, state = object(), None
         for pdf in batches:
             out = []
-            for conv, rendered, loss in zip(pdf["conv_id"], pdf["rendered"], pdf["loss"]):
-                conv = None if pd.isna(conv) else conv
+            pdf["conv_id"] = pdf["conv_id"].astype(object).where(pdf["conv_id"].notna(), None)
+            cuts = [0, *(i for i in range(1, len(pdf)) if pdf["conv_id"].iat[i] != pdf["conv_id"].iat[i - 1]), len(pdf)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                conv = pdf["conv_id"].iat[a]
                 if conv != key:
                     if state:
                         out.append(state.row())
                     key, state = conv, _State(conv)
-                state.add(rendered, loss)
+                state.add("".join(pdf["rendered"].iloc[a:b]))
             if out:
                 yield pd.DataFrame(out, columns=_State.names)
         if state:
             yield pd.DataFrame([state.row()], columns=_State.names)
 
-    kind = dict(chunks.dtypes)["conv_id"]
-    dealt = chunks.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").select("conv_id", "rendered", "loss")
-    return dealt.mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    kind = dict(turns.dtypes)["conv_id"]
+    dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # ids go as text, as pandas has no null among whole numbers
+    found = dealt.select(F.col("conv_id").cast("string").alias("conv_id"), "rendered").mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return found.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 class _State:
@@ -159,14 +186,13 @@ class _State:
         self.conv, self.n, self.chars, self.formatted = conv, 0, 0, 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, rendered: str, loss) -> None:
+    def add(self, rendered: str) -> None:
         for role, text, *_ in parse(rendered):
             self.n += 1
             self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        for span in loss:
-            text = unescape(rendered[span["start"] : span["end"]])
-            self.chars += len(text)
-            self.loss.update(text.encode("utf-8", "surrogatepass"))
+            if role == "assistant":
+                self.chars += len(text)
+                self.loss.update(text.encode("utf-8", "surrogatepass"))
         self.formatted += len(rendered)
 
     def row(self) -> tuple:
