@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -11,8 +13,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import connected_components, materialize, table
 
 SKETCH = 48  # retained values of a document
-SHARED = 0.375  # part of a full sketch that a pair must share; a linked pair shares 0.75 on average, 1e-8 of them less
-SLACK = 0.25  # the union-sketch estimate may fall short by this (four standard deviations) before the exact check
+SHARED = 0.375  # part of a full sketch, and of the union's, that a pair must share; a linked pair shares 0.75 on average, 1e-8 of them less
 BLOCK = 1_000_000  # shingles of a block, with 600 more for each document; a task compares two blocks at most
 
 
@@ -47,16 +48,11 @@ def shingle_set(text: str | None, hashes: dict, width: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def _sketches(batches, size: int = SKETCH):
+def _sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     hashes = _Hashes()
-    for pdf in batches:
-        sets = [shingle_set(t, hashes) for t in pdf["text"]]
-        yield pd.DataFrame({
-            "doc_id": pdf["doc_id"],
-            "n_shingles": [len(s) for s in sets],
-            "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-            "sketch": [s[:size].astype(np.int64) for s in sets],
-        })
+    for texts in batches:
+        sets = [shingle_set(t, hashes) for t in texts]
+        yield pd.DataFrame({"n_shingles": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": [s[:SKETCH].astype(np.int64) for s in sets]})
 
 
 def _full_sets(batches):
@@ -97,7 +93,7 @@ def spanning_links(ids: list, sets: list, sides: list, percent: int = 75, size:
             need = np.maximum(1, (SHARED * np.minimum(n[:i], size)).astype(int))
             js = np.flatnonzero((count[:i] >= need) & (100 * n[:i] >= percent * n[i]) & (label[:i] != label[i]) & ((sides[:i] != sides[i]) | (sides[i] == 2)))
             for j in js[np.argsort(-count[js], kind="stable")]:
-                if label[i] != label[j] and estimate(low[i], low[j], size) >= percent / 100 - SLACK and linked(sets[i], sets[j], percent):
+                if label[i] != label[j] and estimate(low[i], low[j], size) >= SHARED and linked(sets[i], sets[j], percent):
                     links.append((ids[i], ids[j]))
                     label[label == label[i]] = label[j]
         for v in own:
@@ -124,7 +120,8 @@ def components(docs: DataFrame) -> DataFrame:
 
     Null and empty texts, and texts of white space, have no shingles and are components of their own. Copies share a set
     and are one class from the start, so they are never paired. Rows that repeat a doc_id each get a row with the same
-    component (they are one document); a null doc_id takes no part. Other columns of docs are ignored.
+    component (they are one document). A row without doc_id is linked with nothing and kept; its component_id is null. Other
+    columns of docs are ignored.
 
     1. Sketch every document and gather equal sets in classes. 2. Count in how many classes each retained value is, and
     keep the classes with enough values that others have too. A pair must share many, so the most frequent of these
@@ -132,8 +129,10 @@ def components(docs: DataFrame) -> DataFrame:
     with a common list form coarse groups; large ones are cut into blocks by length and hash, and each pair of blocks
     that can hold links is one task. 4. A task links by full sets and returns a forest. 5. Components of the links.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    sketches = materialize(docs.mapInPandas(_sketches, "doc_id long, n_shingles long, digest binary, sketch array<long>"), "sketches")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sketch = F.pandas_udf(_sketches, "n_shingles long, digest binary, sketch array<long>")  # only texts go to Python, so ids stay as they are
+    every = materialize(docs.select("doc_id", sketch("text").alias("x")).select("doc_id", "x.*"), "sketches")
+    sketches, docs = every.where("doc_id is not null"), docs.where("doc_id is not null")
     classes = sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("x")).select("digest", "rep", "x.*")
     lists = classes.select("rep", "digest", "n_shingles", F.explode("sketch").alias("value"))
     often = lists.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
@@ -147,7 +146,9 @@ def components(docs: DataFrame) -> DataFrame:
     final = connected_components(found).withColumnRenamed("component", "low")
     members = sketches.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     out = members.join(final, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("low", "rep", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    nameless = every.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(nameless)
 
 
 def _links(docs: DataFrame, groups: DataFrame) -> DataFrame:
