@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -92,17 +93,77 @@ def test_classifiers_on_awkward_rows(spark):
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), none, F.lit(True))).count() == 0
 
 
+def decoder(*more):
+    words = ("idiot", "moron", "stupid", "loser", "the", "with", "scum", "ass", "you", "are", "a", *more)
+    counts = np.zeros(27**4, np.int64)
+    c = [0]
+    for w in words * 50:
+        c += [*(ord(x) - 96 for x in w), 0]
+    for i in range(len(c) - 3):
+        counts[((c[i] * 27 + c[i + 1]) * 27 + c[i + 2]) * 27 + c[i + 3]] += 1
+    return toxicity.Decoder(counts)
+
+
 def test_decoding():
-    counts = np.zeros(27**3, np.int64)
-    for w in ("idiot", "moron", "stupid", "loser", "the", "with", "scum") * 50:
-        c = [0, *(ord(x) - 96 for x in w), 0]
-        for a, b, d in zip(c, c[1:], c[2:]):
-            counts[(a * 27 + b) * 27 + d] += 1
-    d = toxicity.Decoder(counts)
-    for given in ("1d10t", "i d i o t", "id!ot", "idiooot", "i.d.i.o.t"):
-        assert d.restore(f"the {given} with") == "the idiot with"
+    d = decoder("worthless")
+    for given in ("1d10t", "i d i o t", "id!ot", "idiooot", "i.d.i.o.t", "i d 1 o t", "i.d.1.0.t", "i  d\ti   o t", "i-d.i_o*t", "1-d-1-0-t", "i . d . i . o . t", "id*ot", "idi0t!"):
+        assert d.restore(f"the {given} with").rstrip("!") == "the idiot with", given
     assert d.restore("plain text, 12 is 34% of it") == "plain text, 12 is 34% of it"
-    assert d.restore("M0R0N st*pid l0s3r") == "moron stupid loser"
+    assert d.restore("M0R0N st*pid l0s3r") == "moron stupid loser" and d.restore("a$$") == "ass"
+    assert d.restore("y o u a r e a w o r t h l e s s i d i o t") == "you are a worthless idiot"
+    assert d.restore("y.o.u.a.r.e.a.w.0.r.t.h.l.3.s.s.i.d.i.o.t") == "you are a worthless idiot"
+    assert d.restore("1 2 3 4") == "1 2 3 4" and d.restore("***** #*#*#*#") == "***** #*#*#*#"
+
+
+def test_decoding_equals_exhaustive_search():
+    d = decoder()
+    r = random.Random(6)
+    for _ in range(300):
+        apart = r.random() < 0.5
+        letters = [r.choice("idotsaem1043$!*") for _ in range(r.randint(3, 6))]
+        span = "".join(x + r.choice([" ", ".", "-"]) * apart for x in letters).strip(" .-")
+        slots = d.slots(span, apart)
+        if np.prod([len(x) for x in slots]) > 40_000:
+            continue
+        best = None
+        for path in itertools.product(*slots):
+            c = [0, 0, 0] + [ord(x) - 96 if x != " " else 0 for x in "".join(t for t, _ in path)] + [0]
+            p = sum(q for _, q in path) + sum(float(d.table[((c[i] * 27 + c[i + 1]) * 27 + c[i + 2]) * 27 + c[i + 3]]) for i in range(len(c) - 3))
+            if best is None or p > best[0] + 1e-9:
+                best = (p, {" ".join("".join(t for t, _ in path).split())})
+            elif abs(p - best[0]) < 1e-9:
+                best[1].add(" ".join("".join(t for t, _ in path).split()))
+        assert d.decode(slots) in best[1], span
+
+
+def test_toxicity_score_equals_the_formula():
+    d = decoder()
+    ids = [toxicity._id("=idiot"), toxicity._id("moro")]
+    scorer = toxicity.Scorer([])
+    scorer.bias, scorer.weights = -2.0, dict(zip(ids, (3.0, 2.0)))
+    own = toxicity.Features(d, scorer.weights)
+    for text, x in (("you 1d10t", (1, 0)), ("you are", (0, 0)), ("i d i o t morons " + "the " * 119, (1, 60 / 125)), ("", (0, 0))):
+        assert abs(scorer.score(own.of(text)) - 1 / (1 + np.exp(2 - 3 * x[0] - 2 * x[1]))) < 1e-9, text
+
+
+AWKWARD_IDS = [None, 2**60 + 1, 2**63 - 1, -(2**62) - 1, 7, 7]
+
+
+@pytest.mark.parametrize("name", ["quality", "pii", "topk", "decontaminate", "packing", "lines", "minhash", "license", "toxicity", "chat"])
+def test_ids_stay_as_they_are(spark, name):
+    text = " ".join(words(30, 5)) + " All rights reserved. Mail x@y.zz"
+    docs = frame(spark, [(i, text) for i in AWKWARD_IDS]).coalesce(1)
+    labels = frame(spark, [(7, 1, 1), (2**60 + 1, 0, 0)], "doc_id long, quality int, toxic int")
+    every = F.lit(True)
+    out = {
+        "quality": lambda: quality.score(docs, quality.fit(docs, labels, every)), "pii": lambda: pii.detect(docs), "decontaminate": lambda: decontaminate.hits(docs, frame(spark, [(1, text)], "item_id long, text string")),
+        "packing": lambda: packing.pack(docs), "lines": lambda: lines.dedup(docs), "minhash": lambda: minhash.components(docs), "license": lambda: license.scan(docs), "toxicity": lambda: toxicity.score(docs, toxicity.fit(docs, labels, every)),
+        "chat": lambda: chat.digests(chat.formatted(docs.selectExpr("doc_id as conv_id", "0 as turn", "'user' as role", "text"))).withColumnRenamed("conv_id", "doc_id"),
+        "topk": lambda: topk.top_k(docs.selectExpr("doc_id as vec_id", "array(1.0f, 2.0f) as embedding"), every).selectExpr("vec_id as doc_id").distinct(),
+    }[name]()
+    want = {None, *AWKWARD_IDS} - ({None} if name == "topk" else set())
+    got = [r["doc_id"] for r in out.collect()]
+    assert set(got) == want and (len(got) == len(AWKWARD_IDS) or name in ("topk", "license", "chat"))
 
 
 # 2: personal data
@@ -186,14 +247,43 @@ def test_pii_on_awkward_rows(spark):
 
 def test_search_equals_brute_force():
     r = np.random.default_rng(2)
-    x = r.integers(-3, 4, (900, 6))
-    ids = r.permutation(900)
-    q_ids = ids[:40]
-    best, who = topk.search(x[:40], q_ids, np.full(40, np.iinfo(np.int64).min), x, ids, 10)
-    for i in range(40):
-        score = x @ x[i]
-        want = sorted((-int(s), int(d)) for s, d in zip(score, ids) if d != q_ids[i])[:10]
-        assert [(-int(s), int(d)) for s, d in zip(best[i], who[i])] == want
+    x = r.integers(-3, 4, (900, 6)).astype(np.int32)
+    ids = r.permutation(900) - 450
+    rows = np.arange(900)
+    low = np.iinfo(np.int64).min
+    for floor in (low, 20):
+        best, who = topk.search(x[:40], rows[:40], np.full(40, floor), x, ids, rows, 10)
+        for i in range(40):
+            score = x.astype(int) @ x[i]
+            want = sorted((-int(s), int(d)) for j, (s, d) in enumerate(zip(score, ids)) if j != i and s >= floor)[:10]
+            assert [(-int(s), int(d)) for s, d in zip(best[i], who[i]) if s > low] == want
+
+
+def test_tree_has_tight_boxes():
+    x = np.random.default_rng(1).integers(-9, 10, (1000, 4))
+    t = topk.Tree(x, np.arange(1000), 50)
+    assert sorted(t.order.tolist()) == list(range(1000))
+    for n in range(len(t.left)):
+        own = x[t.order[t.start[n] : t.end[n]]]
+        assert (own.min(axis=0) == t.low[n]).all() and (own.max(axis=0) == t.high[n]).all()
+        assert t.left[n] >= 0 or t.end[n] - t.start[n] <= 50
+
+
+def test_topk_over_shards_equals_brute_force(spark, monkeypatch):
+    for name, n in (("SHARD", 60), ("BLOCK", 7), ("LEAF", 8), ("CHAIN", 2)):
+        monkeypatch.setattr(topk, name, n)
+    r = np.random.default_rng(4)
+    rows = [(int(i), r.integers(-4, 5, 5).astype(float).tolist()) for i in [*range(0, 600, 2), *range(0, 200, 20), *range(-40, 0)]]
+    rows += [(300, rows[3][1]), (300, rows[4][1]), (7, [2.0**40] * 5)]
+    got = defaultdict(list)
+    for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, scale=1).collect():
+        got[x["query_id"]].append((x["rank"], -x["score"], x["vec_id"]))
+    want = defaultdict(list)
+    for i, (a, v) in enumerate(rows):
+        if a % 100 == 0:
+            own = sorted((-int(np.dot(v, w)), b) for j, (b, w) in enumerate(rows) if i != j)[:10]
+            want[a] += [(k + 1, s, b) for k, (s, b) in enumerate(own)]
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
 def test_topk_on_awkward_rows(spark):
@@ -401,7 +491,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
 
 def test_near_duplicates_on_awkward_rows(spark):
     got = [tuple(r) for r in minhash.components(awkward(spark)).orderBy("doc_id").collect()]
-    assert len(got) == 7 and (1, 0, 1, True) in got and got.count((4, 1, 4, True)) == 2
+    assert len(got) == 8 and (1, 0, 1, True) in got and got.count((4, 1, 4, True)) == 2 and (None, 1, None, True) in got
     assert minhash.components(awkward(spark).limit(0)).count() == 0
 
 
@@ -445,7 +535,7 @@ def test_round_trip():
 
 
 def test_chat_query(spark, tmp_path):
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo</s>"), (1, 600, "assistant", None), (2, None, "user", ""), (2, 0, None, "x"), (None, 0, "user", "n"), (1, 1, "assistant", "yo</s>")]
+    rows = [(1, 0, "user", "hi"), (2**60 + 1, 0, "user", "big"), (-(2**60) - 1, 0, "user", "big"), (1, 1, "assistant", "yo</s>"), (1, 600, "assistant", None), (2, None, "user", ""), (2, 0, None, "x"), (None, 0, "user", "n"), (1, 1, "assistant", "yo</s>")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r["conv_id"]: r for r in queries()["op10_chat_format"](spark, str(tmp_path)).collect()}
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import functools
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,11 +27,13 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@functools.cache
 def encoder(path: str):
     """text -> ids, as the tokenizers library gives them for this file without adding special tokens.
 
     The vocabulary also comes as ranks beside it, with which tiktoken makes the same ids in a quarter of the time. Texts
-    with the special string, to which tokenizers gives an id of its own, go to tokenizers.
+    with the special string, to which tokenizers gives an id of its own, go to tokenizers. Where the ranks are missing all
+    texts go to tokenizers; a missing vocabulary is an error. It is made once in a Python worker, for all its tasks.
     """
     import os
 
@@ -57,19 +61,18 @@ def pieces(docs: DataFrame, path: str | None = None, room: int = ROOM, end: int
     """doc_id, piece, start, length, ids_crc32. A null text counts as empty: a piece of the end id alone."""
     path = path or vocabulary()
 
-    def run(batches):
+    @F.pandas_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder(path)
-        for pdf in batches:
-            out = defaultdict(list)
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+        for texts in batches:
+            out = []
+            for text in texts:
                 ids = np.array([*encode(text or ""), end], "<u4")
-                for k, (start, length) in enumerate(cut(len(ids), room)):
-                    for name, v in (("doc_id", doc), ("piece", k), ("start", start), ("length", length), ("ids_crc32", binascii.crc32(ids[start : start + length].tobytes()))):
-                        out[name].append(v)
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                out.append([{"piece": k, "start": start, "length": n, "ids_crc32": binascii.crc32(ids[start : start + n].tobytes())} for k, (start, n) in enumerate(cut(len(ids), room))])
+            yield pd.Series(out)
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    # only texts go to Python, so ids stay as they are
+    return docs.select("doc_id", F.explode(run("text")).alias("x")).select("doc_id", "x.*")
 
 
 def patterns(count: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, ...], int]]:

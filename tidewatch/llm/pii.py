@@ -6,6 +6,7 @@ import ipaddress
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -149,10 +150,10 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
-def _found(batches):
-    for pdf in batches:
+def _found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
         out = []
-        for text in pdf["text"]:
+        for text in texts:
             sure = base(text)
             more = [(k, a, b) for k, a, b in candidates(text)]
             named = [{"kind": k, "start": a, "end": b} for k, a, b in sure]
@@ -161,7 +162,7 @@ def _found(batches):
                 covered = any(x < b and a < y for _, x, y in sure)
                 rows.append({"kind": k, "start": a, "end": b, "covered": covered, "label": int(covered or known(text, k, a, b)), "features": describe(text, k, a, b)})
             out.append((named, rows))
-        yield pdf.assign(base=[x for x, _ in out], more=[x for _, x in out])[["doc_id", "row", "base", "more"]]
+        yield pd.DataFrame({"base": [x for x, _ in out], "more": [x for _, x in out]})
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -176,10 +177,11 @@ def detect(docs: DataFrame) -> DataFrame:
     checks that they do not see. They are fitted on a bounded sample by hash, an equal part of it for each kind. The
     thresholds are set on all other candidates.
     """
-    kind = dict(docs.dtypes)["doc_id"]
     span = "struct<kind: string, start: int, end: int>"
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    found = materialize(texts.mapInPandas(_found, f"doc_id {kind}, row long, base array<{span}>, more array<struct<kind: string, start: int, end: int, covered: boolean, label: int, features: array<double>>>"), "found")
+    search = F.pandas_udf(_found, f"base array<{span}>, more array<struct<kind: string, start: int, end: int, covered: boolean, label: int, features: array<double>>>")
+    # only texts go to Python, so ids stay as they are
+    found = materialize(texts.select("doc_id", "row", search("text").alias("x")).select("doc_id", "row", "x.base", "x.more"), "found")
     more = found.where("size(more) > 0").select("row", F.posexplode("more").alias("at", "x")).select("row", "at", "x.*").withColumn("vector", array_to_vector("features"))
     order = F.xxhash64("row", "at")
     first = [more.where((F.col("kind") == k) & (F.pmod(order, F.lit(2)) == 0)).orderBy(order, "row", "at").limit(SAMPLE // len(WIDER)) for k in WIDER]
@@ -197,18 +199,19 @@ def detect(docs: DataFrame) -> DataFrame:
     rated = rated.where(passed).groupBy("row").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), "start", (-F.col("end")).alias("last"), "kind"))).alias("rated"))
     joined = found.select("doc_id", "row", "base").join(rated, "row", "left")
 
-    def run(batches):
-        for pdf in batches:
+    @F.pandas_udf(f"array<{span}>")
+    def pick(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
             added = []
-            for rated in pdf["rated"]:
+            for rated in lists:
                 taken: list[tuple[int, int, str]] = []
                 for r in rated if rated is not None else ():
                     if not any(a < -r["last"] and r["start"] < b for a, b, _ in taken):
                         taken.append((r["start"], -r["last"], r["kind"]))
                 added.append([{"kind": k, "start": a, "end": b} for a, b, k in sorted(taken, key=lambda x: (KINDS.index(x[2]), x[0]))])
-            yield pdf.assign(added=added)[["doc_id", "base", "added"]]
+            yield pd.Series(added)
 
-    return joined.mapInPandas(run, f"doc_id {kind}, base array<{span}>, added array<{span}>")
+    return joined.select("doc_id", "base", pick("rated").alias("added"))
 
 
 def thresholds(scored: DataFrame, precision: float = PRECISION) -> dict[str, float]:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +22,10 @@ SHARPNESS = 4  # a neighbour's weight is its cosine to this power
 _MARKS = b" \n.,!|*%$&#"
 _CLASSES = len(_MARKS) + 4
 _BUCKETS = 10
-TERMS = _CLASSES**3 + 3 * _BUCKETS
+_SHAPES = _CLASSES**3 + 3 * _BUCKETS
+_WORDS = 1 << 13  # buckets of words, by hash
+TERMS = _SHAPES + _WORDS
+MEANING = 0.5  # weight of the words beside the shapes
 
 
 def _byte_classes() -> np.ndarray:
@@ -32,31 +38,45 @@ def _byte_classes() -> np.ndarray:
     return out
 
 
-def terms(text: str, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(term, count): triples of the classes of successive runs of characters, and tenths of how repetitive the text is."""
-    raw = text.encode("utf-8", "surrogatepass")
-    if not raw.strip():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    c = classes[np.frombuffer(raw, np.uint8)]
-    c = c[np.append(True, (c[1:] != c[:-1]) | (c[1:] > 4))]
-    t = (c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:]
-    n = np.bincount(t, minlength=_CLASSES**3)
-    w = raw.lower().split()
-    pairs = max(1, len(w) - 1)
-    same = sum(map(bytes.__eq__, w, w[1:])) / pairs
-    again = 1 - len(set(zip(w, w[1:]))) / pairs if len(w) > 1 else 0
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    twice = 1 - len(set(lines)) / max(1, len(lines))
-    extra = [_CLASSES**3 + k * _BUCKETS + min(_BUCKETS - 1, int(np.ceil(x * 10))) for k, x in enumerate((same, again, twice))]
-    own = np.flatnonzero(n)
-    return np.append(own, extra), np.append(n[own], [20, 20, 20])
+class Reader(dict):
+    """The terms of texts; as a dict, the bucket of each word met."""
+
+    def __init__(self):
+        self.classes = _byte_classes()
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        own = self[word] = _SHAPES + (xxhash.xxh32_intdigest(word.strip(b".,;:!?\"'()[]")) & (_WORDS - 1))
+        return own
+
+    def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(term, count): words, in small letters and by buckets; triples of the classes of successive runs of
+        characters; and tenths of how repetitive the text is."""
+        raw = text.encode("utf-8", "surrogatepass")
+        w = raw.lower().split()
+        if not w:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        c = self.classes[np.frombuffer(raw, np.uint8)]
+        c = c[np.append(True, (c[1:] != c[:-1]) | (c[1:] > 4))]
+        t = (c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:]
+        n = np.bincount(t, minlength=_CLASSES**3)
+        pairs = max(1, len(w) - 1)
+        same = sum(map(bytes.__eq__, w, w[1:])) / pairs
+        again = 1 - len(set(zip(w, w[1:]))) / pairs if len(w) > 1 else 0
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        twice = 1 - len(set(lines)) / max(1, len(lines))
+        extra = [_CLASSES**3 + k * _BUCKETS + min(_BUCKETS - 1, int(np.ceil(x * 10))) for k, x in enumerate((same, again, twice))]
+        own = np.flatnonzero(n)
+        word, often = np.unique(np.fromiter(map(self.__getitem__, w), np.int64, len(w)), return_counts=True)
+        return np.concatenate([own, extra, word]), np.concatenate([n[own], [20, 20, 20], often])
 
 
 def _frequencies(batches):
-    classes, n, docs = _byte_classes(), np.zeros(TERMS, np.int64), 0
+    reader, n, docs = Reader(), np.zeros(TERMS, np.int64), 0
     for pdf in batches:
         for text in pdf["text"]:
-            t, _ = terms(text or "", classes)
+            t, _ = reader.terms(text or "")
             n[t] += 1
             docs += 1
     at = np.flatnonzero(n)
@@ -64,9 +84,9 @@ def _frequencies(batches):
 
 
 def _packed(batches):
-    classes = _byte_classes()
+    reader = Reader()
     for pdf in batches:
-        t = [terms(x, classes) for x in pdf["text"]]
+        t = [reader.terms(x) for x in pdf["text"]]
         yield pd.DataFrame({"label": pdf["label"], "terms": [a.astype(np.int32).tobytes() for a, _ in t], "counts": [b.astype(np.int32).tobytes() for _, b in t]})
 
 
@@ -87,6 +107,8 @@ class Model:
         x = np.zeros((len(rows), TERMS), np.float32)
         for i, (t, n) in enumerate(rows):
             x[i, t] = np.log1p(n) * self.idf[t]
+        x[:, :_SHAPES] = self.unit(x[:, :_SHAPES])
+        x[:, _SHAPES:] = MEANING * self.unit(x[:, _SHAPES:])
         return self.unit(x)
 
     @staticmethod
@@ -130,14 +152,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     held = share(docs.sparkSession, model)
 
-    def run(batches):
-        own, classes = held(), _byte_classes()
-        for pdf in batches:
-            rows = [terms(t or "", classes) for t in pdf["text"]]
+    @F.pandas_udf("double")
+    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own, reader = held(), Reader()
+        for texts in batches:
+            rows = [reader.terms(t or "") for t in texts]
             parts = [own.scores(rows[i : i + 256]) for i in range(0, len(rows), 256)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.concatenate(parts) if parts else []})
+            yield pd.Series(np.concatenate(parts) if parts else [], dtype=float)
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    # only texts go to Python, so ids stay as they are
+    return docs.select("doc_id", vote("text").alias("score"))
 
 
 def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
