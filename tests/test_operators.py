@@ -128,6 +128,13 @@ def test_components_and_communities(spark):
     assert {r["id"]: r["component"] for r in graph.components(df).collect()} == dict.fromkeys("abcxyz", "a") | dict.fromkeys("pq", "p")
     got = {r["id"]: r["community"] for r in communities.communities(df).collect()}
     assert got["a"] == got["b"] == got["c"] != got["x"] == got["y"] == got["z"]
+    # a ring of cliques: one community each, numbered by size, then name
+    e = [(f"{k}{i}", f"{k}{j}") for k, n in (("a", 4), ("b", 4), ("c", 5)) for i in range(n) for j in range(i)] + [("a0", "b0"), ("b1", "c0"), ("c1", "a1")]
+    got = {(r["community"], r["index"], r["id"][0]) for r in communities.communities(spark.createDataFrame(e, "src string, dst string")).collect()}
+    assert got == {("c0", 0, "c"), ("a0", 1, "a"), ("b0", 2, "b")}
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(120)], "src string, dst string")
+    assert {r["component"] for r in graph.components(chain).collect()} == {"n000"}
+    assert graph.components(chain.limit(0)).count() == 0 and communities.communities(chain.limit(0)).count() == 0
     assert {r["id"]: r["hops"] for r in graph.k_hop(df, spark.createDataFrame([("a",)], "id string"), 2).collect()} == {"a": 0, "b": 1, "c": 1, "x": 2}
 
 

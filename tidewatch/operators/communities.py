@@ -1,44 +1,72 @@
-"""Communities by label moves that raise modularity, as rounds of DataFrame jobs."""
+"""Communities by modularity, as rounds of DataFrame jobs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.graph import _cut, edge_weights
+from tidewatch.operators.graph import Rounds, edge_weights
 
 
-def communities(edges: DataFrame, rounds: int = 8, resolution: float = 1.0, least: int = 3) -> DataFrame:
-    """id, community (its smallest id) of communities of at least `least` nodes.
+def communities(edges: DataFrame, resolution: float = 1.0, least: int = 3) -> DataFrame:
+    """id, community (its smallest id), index (from 0: by size, largest first, then by name) of communities of at least
+    `least` nodes.
 
-    The local phase of Louvain for all nodes at once: every node looks at the communities of its neighbours and takes
-    the one with the largest gain (ties: the smallest name). In even rounds only moves to smaller names are made, in odd
-    ones only to larger, so that two nodes never change places. Ends when nobody moves. Each round is three joins and
+    Louvain: nodes move to the neighbouring community with the largest gain of modularity until no round raises it, then
+    each community becomes one node of a smaller graph, until no node of that moves. All nodes move at once; in even
+    rounds only to smaller names, in odd ones only to larger, so that two never change places. A round is a few joins and
     partially aggregated sums over the edges; no task sees a whole community.
     """
+    rounds = Rounds(edges.sparkSession)
     w = edge_weights(edges)
-    both = _cut(w.select("a", "b", "weight").unionByName(w.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    total = both.agg(F.sum("weight")).first()[0]
-    if not total:
-        return both.select(F.col("a").alias("id"), F.col("a").alias("community")).limit(0)
-    degree = both.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k"))
-    label = _cut(degree.withColumn("community", F.col("id")))
-    for r in range(rounds):
+    graph = rounds.write(w.select("a", "b", "weight").unionByName(w.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "graph")
+    total = graph.agg(F.sum("weight")).first()[0]
+    name = graph.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
+    while total:
+        label = _moves(graph, float(total), resolution, rounds)
+        if label is None:
+            break
+        name = rounds.write(name.join(label.select(F.col("id").alias("community"), F.col("community").alias("new")), "community").select("id", F.col("new").alias("community")), "name")
+        a, b = (label.select(F.col("id").alias(x), F.col("community").alias(f"c{x}")) for x in "ab")
+        graph = rounds.write(graph.join(a, "a").join(b, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")), "graph")
+    low = name.groupBy("community").agg(F.min("id").alias("name"), F.count("*").alias("n")).where(F.col("n") >= least)
+    # one row for each size: how many communities are larger
+    before = low.groupBy("n").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = low.join(before.select("n", "before"), "n").withColumn("index", F.col("before") + F.row_number().over(Window.partitionBy("n").orderBy("name")) - 1)
+    return name.join(ranked, "community").select("id", F.col("name").alias("community"), F.col("index").cast("long").alias("index"))
+
+
+def _moves(graph: DataFrame, total: float, resolution: float, rounds: Rounds) -> DataFrame | None:
+    """id, community after all rounds that raise modularity; null if none does."""
+    label = graph.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k")).withColumn("community", F.col("id"))
+    label = rounds.write(label, "label")
+    best, r, quiet, changed = _modularity(graph, label, total, resolution), 0, 0, False
+    while quiet < 2:  # neither moves down nor moves up are left
         size = label.groupBy("community").agg(F.sum("k").alias("sigma"))
-        near = both.join(label.select(F.col("id").alias("b"), F.col("community").alias("there")), "b").groupBy("a", "there").agg(F.sum("weight").alias("links"))
+        near = graph.where("a <> b").join(label.select(F.col("id").alias("b"), F.col("community").alias("there")), "b").groupBy("a", "there").agg(F.sum("weight").alias("links"))
         own = near.join(label.withColumnRenamed("id", "a"), "a").join(size.withColumnRenamed("community", "there"), "there")
         rest = F.when(F.col("there") == F.col("community"), F.col("sigma") - F.col("k")).otherwise(F.col("sigma"))
-        gain = F.round(F.col("links") - resolution * F.col("k") * rest / float(total), 9)
-        picked = own.groupBy("a").agg(F.min_by(F.struct("there", F.lit(1).alias("x")), F.struct((-gain).alias("g"), "there")).alias("best"), F.max(F.when(F.col("there") == F.col("community"), gain)).alias("stay"), F.max(gain).alias("top"))
-        moves = picked.where(F.col("top") > F.coalesce("stay", F.lit(0.0))).select(F.col("a").alias("id"), F.col("best.there").alias("new"))
+        gain = F.round(F.col("links") - resolution * F.col("k") * rest / total, 9)
+        picked = own.groupBy("a").agg(F.min_by("there", F.struct((-gain).alias("g"), "there")).alias("best"), F.max(F.when(F.col("there") == F.col("community"), gain)).alias("stay"), F.max(gain).alias("top"))
+        alone = label.join(size, "community").select(F.col("id").alias("a"), F.round(-resolution * F.col("k") * (F.col("sigma") - F.col("k")) / total, 9).alias("none"))
+        moves = picked.join(alone, "a").where(F.col("top") > F.coalesce("stay", "none")).select(F.col("a").alias("id"), F.col("best").alias("new"))
         new = label.join(moves, "id", "left").withColumn("go", F.coalesce((F.col("new") < F.col("community")) if r % 2 == 0 else (F.col("new") > F.col("community")), F.lit(False)))
-        new = _cut(new.select("id", "k", F.when(F.col("go"), F.col("new")).otherwise(F.col("community")).alias("community"), "go"))
-        moved = new.where("go").count()
-        label = new.drop("go")
-        if not moved and r > 0:
-            break
-    low = label.groupBy("community").agg(F.min("id").alias("name"), F.count("*").alias("n")).where(F.col("n") >= least)
-    return label.join(low, "community").select("id", F.col("name").alias("community"))
+        new = rounds.write(new.select("id", "k", F.when(F.col("go"), F.col("new")).otherwise(F.col("community")).alias("community"), "go"), "moved")
+        r += 1
+        value = _modularity(graph, new, total, resolution) if not new.where("go").isEmpty() else best
+        if value > best + 1e-9:
+            best, quiet, changed = value, 0, True
+            label = rounds.write(new.drop("go"), "label")
+        else:
+            quiet += 1
+    return label if changed else None
+
+
+def _modularity(graph: DataFrame, label: DataFrame, total: float, resolution: float) -> float:
+    a, b = (label.select(F.col("id").alias(x), F.col("community").alias(f"c{x}")) for x in "ab")
+    inside = graph.join(a, "a").join(b, "b").where("ca = cb").agg(F.sum("weight")).first()[0] or 0
+    spread = label.groupBy("community").agg(F.sum("k").alias("s")).agg(F.sum(F.col("s").cast("double") * F.col("s"))).first()[0] or 0
+    return inside / total - resolution * spread / total**2
 
 
 def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:

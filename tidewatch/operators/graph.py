@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -99,35 +101,56 @@ def edge_weights(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("weight")).where("a <> b")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, component: the smallest id reachable. Minimum labels, then labels of labels, until nothing changes.
+class Rounds:
+    """Tables of a loop, written as Parquet in the shared folder (spark.checkpoint.dir) so that lineage is cut and a lost
+    executor costs its running tasks only. Each name has two places, written in turn, so old rounds take no room."""
 
-    Every round is a partially aggregated minimum and two equi joins; lineage is cut by checkpoint() in the shared folder.
+    def __init__(self, spark):
+        self.spark, self.turn = spark, {}
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:  # as in tests
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="tidewatch-")
+            spark.conf.set("spark.checkpoint.dir", base)
+        self.path = f"{base}/rounds-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        turn = self.turn[name] = 1 - self.turn.get(name, 1)
+        path = f"{self.path}/{name}-{turn}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, component: the smallest id reachable over (src, dst) links; ids without links to others are absent.
+
+    Alternating large-star and small-star steps until nothing changes. Each is a partially aggregated minimum and an equi
+    join, so a hub with very many neighbours is pre-aggregated in the first and split by the skew join in the second. The
+    number of rounds grows with the logarithm of the longest chain.
     """
-    pairs = undirected(edges)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low")).withColumnRenamed("a", "id")
-    changed = -1
-    for _ in range(rounds):
-        label = _cut(label)
-        if changed == 0:
+    rounds = Rounds(edges.sparkSession)
+    pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
+    pairs = rounds.write(pairs, "links")
+    mark = _mark(pairs)
+    while mark[0]:
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        pairs = rounds.write(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        old, mark = mark, _mark(pairs)
+        if mark == old:
             break
-        seen = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("low").alias("near"))
-        new = label.join(seen, F.col("id") == F.col("a"), "left").select("id", F.col("low").alias("was"), F.least("low", "near").alias("low"))
-        hop = label.select(F.col("id").alias("k"), F.col("low").alias("further"))
-        new = _cut(new.join(hop, F.col("low") == F.col("k"), "left").select("id", "was", F.least("low", "further").alias("low")))
-        changed = new.where("low <> was").count()
-        label = new.select("id", "low")
-    return label.withColumnRenamed("low", "component")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewatch-"))
-    return df.checkpoint()
+    own = pairs.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(own).distinct()
+
+
+def _mark(pairs: DataFrame) -> tuple:
+    row = pairs.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(u, v) as decimal(38, 0))"))).first()
+    return row[0], row[1]
 
 
 def rings(members: DataFrame, used: DataFrame, sent: DataFrame, motifs: DataFrame, least: int = 3) -> DataFrame:

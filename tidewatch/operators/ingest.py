@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 # Vendor kinds and what they are called here.
 VOICE_KINDS = {"CALL_START": "call_start", "CALL_SETUP": "call_start", "CALL_END": "call_end", "CALL_RELEASE": "call_end", "REGISTRATION": "registration", "HANDOVER": "handover"}
-MOMO_KINDS = {"P2P": "p2p_transfer", "SEND": "p2p_transfer", "CASH_IN": "cash_in", "DEPOSIT": "cash_in", "CASH_OUT": "cash_out", "WITHDRAWAL": "cash_out", "MERCHANT": "merchant_payment", "REVERSAL": "reversal"}
+MOMO_KINDS = {
+    "P2P": "p2p_transfer", "P2P_TRANSFER": "p2p_transfer", "DEPOSIT": "cash_in", "CASH_IN": "cash_in", "WITHDRAWAL": "cash_out", "CASH_OUT": "cash_out",
+    "BILL": "bill_payment", "MERCHANT": "merchant_payment", "BANK_TRANSFER": "bank_transfer", "INTL_REMIT": "international_remittance", "REVERSAL": "reversal",
+}
 
 
 def kind(value: Column, names: dict[str, str]) -> Column:

@@ -124,16 +124,19 @@ def check_names(queries: DataFrame, watchlist: DataFrame, threshold: float = 0.8
     """query_id, entry_id, score of each query's best entry at or above threshold (ties: the smaller entry_id).
 
     Without an equal sound a score is 0.7 at most, so all hits above that share one: two equi joins replace all pairs.
+    Each different name is looked up once, against the different names of the list, however many rows have it.
     """
     if threshold <= 0.7:
         raise ValueError("blocking by sounds is lossless above 0.7 only")
-    q = queries.withColumn("s", sounds_udf("name")).select("query_id", "s.*")
-    w = watchlist.withColumn("s", sounds_udf("name")).select("entry_id", F.col("s.soundex").alias("w_soundex"), F.col("s.metaphone").alias("w_metaphone"), F.col("s.tokens").alias("w_tokens"))
-    pair = ["query_id", "entry_id", "tokens", "w_tokens"]
+    q = queries.select("name").distinct().withColumn("s", sounds_udf("name")).select("name", "s.*")
+    w = watchlist.groupBy("name").agg(F.min("entry_id").alias("entry_id")).withColumn("s", sounds_udf("name"))
+    w = w.select("entry_id", F.col("s.soundex").alias("w_soundex"), F.col("s.metaphone").alias("w_metaphone"), F.col("s.tokens").alias("w_tokens"))
+    pair = ["name", "entry_id", "tokens", "w_tokens"]
     by_soundex = q.join(w, F.expr("soundex = w_soundex and soundex <> ''")).select(pair)
     by_metaphone = q.join(w, F.expr("metaphone = w_metaphone and metaphone <> '' and not (soundex = w_soundex and soundex <> '')")).select(pair)
-    rated = by_soundex.unionByName(by_metaphone).select("query_id", "entry_id", F.round(match_udf("tokens", "w_tokens"), 6).alias("score")).where(F.col("score") >= threshold)
-    return rated.groupBy("query_id").agg(F.min_by(F.struct("entry_id", "score"), F.struct(-F.col("score"), "entry_id")).alias("b")).select("query_id", "b.*")
+    rated = by_soundex.unionByName(by_metaphone).select("name", "entry_id", F.round(match_udf("tokens", "w_tokens"), 6).alias("score")).where(F.col("score") >= threshold)
+    best = rated.groupBy("name").agg(F.min_by(F.struct("entry_id", "score"), F.struct(-F.col("score"), "entry_id")).alias("b"))
+    return queries.select("query_id", "name").join(best, "name").select("query_id", "b.*")
 
 
 def severity(score: Column) -> Column:

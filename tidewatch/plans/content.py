@@ -13,22 +13,24 @@ from tidewatch.plans.base import query
 
 # Messages: the synthetic bodies have no links or scam words, so some are set in front.
 LINKS = "['', 'Claim your prize now, urgent http://mtn-Promo.com/win?x=1. ', 'see https://bit.ly/AbC9) ', 'pay GHS 1,250.50 to 0241234567 code 88213 ', 'visit http://ecobnk.com/a ', 'go http://shop.example.net/z! ']"
-BODY_SQL = f"({LINKS})[event_id % 6 + 1] || regexp_replace(left(coalesce(body, ''), 80), '[^ -~]+', ' ', 'g')"
+BODY_SQL = f"({LINKS})[event_id % 6 + 1] || coalesce(body, '')"
 MSG = f"msg as (select event_id, template_hash, {BODY_SQL} body from sms)"
 
 
 def messages(v) -> DataFrame:
     links = F.expr("array" + LINKS.replace("[", "(", 1)[:-1] + ")")
-    text = F.regexp_replace(F.substring(F.coalesce("body", F.lit("")), 1, 80), "[^ -~]+", " ")
+    text = F.coalesce("body", F.lit(""))
     return v.sms.select("event_id", "template_hash", F.concat(F.element_at(links, (F.col("event_id") % 6 + 1).cast("int")), text).alias("body"))
 
 
+# DuckDB takes letters beyond ASCII for the end of a word; they are set in low lines while patterns are matched.
+FOREIGN = "([^\\x00-\\x7F\\PL])"
 COLL = "trim(regexp_replace(body, '\\s+', ' ', 'g'))"
 
 
 @query("sms_template_hash", f"""with {MSG}, t as (select event_id, {COLL} b from msg)
-    select event_id, 'sha256:' || sha256(b) body_hash, regexp_replace(regexp_replace(regexp_replace(lower(b), '{c.PHONE}', '<MSISDN>', 'g'),
-        '{c.AMOUNT}', '<AMOUNT>', 'g'), '{c.NUMBER}', '<NUM>', 'g') as template from t""")
+    select event_id, 'sha256:' || sha256(b) body_hash, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(b), '{FOREIGN}', '_\\1_', 'g'),
+        '{c.PHONE}', '<MSISDN>', 'g'), '{c.AMOUNT}', '<AMOUNT>', 'g'), '{c.NUMBER}', '<NUM>', 'g'), '_{FOREIGN}_', '\\1', 'g') as template from t""")
 def sms_template(v):
     return messages(v).select("event_id", c.body_hash(F.col("body")).alias("body_hash"), c.template(F.col("body")).alias("template"))
 
@@ -152,39 +154,43 @@ def redact(v):
     return v.events.select("event_id", c.redact(F.expr("concat('+', 233240000000 + user_id)")).alias("msisdn"), c.redact(F.expr("lpad(cast(event_id as string), 12, '7')")).alias("num"), c.redact(F.col("event_type")).alias("word"), c.scrub(note).alias("note"))
 
 
-# Names from the texts: their first words, and copies with a letter changed.
-NAMES = "nm as (select doc_id, regexp_replace(lower(array_to_string(string_split(text, ' ')[1:2], ' ')), '[^a-z ]', '', 'g') nm from documents)"
+# Names: neighbouring words of all texts, and the names of all parts. DuckDB compares bytes, so each letter beyond ASCII
+# is set as one control character there.
+WORDS = "regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')"
 
 
-def doc_names(v) -> DataFrame:
-    first = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
-    return v.table("documents").select("doc_id", F.regexp_replace(F.lower(first), "[^a-z ]", "").alias("nm"))
+def words(v) -> DataFrame:
+    return v.table("documents").select(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), " ").alias("w"))
 
 
-@query("jaro_winkler", f"""with {NAMES}, p as (select a.doc_id, a.nm a, b.nm b from nm a join nm b on b.doc_id = a.doc_id + 1), j as (select *, jaro_similarity(a, b) j,
-        case when left(a, 1) <> left(b, 1) or a = '' or b = '' then 0 when left(a, 2) <> left(b, 2) or least(length(a), length(b)) < 2 then 1 when left(a, 3) <> left(b, 3) or least(length(a), length(b)) < 3 then 2
-            when left(a, 4) <> left(b, 4) or least(length(a), length(b)) < 4 then 3 else 4 end p from p) select doc_id, a, b, round(j + p * 0.1 * (1 - j), 6) score from j""")
+@query("jaro_winkler", f"""with t as (select string_split({WORDS}, ' ') w from documents), p as (select distinct w[i] a, w[i + 1] b from (select w, unnest(range(1, len(w))) i from t)),
+    f as (select string_agg(x, '' order by x) x, string_agg(chr(n::int), '' order by x) y from (select x, row_number() over (order by x) n from (select distinct unnest(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x7F]')) x from documents))),
+    q as (select a, b, translate(a, f.x, f.y) ma, translate(b, f.x, f.y) mb from p, f),
+    j as (select a, b, jaro_similarity(coalesce(ma, a), coalesce(mb, b)) j, case when left(a, 1) <> left(b, 1) or a = '' or b = '' then 0 when left(a, 2) <> left(b, 2) or least(length(a), length(b)) < 2 then 1
+        when left(a, 3) <> left(b, 3) or least(length(a), length(b)) < 3 then 2 when left(a, 4) <> left(b, 4) or least(length(a), length(b)) < 4 then 3 else 4 end p from q) select a, b, round(j + p * 0.1 * (1 - j), 6) score from j""")
 def jaro_winkler(v):
-    x = doc_names(v)
-    y = x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("nm").alias("b"))
-    return x.join(y, "doc_id").select("doc_id", F.col("nm").alias("a"), "b", F.round(n.jaro_winkler_udf("nm", "b"), 6).alias("score"))
+    two = F.filter(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["b"].isNotNull())
+    own = words(v).select(F.explode(two).alias("x")).select("x.*").distinct()
+    return own.withColumn("score", F.round(n.jaro_winkler_udf("a", "b"), 6))
 
 
 @query("soundex_ref")
 def soundex_ref(v):
-    return doc_names(v).withColumn("s", n.sounds_udf("nm")).select("doc_id", "nm", "s.soundex")
+    own = words(v).select(F.explode("w").alias("word")).distinct()
+    return own.withColumn("s", n.sounds_udf("word")).select("word", "s.soundex")
 
 
 @query("metaphone_ref")
 def metaphone_ref(v):
-    return doc_names(v).withColumn("s", n.sounds_udf("nm")).select("doc_id", "nm", "s.metaphone")
+    own = words(v).select(F.explode("w").alias("word")).distinct()
+    return own.withColumn("s", n.sounds_udf("word")).select("word", "s.metaphone")
 
 
 @query("aml_name")
 def aml_name(v):
-    own = doc_names(v)
-    q = own.select(F.col("doc_id").alias("query_id"), F.expr("concat(substr(nm, 1, 3), substr(nm, 5))").alias("name")).where("query_id % 3 = 0")
-    hits = n.check_names(q, own.where("doc_id % 3 <> 1").select(F.col("doc_id").alias("entry_id"), F.col("nm").alias("name")))
+    own = v.table("part").select("p_partkey", F.col("p_name").alias("nm"))
+    q = own.select(F.col("p_partkey").alias("query_id"), F.expr("concat(substr(nm, 1, 3), substr(nm, 5))").alias("name"))
+    hits = n.check_names(q, own.select(F.col("p_partkey").alias("entry_id"), F.col("nm").alias("name")))
     return hits.withColumn("severity", n.severity(F.col("score")))
 
 
@@ -301,20 +307,25 @@ def ingest_voice(v):
     return i.voice(v.voice.select(F.expr("if(event_id % 4 = 0, concat('vend-', event_id), null)").alias("vendor_id"), F.expr(kinds).alias("event_type"), "caller", "callee", "ts_ms", "imei"))
 
 
-@query("ingest_momo", """with r as (select 'tx' || event_id txn_id, (['p2p', 'Deposit', 'WITHDRAWAL', 'reversal', 'merchant', 'bill'])[event_id % 6 + 1] event_type, sender_wallet sender, recipient_wallet recipient, amount_minor, ts_ms, counterparty_kind from momo)
-    select 'momo_' || left(sha256(txn_id || '|' || event_type || '|' || ts_ms), 24) event_id, case upper(event_type) when 'P2P' then 'p2p_transfer' when 'DEPOSIT' then 'cash_in' when 'WITHDRAWAL' then 'cash_out' when 'REVERSAL' then 'reversal' when 'MERCHANT' then 'merchant_payment' end kind,
-        sender, recipient, amount_minor, 'GHS' currency, counterparty_kind, ts_ms, coalesce(sender, recipient, txn_id) partition_key from r""")
+MOMO_RAW = "'p2p', 'Deposit', 'WITHDRAWAL', 'reversal', 'merchant', 'bill', 'P2P_Transfer', 'cash_in', 'CASH_OUT', 'bank_transfer', 'intl_remit', 'send'"
+
+
+@query("ingest_momo", f"""with r as (select 'tx' || event_id txn_id, ([{MOMO_RAW}])[event_id % 12 + 1] event_type, sender_wallet sender, recipient_wallet recipient, amount_minor, ts_ms, counterparty_kind from momo),
+    k(raw, kind) as (values ('p2p', 'p2p_transfer'), ('p2p_transfer', 'p2p_transfer'), ('deposit', 'cash_in'), ('cash_in', 'cash_in'), ('withdrawal', 'cash_out'), ('cash_out', 'cash_out'), ('bill', 'bill_payment'),
+        ('merchant', 'merchant_payment'), ('bank_transfer', 'bank_transfer'), ('intl_remit', 'international_remittance'), ('reversal', 'reversal'))
+    select 'momo_' || left(sha256(txn_id || '|' || event_type || '|' || ts_ms), 24) event_id, k.kind, sender, recipient, amount_minor, 'GHS' currency, counterparty_kind, ts_ms, coalesce(sender, recipient, txn_id) partition_key
+    from r left join k on raw = lower(event_type)""")
 def ingest_momo(v):
-    kinds = F.expr("element_at(array('p2p', 'Deposit', 'WITHDRAWAL', 'reversal', 'merchant', 'bill'), cast(event_id % 6 + 1 as int))")
+    kinds = F.expr(f"element_at(array({MOMO_RAW}), cast(event_id % 12 + 1 as int))")
     return i.momo(v.momo.select(F.lit(None).cast("string").alias("vendor_id"), kinds.alias("event_type"), F.expr("concat('tx', event_id)").alias("txn_id"), F.col("sender_wallet").alias("sender"), F.col("recipient_wallet").alias("recipient"), "amount_minor", F.lit("ghs").alias("currency"), F.upper("counterparty_kind").alias("counterparty"), "ts_ms"))
 
 
-@query("ingest_sms", """select event_id, (['mt', 'mo', 'mt_delivery_receipt'])[event_id % 3 + 1] kind, case when event_id % 2 = 0 then left(body, 40) end body,
+@query("ingest_sms", """select event_id, (['mt', 'mo', 'mt_delivery_receipt'])[event_id % 3 + 1] kind, case when event_id % 3 < 2 then body end body,
     coalesce(lower(case event_id % 4 when 0 then 'TRUE' when 1 then '1' when 2 then 'no' end) in ('true', '1', 'yes'), false) rcs_verified from sms""")
 def ingest_sms(v):
     flag = F.expr("case event_id % 4 when 0 then 'TRUE' when 1 then '1' when 2 then 'no' end")
     kinds = i.kind(F.expr("element_at(array('SUBMIT', 'origin', 'RECEIPT'), cast(event_id % 3 + 1 as int))"), {"SUBMIT": "mt", "ORIGIN": "mo", "RECEIPT": "mt_delivery_receipt"})
-    return v.sms.select("event_id", kinds.alias("kind"), F.when(F.expr("event_id % 2 = 0"), F.substring("body", 1, 40)).alias("body"), i.truthy(flag).alias("rcs_verified"))
+    return v.sms.select("event_id", kinds.alias("kind"), F.when(F.expr("event_id % 3 < 2"), F.col("body")).alias("body"), i.truthy(flag).alias("rcs_verified"))
 
 
 @query("ingest_data", f"""with k as (select event_id, kind, msisdn, {CANON} as domain, rdata from data) select event_id, kind, domain, coalesce(rdata, domain) target, coalesce(msisdn, 'd:' || domain, event_id::varchar) partition_key from k where domain is not null or rdata is not null""")

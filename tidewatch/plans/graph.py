@@ -126,16 +126,22 @@ def voice_then_momo_lab(v):
     return m.voice_then_momo(v.voice.where("kind = 'call_start'"), v.owns, v.sent, LAB * 30 * m.MINUTE)
 
 
-@query("motif_sms_url", f"""with q as (select msisdn, domain, ts_ms, event_id from data where kind = 'dns_query' and msisdn is not null and domain like '%.net')
+SMS_URL = f"""with q as (select msisdn, domain, ts_ms, event_id from data where kind = 'dns_query' and msisdn is not null and domain like '%.net')
     select s.event_id sms_id, sender, recipient, arg_min(domain, (q.ts_ms, q.event_id)) as domain, (min(q.ts_ms) - s.ts_ms) // 1000 lag_s, 0.94::double confidence
-    from sms s join q on recipient = msisdn and q.ts_ms > s.ts_ms and q.ts_ms <= s.ts_ms + {LAB * m.HOUR} group by s.event_id, sender, recipient, s.ts_ms""")
+    from sms s join q on recipient = msisdn and q.ts_ms > s.ts_ms and q.ts_ms <= s.ts_ms + {LAB * m.HOUR} group by s.event_id, sender, recipient, s.ts_ms"""
+
+
+@query("motif_sms_url", SMS_URL)
 def sms_url(v):
     return m.sms_url(v.sms, v.data, v.data.where("domain like '%.net'"), LAB * m.HOUR)
 
 
-@query("motif_device_fusion", """with p as (select distinct imei, caller number from voice), n as (select imei, count(*) n, string_agg(number, ',' order by number) numbers from p group by 1 having count(*) >= 2),
+FUSION = """with p as (select distinct imei, caller number from voice), n as (select imei, count(*) n, string_agg(number, ',' order by number) numbers from p group by 1 having count(*) >= 2),
     w as (select imei, string_agg(wallet, ',' order by wallet) wallets from (select distinct imei, wallet from p join owns using (number) where wallet in (select src from sent)) group by 1)
-    select imei, numbers, wallets, round(least(0.95, 0.7 + 0.05 * (n - 2)), 6)::double confidence from n join w using (imei)""")
+    select imei, numbers, wallets, round(least(0.95, 0.7 + 0.05 * (n - 2)), 6)::double confidence from n join w using (imei)"""
+
+
+@query("motif_device_fusion", FUSION)
 def device_fusion(v):
     return m.device_fusion(v.voice, v.owns, v.sent)
 
@@ -149,48 +155,56 @@ def sim_carousel(v):
 BUST = {"burst": 3 * m.DAY, "dormant": 31 * m.DAY, "least": 2, "amount": 2_000, "quiet": 25}
 
 
-@query("motif_bust_out", f"""with l as (select src, max(ts_ms) last_ms from sent group by 1), x as (select sent.src, ts_ms >= last_ms - {BUST["burst"]} hot, ts_ms, last_ms, amount_minor from sent join l using (src))
+BUST_OUT = f"""with l as (select src, max(ts_ms) last_ms from sent group by 1), x as (select sent.src, ts_ms >= last_ms - {BUST["burst"]} hot, ts_ms, last_ms, amount_minor from sent join l using (src))
     select src, count(*) filter (hot) burst_count, (coalesce(sum(amount_minor) filter (hot), 0))::bigint burst_amount, count(*) filter (not hot and ts_ms >= last_ms - {BUST["dormant"]}) dormant_count
-    from x group by 1 having burst_count >= {BUST["least"]} and burst_amount >= {BUST["amount"]} and dormant_count <= {BUST["quiet"]}""")
+    from x group by 1 having burst_count >= {BUST["least"]} and burst_amount >= {BUST["amount"]} and dormant_count <= {BUST["quiet"]}"""
+
+
+@query("motif_bust_out", BUST_OUT)
 def bust_out(v):
     return m.bust_out(v.sent, **BUST)
 
 
-@query("motif_mule_chain", f"""with recursive p as (select distinct [src, dst] path, ts_ms last from sent where src <> dst
+MULE = f"""with recursive p as (select distinct [src, dst] path, ts_ms last from sent where src <> dst
         union select list_append(path, dst), ts_ms from p join sent on src = path[-1] and ts_ms >= last and ts_ms - last <= {12 * m.HOUR} and not list_contains(path, dst) where len(path) < 6),
     c as (select distinct path from p where len(path) >= 3), f as (select src, dst, arg_min(amount_minor, (ts_ms, edge_id)) amount from sent group by all),
     l as (select path, unnest(range(1, len(path))) i from c)
     select array_to_string(path, '>') chain, len(path)::int length, sum(amount)::bigint total_amount_minor, round(least(0.95, 0.6 + 0.1 * (len(path) - 3)), 6)::double confidence
-    from l join f on src = path[i] and dst = path[i + 1] group by path""")
+    from l join f on src = path[i] and dst = path[i + 1] group by path"""
+
+
+@query("motif_mule_chain", MULE)
 def mule_chain(v):
     return m.mule_chains(v.sent, within=12 * m.HOUR)
 
 
-@query("all_motifs", f"""with a as ({vsm_sql(LAB * m.HOUR, LAB * m.DAY)}), b as ({vm_sql(LAB * 30 * m.MINUTE)}),
-    n as (select imei, count(distinct caller) n from voice group by 1 having count(distinct caller) >= 3)
-    select 'voice_sms_momo_24h' motif, call_id::varchar id, confidence from a union all select 'voice_then_momo_30m', call_id::varchar, confidence from b
-    union all select 'sim_carousel', imei, round(least(0.95, 0.55 + 0.1 * (n - 3)), 6)::double from n""")
+# The other motifs' rows are those of their own queries above: id and confidence of each.
+MOTIFS = f"""a as ({vsm_sql(LAB * m.HOUR, LAB * m.DAY)}), b as ({vm_sql(LAB * 30 * m.MINUTE)}), mc as ({MULE}), bo as ({BUST_OUT}), su as ({SMS_URL}), df as ({FUSION}),
+    n as (select imei, count(distinct caller) n from voice group by 1 having count(distinct caller) >= 3),
+    mo as (select 'voice_sms_momo_24h' motif, call_id::varchar id, confidence from a union all select 'voice_then_momo_30m', call_id::varchar, confidence from b
+        union all select 'sim_carousel', imei, round(least(0.95, 0.55 + 0.1 * (n - 3)), 6)::double from n union all select 'mule_chain', chain, confidence from mc union all select 'bust_out', src, 0.88 from bo
+        union all select 'sms_url', sms_id::varchar, confidence from su union all select 'device_fusion', imei, confidence from df)"""
+
+
+@query("all_motifs", f"with {MOTIFS} select motif, id, confidence::double confidence from mo")
 def all_motifs(v):
     return motif_union(v).select("motif", "id", "confidence")
 
 
 def motif_union(v) -> DataFrame:
+    """motif, id (of the call, message, device, wallet or chain), confidence of all seven detectors."""
     calls = v.voice.where("kind = 'call_start'")
-    a = m.voice_sms_momo(calls, v.sms, v.owns, v.sent, LAB * m.HOUR, LAB * m.DAY).select(F.lit("voice_sms_momo_24h").alias("motif"), F.col("call_id").cast("string").alias("id"), "confidence")
-    b = m.voice_then_momo(calls, v.owns, v.sent, LAB * 30 * m.MINUTE).select(F.lit("voice_then_momo_30m").alias("motif"), F.col("call_id").cast("string").alias("id"), "confidence")
-    c = m.sim_carousel(v.voice).select(F.lit("sim_carousel").alias("motif"), F.col("imei").alias("id"), "confidence")
-    return a.unionByName(b).unionByName(c)
-
-
-# Cash-outs of one hour in 24: a sparse part of the wallet graph, so that its components differ.
-SPARSE = "edge_id % 29 = 0"
-
-
-def sparse(v) -> DataFrame:
-    return v.sent.where(SPARSE)
+    found = {
+        "voice_sms_momo_24h": (m.voice_sms_momo(calls, v.sms, v.owns, v.sent, LAB * m.HOUR, LAB * m.DAY), "call_id"),
+        "voice_then_momo_30m": (m.voice_then_momo(calls, v.owns, v.sent, LAB * 30 * m.MINUTE), "call_id"),
+        "sim_carousel": (m.sim_carousel(v.voice), "imei"), "device_fusion": (m.device_fusion(v.voice, v.owns, v.sent), "imei"),
+        "mule_chain": (m.mule_chains(v.sent, within=12 * m.HOUR), "chain"), "bust_out": (m.bust_out(v.sent, **BUST).withColumn("confidence", F.lit(0.88)), "src"),
+        "sms_url": (m.sms_url(v.sms, v.data, v.data.where("domain like '%.net'"), LAB * m.HOUR), "sms_id"),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("motif"), F.col(key).cast("string").alias("id"), F.col("confidence").cast("double").alias("confidence")) for name, (df, key) in found.items()])
 
 
-REACH = f"""und as (select distinct least(src, dst) a, greatest(src, dst) b from sent where {SPARSE} and src <> dst),
+REACH = f"""und as (select distinct least(src, dst) a, greatest(src, dst) b from sent where src <> dst),
     bi as (select a, b from und union all select b, a from und),
     reach(id, seen) as (select a, a from bi union select bi.b, reach.seen from reach join bi on bi.a = reach.id),
     comp as (select id, min(seen) component from reach group by 1)"""
@@ -198,7 +212,7 @@ REACH = f"""und as (select distinct least(src, dst) a, greatest(src, dst) b from
 
 @query("components", f"with recursive {REACH} select id, component from comp")
 def components(v):
-    return g.components(sparse(v))
+    return g.components(v.sent)
 
 
 @query("degrees", "with u as (select distinct least(src, dst) a, greatest(src, dst) b from sent where src <> dst) select id, count(*) degree from (select a id from u union all select b from u) group by 1")
@@ -214,7 +228,7 @@ def edge_weights(v):
 @query("rings", f"""with recursive {REACH}, size as (select component, count(*) members from comp group by 1 having count(*) >= 3),
     sh as (select imei, min('W' || substr(caller, 2)) w from voice group by 1 having count(distinct caller) > 1),
     dv as (select component, count(*) devices from sh join comp on id = w group by 1),
-    fl as (select component, count(*) flows from (select distinct src, dst from sent where {SPARSE}) join comp on id = src group by 1),
+    fl as (select component, count(*) flows from (select distinct src, dst from sent) join comp on id = src group by 1),
     mo as (select component, count(distinct motif) motifs from (select 'mule' motif, sender_wallet id from momo where kind = 'cash_out' union all select 'rev', sender_wallet from momo where kind = 'reversal') join comp using (id) group by 1)
     select component, members, coalesce(devices, 0) devices, coalesce(flows, 0) flows, coalesce(motifs, 0) motifs,
         round(least(0.99, least(0.3, 0.05 * members) + least(0.3, 0.1 * coalesce(devices, 0)) + least(0.2, 0.05 * coalesce(flows, 0)) + least(0.4, 0.15 * coalesce(motifs, 0))), 6)::double score
@@ -222,22 +236,22 @@ def edge_weights(v):
 def rings(v):
     used = v.voice.select(F.concat(F.lit("W"), F.substring("caller", 2, 30)).alias("src"), F.col("imei").alias("dst"))
     motifs = v.momo.where("kind in ('cash_out', 'reversal')").select(F.expr("if(kind = 'cash_out', 'mule', 'rev')").alias("motif"), F.col("sender_wallet").alias("id"))
-    return g.rings(g.components(sparse(v)), used, sparse(v).select("src", "dst"), motifs)
+    return g.rings(g.components(v.sent), used, v.sent.select("src", "dst"), motifs)
 
 
-@query("khop", f"""with recursive u as (select distinct least(src, dst) a, greatest(src, dst) b from sent where {SPARSE} and src <> dst), bi as (select a, b from u union all select b, a from u),
+@query("khop", f"""with recursive u as (select distinct least(src, dst) a, greatest(src, dst) b from sent where src <> dst), bi as (select a, b from u union all select b, a from u),
     h(id, hops) as (select 'W19', 0 union select bi.b, hops + 1 from h join bi on bi.a = h.id where hops < 3)
     select id, min(hops)::int hops from h group by 1""")
 def khop(v):
-    return g.k_hop(sparse(v), v.spark.createDataFrame([("W19",)], "id string"))
+    return g.k_hop(v.sent, v.spark.createDataFrame([("W19",)], "id string"))
 
 
-@query("fund_flow", f"""with recursive e as (select src, dst, ts_ms, amount_minor from sent where {SPARSE}), hop as (select distinct src, dst from e where src <> dst),
+@query("fund_flow", f"""with recursive e as (select src, dst, ts_ms, amount_minor from sent), hop as (select distinct src, dst from e where src <> dst),
     p(path) as (select ['W19'] union all select list_append(path, dst) from p join hop on src = path[-1] and not list_contains(path, dst) where len(path) < 5),
     l as (select distinct path[i] src, path[i + 1] dst from (select path, unnest(range(1, len(path))) i from p))
     select src, dst, sum(amount_minor)::bigint amount_minor, count(*) n from e join l using (src, dst) group by 1, 2""")
 def fund_flow(v):
-    return g.fund_flow(sparse(v), v.spark.createDataFrame([("W19",)], "id string"))
+    return g.fund_flow(v.sent, v.spark.createDataFrame([("W19",)], "id string"))
 
 
 HASH = "sha256('salt|' || {kind} || '|' || {value})"
@@ -278,12 +292,12 @@ def cross_opco(v):
     return g.cross_operator(exits(v), flags)
 
 
-NODES = """hn as (select distinct 'O' || event_id % 3 opco, sender_wallet identifier_hash, case when event_id % 2 = 0 then 'Wallet' else 'Number' end kind, round(substr(sender_wallet, 2)::int % 10 / 10, 6) risk_score from momo where event_id % 50 = 0)"""
+NODES = """hn as (select distinct 'O' || event_id % 3 opco, sender_wallet identifier_hash, case when event_id % 2 = 0 then 'Wallet' else 'Number' end kind, round(substr(sender_wallet, 2)::int % 10 / 10, 6) risk_score from momo)"""
 
 
 def peer_nodes(v) -> DataFrame:
     n = F.substring("sender_wallet", 2, 30).cast("int")
-    return v.momo.where("event_id % 50 = 0").select(F.expr("concat('O', event_id % 3)").alias("opco"), F.col("sender_wallet").alias("identifier_hash"), F.expr("if(event_id % 2 = 0, 'Wallet', 'Number')").alias("kind"), F.round(n % 10 / 10, 6).alias("risk_score")).distinct()
+    return v.momo.select(F.expr("concat('O', event_id % 3)").alias("opco"), F.col("sender_wallet").alias("identifier_hash"), F.expr("if(event_id % 2 = 0, 'Wallet', 'Number')").alias("kind"), F.round(n % 10 / 10, 6).alias("risk_score")).distinct()
 
 
 @query("graph_merge", f"""with {NODES} select identifier_hash, min(kind) kind, max(risk_score) risk_score, string_agg(distinct opco, ',' order by opco) contributors,

@@ -13,11 +13,11 @@ SINCE = 1_705_000_000_000
 
 
 @query("graph_extract", f"""with {ops_cte("voice")}, e as (select distinct edge_kind kind, src_kind, src_id, dst_id, ts_ms from o where op = 'upsert_edge' and ts_ms >= {SINCE}),
-    n as (select distinct node_kind, node_id from o where op = 'upsert_node' and node_kind = 'Number' order by 1, 2 limit 60)
+    n as (select distinct node_kind, node_id from o where op = 'upsert_node' and node_kind = 'Number' order by 1, 2 limit 5000)
     select e.* from e where exists (select 1 from n where node_kind = src_kind and node_id = src_id)""")
 def graph_extract(v):
     ops = g.voice_operations(v.voice)
-    return r.extract_window(g.latest_nodes(ops), g.distinct_edges(ops), SINCE, 60, ("Number",)).select("kind", "src_kind", "src_id", "dst_id", "ts_ms")
+    return r.extract_window(g.latest_nodes(ops), g.distinct_edges(ops), SINCE, 5000, ("Number",)).select("kind", "src_kind", "src_id", "dst_id", "ts_ms")
 
 
 @query("agent_relevant", """with x as (select event_id, case when kind in ('cash_in', 'merchant_payment') then recipient_wallet else sender_wallet end agent, sender_wallet, recipient_wallet, account_hash from momo where channel = 'agent')
@@ -65,15 +65,15 @@ def report_events(v):
     return r.report_events(own).select("id", "source", "confidence")
 
 
-@query("federation_lookup", f"""with q as (select distinct 'Q' || substr(sender_wallet, 2)::int % 9 request_id, {HASH.format(kind="'Wallet'", value='sender_wallet')} identifier_hash from momo),
+@query("federation_lookup", f"""with q as (select distinct 'Q' || substr(sender_wallet, 2)::int // 300 request_id, {HASH.format(kind="'Wallet'", value='sender_wallet')} identifier_hash from momo),
     f as (select distinct {HASH.format(kind="'Wallet'", value='sender_wallet')} identifier_hash, 'P' || substr(sender_wallet, 2)::int % 3 peer from momo where substr(sender_wallet, 2)::int % 4 = 0)
-    select request_id, identifier_hash, peer from q join f using (identifier_hash) where request_id in (select request_id from q group by 1 having count(*) <= 16)""")
+    select request_id, identifier_hash, peer from q join f using (identifier_hash) where request_id in (select request_id from q group by 1 having count(*) <= 500)""")
 def federation_lookup(v):
     n = F.substring("sender_wallet", 2, 30).cast("int")
     own = r.hashed(v.momo.select("sender_wallet").distinct(), "Wallet", "sender_wallet", "salt")
-    asked = own.select(F.concat(F.lit("Q"), n % 9).alias("request_id"), "identifier_hash")
+    asked = own.select(F.concat(F.lit("Q"), F.floor(n / 300)).alias("request_id"), "identifier_hash")
     flags = own.where(n % 4 == 0).select("identifier_hash", F.concat(F.lit("P"), n % 3).alias("peer"))
-    return r.federation_lookup(asked, flags, 16).select("request_id", "identifier_hash", "peer")
+    return r.federation_lookup(asked, flags, 500).select("request_id", "identifier_hash", "peer")
 
 
 @query("held_motifs", """with m as (select distinct 'R' || substr(sender_wallet, 2)::int // 10 ring, sender_wallet id from momo), t as (select edge_id motif_id, src id from sent union select edge_id, dst from sent),

@@ -10,7 +10,7 @@ from tidewatch.operators import policy as p
 from tidewatch.operators import scoring as s
 from tidewatch.plans.base import query
 from tidewatch.plans.features import NUMBERS, WALLETS, H, f, numbers, over
-from tidewatch.plans.graph import motif_union, vm_sql, vsm_sql
+from tidewatch.plans.graph import MOTIFS, motif_union
 
 L = s.LAB_LIMITS
 NUM_SCORED = f"""{NUMBERS}, nf as (select msisdn, ts_ms, event_id, topic, count(*) filter (is_call) {over(f.MINUTE * 24, False)} velocity_1m, count(*) filter (is_call) {over(5 * f.MINUTE * 24, False)} velocity_5m,
@@ -69,10 +69,8 @@ def dispatch(v):
     return p.dispatch(decided(v)).select("event_id", "action", "tier", "topic")
 
 
-@query("policy_motifs", f"""with a as ({vsm_sql(24 * m.HOUR, 24 * m.DAY)}), b as ({vm_sql(24 * 30 * m.MINUTE)})
-    select call_id::varchar id, 'voice_sms_momo_24h' motif, 'voice-sms-momo-24h-motif-tier1' rule_id, 'investigation.escalate' as action, 'tier1' tier, 3600 window_s from a
-    union all select call_id::varchar, 'voice_then_momo_30m', 'default', 'investigation.queue', 'tier3', 0 from b
-    union all select imei, 'sim_carousel', 'default', 'investigation.queue', 'tier3', 0 from voice group by imei having count(distinct caller) >= 3""")
+@query("policy_motifs", f"""with {MOTIFS} select id, motif, case when up then 'voice-sms-momo-24h-motif-tier1' else 'default' end rule_id, case when up then 'investigation.escalate' else 'investigation.queue' end as action,
+    case when up then 'tier1' else 'tier3' end tier, case when up then 3600 else 0 end window_s from (select *, motif = 'voice_sms_momo_24h' and confidence >= 0.7 up from mo)""")
 def policy_motifs(v):
     return p.decide(motif_union(v), p.motif_predicate).select("id", "motif", "rule_id", "action", "tier", "window_s")
 
@@ -107,7 +105,7 @@ def xai_text(v):
 
 WORDS = ", ".join(f"'{w}'" for w in s.OTP_WORDS)
 # Bodies that read like messages: the synthetic texts have no such words.
-BODY = "case event_id % 6 when 0 then 'Your verification code is 48213. Do not share' when 1 then 'Use PIN to verify' when 2 then 'Balance 120 GHS' when 3 then 'OTP 9931' else left(body, 60) end"
+BODY = "case event_id % 6 when 0 then 'Your verification code is 48213. Do not share' when 1 then 'Use PIN to verify' when 2 then 'Balance 120 GHS' when 3 then 'OTP 9931' else body end"
 
 
 @query("otp_detect", f"""with b as (select event_id, {BODY} body, short_code from sms), x as (select *, len(list_filter([{WORDS}], lambda w: contains(lower(body), w)))::int n_words,
@@ -115,7 +113,7 @@ BODY = "case event_id % 6 when 0 then 'Your verification code is 48213. Do not s
     select event_id, code, n_words, (case when bank and n_words > 0 and code is not null then 0.97 when bank and (n_words > 0 or code is not null) then 0.92 when bank then 0.85
         when n_words > 0 and code is not null then 0.8 when n_words >= 2 then 0.55 else 0 end)::double confidence from x""")
 def otp_detect(v):
-    out = v.sms.select("event_id", s.detect_otp(F.expr(BODY.replace("left(body, 60)", "substr(body, 1, 60)")), F.col("short_code"), ["BANK"]).alias("o"))
+    out = v.sms.select("event_id", s.detect_otp(F.expr(BODY), F.col("short_code"), ["BANK"]).alias("o"))
     return out.select("event_id", "o.code", "o.n_words", "o.confidence")
 
 

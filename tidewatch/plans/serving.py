@@ -83,9 +83,9 @@ def flag_volume(v):
     return own.where("sender <> recipient").groupBy("sender", "recipient").agg(F.count("*").alias("n"))
 
 
-@query("block_share", "select s_suppkey id, peer, sha256('salt|number|N' || s_suppkey) identifier_hash, 0.85::double confidence from supplier, unnest(['P1', 'P2', 'P3']) p(peer) where s_suppkey % 3 = 0")
+@query("block_share", "select s_suppkey id, peer, sha256('salt|number|N' || s_suppkey) identifier_hash, 0.85::double confidence from supplier, unnest(['P1', 'P2', 'P3']) p(peer)")
 def block_share(v):
-    own = v.table("supplier").where("s_suppkey % 3 = 0").withColumn("peer", F.explode(F.array(F.lit("P1"), F.lit("P2"), F.lit("P3"))))
+    own = v.table("supplier").withColumn("peer", F.explode(F.array(F.lit("P1"), F.lit("P2"), F.lit("P3"))))
     return own.select(F.col("s_suppkey").alias("id"), "peer", F.sha2(F.concat_ws("|", F.lit("salt"), F.lit("number"), F.expr("concat('N', s_suppkey)")), 256).alias("identifier_hash"), F.lit(0.85).alias("confidence"))
 
 
