@@ -8,23 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import materialize, table
+from tidewatch.llm.notices import NOTICES
 
 SHINGLE = 5
 CONTAINED = 0.75
 MISSED = 1e-6  # probability that no band of a window that holds a template collides, at most
 
-# The notices that are looked for.
-NOTICES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "mit": "Released under the MIT License.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "reserved": "All rights reserved.",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "spdx-mit": "SPDX-License-Identifier: MIT",
-}
-
-
 def words(text: Column) -> Column:
     """Runs of letters and digits in small letters."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -36,9 +25,9 @@ def shingles(own: Column, width: int) -> Column:
     return F.when(F.size(own) >= width, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def least(own: Column, seed: int) -> Column:
+def least(own: Column, seed: Column) -> Column:
     """MinHash of shingles under one of a family of functions."""
-    return F.array_min(F.transform(own, lambda x: F.xxhash64(x, F.lit(seed))))
+    return F.array_min(F.transform(own, lambda x: F.xxhash64(x, seed)))
 
 
 def bands(m: int, stride: int, contained: float = CONTAINED) -> int:
@@ -69,39 +58,38 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, contained: float =
     """
     spark = docs.sparkSession
     given = spark.createDataFrame(sorted(notices.items()), "license_id string, text string").select("license_id", words(F.col("text")).alias("words")).where("size(words) > 0")
-    sizes = {r["license_id"]: r["n"] for r in given.select("license_id", F.size("words").alias("n")).collect()}
     docs = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("words"))
-    out = None
+    sizes = {r["license_id"]: r["n"] for r in given.select("license_id", F.size("words").alias("n")).collect()}  # of the fixed list
+    if not sizes:
+        return docs.select("doc_id", F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("n_windows")).where("false")
     kinds = sorted({shape(n) for n in sizes.values()})
-    templates, marks = {}, set()
-    for kind in kinds:
-        width, stride, held = kind
-        own = [i for i, n in sizes.items() if shape(n) == kind]
-        b = bands(held - stride + 1, stride, contained)
-        t = given.where(F.col("license_id").isin(own)).withColumn("shingles", shingles(F.col("words"), width))
-        rows = t.select("license_id", F.array_distinct("shingles").alias("template"), F.explode(F.array(*[F.struct(F.lit(i).alias("band"), least(F.col("shingles"), i).alias("value")) for i in range(b)])).alias("x")).select("license_id", "template", "x.*")
-        lead = [F.get("shingles", F.array_position(F.transform("shingles", lambda x: F.xxhash64(x, F.lit(i))), least(F.col("shingles"), i)).cast("int") - 1) for i in range(b)]
-        first = t.select(F.explode(F.array_distinct(F.array(*lead))).alias("lead"), "shingles", "words")
-        place = F.array_position("shingles", F.col("lead")).cast("int")
-        longest = F.array_max(F.transform(F.slice("words", place, width), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-        leads = first.select("lead", longest.alias("word")).collect()
-        templates[kind] = (b, rows, [r["lead"] for r in leads])
-        marks |= {r["word"] for r in leads}
+    kind = [F.when(F.col("license_id").isin([i for i, n in sizes.items() if shape(n) == k]), F.lit(at)) for at, k in enumerate(kinds)]
+    column = lambda f: F.element_at(F.array(*[F.lit(f(*k)) for k in kinds]), F.col("kind") + 1)
+    shapes = {"width": column(lambda w, s, h: w), "stride": column(lambda w, s, h: s), "held": column(lambda w, s, h: h), "bands": column(lambda w, s, h: bands(h - s + 1, s, contained))}
+    widths = sorted({w for w, _, _ in kinds})
+    own = lambda words_: F.coalesce(*[F.when(F.col("width") == w, shingles(words_, w)) for w in widths])
+    seeds = F.sequence(F.lit(0), F.col("bands") - 1)
+    # templates: their shingles, the value of each band, and for each the shingle that gives it
+    t = given.withColumn("kind", F.coalesce(*kind)).withColumns(shapes).withColumn("shingles", own(F.col("words")))
+    t = t.select("license_id", "kind", "shingles", "words", "width", F.explode(seeds).alias("band")).withColumn("value", least(F.col("shingles"), F.col("band")))
+    lead = F.filter("shingles", lambda x: F.xxhash64(x, F.col("band")) == F.col("value"))[0]
+    t = t.withColumn("lead", lead)
+    longest = F.array_max(F.transform(F.slice("words", F.array_position("shingles", F.col("lead")).cast("int"), F.col("width")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    leads = t.select("kind", "lead", longest.alias("word")).distinct().collect()  # of the fixed list
+    rows = t.select("license_id", "kind", "band", "value", F.array_distinct("shingles").alias("template"))
     # a collision needs a least shingle, and so all its words
-    near = docs.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(marks)])))
+    near = docs.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted({r["word"] for r in leads})])))
     near = materialize(near, "marked")
-    for (width, stride, held), (b, rows, leads) in templates.items():
-        own = near.select("doc_id", shingles(F.col("words"), width).alias("all")).where(F.arrays_overlap("all", F.array(*[F.lit(x) for x in leads])))
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") - 1), F.lit(stride))
-        wins = own.select("doc_id", "all", F.explode(starts).alias("start")).select("doc_id", "start", F.slice("all", F.col("start") + 1, held).alias("window"))
-        wins = wins.where(F.arrays_overlap("window", F.array(*[F.lit(x) for x in leads])))
-        keyed = wins.select("doc_id", "start", "window", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), least(F.col("window"), i).alias("value")) for i in range(b)])).alias("x"))
-        hits = keyed.select("doc_id", "start", "window", "x.*").join(rows, ["band", "value"])
-        share = F.size(F.array_intersect("template", "window")) / F.size("template")
-        hits = hits.select("doc_id", "license_id", "start", share.alias("share")).where(F.col("share") >= contained)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return docs.select("doc_id", F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("n_windows")).where("false")
+    marks = F.element_at(F.array(*[F.array(*[F.lit(x) for x in sorted({r["lead"] for r in leads if r["kind"] == k})]) for k in range(len(kinds))]), F.col("kind") + 1)
+    at = near.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.lit(len(kinds) - 1))).alias("kind")).withColumns(shapes | {"marks": marks}).withColumn("all", own(F.col("words"))).where(F.arrays_overlap("all", "marks"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") - 1), F.col("stride"))
+    wins = at.select("doc_id", "kind", "bands", "marks", "held", "all", F.explode(starts).alias("start"))
+    wins = wins.select("doc_id", "kind", "bands", "marks", "start", F.slice("all", F.col("start") + 1, F.col("held")).alias("window")).where(F.arrays_overlap("window", "marks"))
+    keyed = wins.select("doc_id", "kind", "start", "window", F.explode(seeds).alias("band")).withColumn("value", least(F.col("window"), F.col("band")))
+    # the templates are a fixed list, a row for each band
+    hits = keyed.join(F.broadcast(rows), ["kind", "band", "value"])
+    share = F.size(F.array_intersect("template", "window")) / F.size("template")
+    out = hits.select("doc_id", "license_id", "start", share.alias("share")).where(F.col("share") >= contained)
     # a window can collide in several bands, and stands for one
     return out.distinct().groupBy("doc_id", "license_id").agg(F.round(F.max("share"), 6).alias("containment"), F.min("start").cast("long").alias("first_word"), F.count_distinct("start").alias("n_windows"))
 
