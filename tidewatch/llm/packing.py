@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import functools
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +85,57 @@ def patterns(count: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, .
     return min(plans, key=lambda plan: sum(n for _, n in plan))
 
 
+class Sums:
+    """The sums of two and of three lengths, each with the longest length of the combinations that make it.
+
+    pairs[s]: the longer ones, the most even pair first; triples[s]: the longest ones, the shortest first. Counts only go
+    down, so what has run out is dropped from the front of a list when it is met there.
+    """
+
+    def __init__(self, have: np.ndarray, room: int):
+        self.have = have
+        self.pairs: dict[int, deque] = defaultdict(deque)
+        self.triples: dict[int, deque] = defaultdict(deque)
+        own, sums = np.flatnonzero(have).tolist(), np.zeros(room, bool)
+        for k, a in enumerate(own):
+            for b in own[: k + 1]:
+                if a + b >= room:
+                    break
+                self.pairs[a + b].append(a)
+                sums[a + b] = True
+            for t in (np.flatnonzero(sums[: room - a]) + a).tolist():
+                self.triples[t].append(a)
+
+    def pair(self, total: int, most: int, *used: int) -> tuple[int, int] | None:
+        """Two lengths of at most `most` each that make this sum and are there besides those used."""
+        lists, have = self.pairs.get(total), self.have
+        while lists and not (have[lists[0]] and have[total - lists[0]]):
+            lists.popleft()
+        for a in lists or ():
+            if a > most:
+                return None
+            b = total - a
+            if have[a] > used.count(a) + (a == b) and have[b] > used.count(b) + (a == b):
+                return a, b
+        return None
+
+    def fill(self, top: int, gap: int, most: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that make gap and are there besides one piece of length top."""
+        have = self.have
+        if have[gap] > (gap == top):
+            return (gap,)
+        if most > 1 and (two := self.pair(gap, gap, top)):
+            return two
+        if most > 2:
+            lists = self.triples.get(gap)
+            while lists and not have[lists[-1]]:
+                lists.pop()
+            for a in reversed(lists or ()):  # the longest first: short ones fill later gaps
+                if have[a] > (a == top) and (two := self.pair(gap - a, a, top, a)):
+                    return (a, *two)
+        return None
+
+
 def _plan(count: dict[int, int], room: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     """From the longest length down, its gap is filled exactly by one to `most` lengths that are still there.
 
@@ -97,9 +148,10 @@ def _plan(count: dict[int, int], room: int, most: int) -> list[tuple[tuple[int,
         have[k] = v
     out: list[tuple[tuple[int, ...], int]] = [((room,), int(have[room]))] if have[room] else []
     have[room] = 0
+    sums = Sums(have, room)
     for top in range(room - 1, 0, -1):
         while have[top]:
-            combo = _complement(have, top, room - top, most)
+            combo = sums.fill(top, room - top, most)
             if combo is None:
                 break
             lengths, times = np.unique((top, *combo), return_counts=True)
@@ -131,37 +183,6 @@ def _plan(count: dict[int, int], room: int, most: int) -> list[tuple[tuple[int,
     return out + [x for own in open_.values() for x in own]
 
 
-def _complement(have: np.ndarray, top: int, gap: int, most: int) -> tuple[int, ...] | None:
-    """One, two or three lengths that add up to gap and are there besides one piece of length top."""
-    free = have[: gap + 1].copy()
-    if top <= gap:
-        free[top] -= 1
-    if free[gap] > 0:
-        return (gap,)
-    if most < 2:
-        return None
-    if pair := _pair(free, gap):
-        return pair
-    if most < 3:
-        return None
-    for a in np.flatnonzero(free[: gap - 1] > 0)[::-1]:  # the longest first: short ones fill later gaps
-        if 3 * a < gap:
-            return None
-        free[a] -= 1
-        pair = _pair(free, gap - a)
-        free[a] += 1
-        if pair and pair[0] <= a:
-            return (int(a), *pair)
-    return None
-
-
-def _pair(free: np.ndarray, gap: int) -> tuple[int, int] | None:
-    a = np.arange((gap + 1) // 2, gap)
-    ok = (free[a] > 0) & (free[gap - a] > 0) & ((2 * a != gap) | (free[a] > 1))
-    k = int(ok.argmax()) if len(ok) else 0
-    return (int(a[k]), int(gap - a[k])) if len(ok) and ok[k] else None
-
-
 def pack(docs: DataFrame, path: str | None = None, room: int = ROOM) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
 
