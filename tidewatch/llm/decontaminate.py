@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -148,12 +149,12 @@ def row_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> Data
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     wins = materialize(item_windows(benchmark, width), "windows")
     every = materialize(wins.select(F.explode("shingles").alias("shingle")).distinct(), "shingles")
-    parts = [x for x in _blocks(every)]
-    counts = reduce(DataFrame.unionByName, [_count(docs, x) for x in parts] or [every.select("shingle", F.lit(0).cast("long").alias("often")).limit(0)])
+    none = every.select("shingle", F.lit(0).cast("long").alias("often")).limit(0)
+    counts = reduce(DataFrame.unionByName, [materialize(_count(docs, x), "counts") for x in _blocks(every)] or [none])
     ranked = wins.select("words", "shingles").distinct().select("words", F.posexplode("shingles").alias("at", "shingle")).join(counts, "shingle", "left")
     first = F.row_number().over(Window.partitionBy("words").orderBy(F.coalesce("often", F.lit(0)), "shingle", "at"))
     prefix = materialize(ranked.withColumn("k", first).where("k = 1").select("shingle", "at", "words"), "prefix")
-    scans = [materialize(_find(docs, x, width), "places") for x in _blocks(prefix.select("shingle").distinct()) or [[]]]
+    scans = [materialize(_find(docs, x, width), "places") for x in _blocks(prefix.select("shingle").distinct())] or [materialize(_find(docs, [], width), "places")]
     near = reduce(DataFrame.unionByName, [x.where("size(near) > 0").select("doc_id", "row", "n_words", F.explode("near").alias("x")).select("doc_id", "row", "n_words", "x.*") for x in scans])
     pairs = near.join(prefix, "shingle").withColumns({"start": F.col("p") - F.col("at"), "len": F.size("words")})
     pairs = pairs.where("start >= 0 and start + len <= n_words and slice(around, start - lo + 1, len) = words")
@@ -176,12 +177,13 @@ def _same(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row"] == b["row"])
 
 
-def _blocks(shingles: DataFrame) -> list[list[str]]:
-    """The shingles in lists of about FEW; documents are read once for each."""
+def _blocks(shingles: DataFrame) -> Iterator[list[str]]:
+    """The shingles in lists of about FEW, one after another: the driver holds one, and documents are read once for each."""
     n = shingles.count() // FEW + 1
     part = F.pmod(F.xxhash64("shingle"), F.lit(n))
-    lists = ([r["shingle"] for r in shingles.where(part == i).collect()] for i in range(n))
-    return [x for x in lists if x]
+    for i in range(n):
+        if own := [r["shingle"] for r in shingles.where(part == i).collect()]:
+            yield own
 
 
 def _count(docs: DataFrame, wanted: list[str]) -> DataFrame:
