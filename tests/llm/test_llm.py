@@ -521,6 +521,30 @@ def test_license_scan_on_awkward_rows(spark):
     assert license.scan(docs.limit(0)).count() == 0 and license.scan(docs, {}).count() == 0
 
 
+def test_every_license_is_found_and_nothing_else(spark):
+    """Brute force over all windows: each text between other words, whole and with a word in twelve changed."""
+    rows, r = [], random.Random(2)
+    for i, (name, text) in enumerate(sorted(license.NOTICES.items())):
+        rows.append((2 * i, " ".join(words(40, i)) + " " + text.upper() + " " + " ".join(words(60, i + 1))))
+        w = text.split()
+        rows.append((2 * i + 1, " ".join(w[k] if (k + 3) % 24 else "changed" for k in range(len(w)))))
+    got = {(x["doc_id"], x["license_id"]): (x["containment"], x["first_word"], x["n_windows"]) for x in license.scan(frame(spark, rows)).collect()}
+    split = lambda t: [x for x in re.split(r"[\W_]+", t.lower()) if x]
+    want = {}
+    for name, text in license.NOTICES.items():
+        t = split(text)
+        width, stride, held = license.shape(len(t))
+        own = {tuple(t[k : k + width]) for k in range(len(t) - width + 1)}
+        for i, text in rows:
+            w = split(text)
+            every = [tuple(w[k : k + width]) for k in range(len(w) - width + 1)]
+            shares = {a: len(own & set(every[a : a + held])) / len(own) for a in range(0, max(1, len(every)), stride)}
+            fine = {a: x for a, x in shares.items() if x >= 0.75}
+            if fine:
+                want[i, name] = (round(max(fine.values()), 6), min(fine), len(fine))
+    assert got == want and {(2 * i, n) for i, n in enumerate(sorted(license.NOTICES))} <= set(got)
+
+
 # 10: chat
 
 

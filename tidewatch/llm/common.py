@@ -8,7 +8,8 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tidewatch.operators.graph import components as connected_components  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); where it is unset, as in tests, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -45,33 +48,3 @@ def share(spark: SparkSession, value):
 def size_within(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; looks at no more than one row beyond them."""
     return df.limit(rows + 1).count() <= rows
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(src, dst) links to (id, component): component is the smallest id reachable; ids without links are absent.
-
-    Alternating large-star and small-star steps. Each is a partially aggregated minimum and an equi join, so a hub
-    with very many neighbours is pre-aggregated in the first and split by the skew join in the second. Every round is
-    written to the shared folder; the number of rounds grows with the logarithm of the longest chain.
-    """
-    pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
-    pairs = materialize(pairs, "links")
-    mark = _mark(pairs)
-    while mark[0]:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        pairs = materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-        old, mark = mark, _mark(pairs)
-        if mark == old:
-            break
-    own = pairs.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(own).distinct()
-
-
-def _mark(pairs: DataFrame) -> tuple:
-    row = pairs.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(u, v) as decimal(38, 0))"))).first()
-    return row[0], row[1]
