@@ -74,14 +74,21 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, contained: float =
     t = t.select("license_id", "kind", "shingles", "words", "width", F.explode(seeds).alias("band")).withColumn("value", least(F.col("shingles"), F.col("band")))
     lead = F.filter("shingles", lambda x: F.xxhash64(x, F.col("band")) == F.col("value"))[0]
     t = t.withColumn("lead", lead)
-    longest = F.array_max(F.transform(F.slice("words", F.array_position("shingles", F.col("lead")).cast("int"), F.col("width")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    leads = t.select("kind", "lead", longest.alias("word")).distinct().collect()  # of the fixed list
+    lead_words = F.slice("words", F.array_position("shingles", F.col("lead")).cast("int"), F.col("width"))
+    by_length = F.transform(F.array_sort(F.transform(F.array_distinct(lead_words), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    leads = t.select("kind", "lead", by_length.alias("words")).distinct().collect()  # of the fixed list
     rows = t.select("license_id", "kind", "band", "value", F.array_distinct("shingles").alias("template"))
-    # a collision needs a least shingle, and so all its words
-    near = docs.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted({r["word"] for r in leads})])))
-    near = materialize(near, "marked")
-    marks = F.element_at(F.array(*[F.array(*[F.lit(x) for x in sorted({r["lead"] for r in leads if r["kind"] == k})]) for k in range(len(kinds))]), F.col("kind") + 1)
-    at = near.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.lit(len(kinds) - 1))).alias("kind")).withColumns(shapes | {"marks": marks}).withColumn("all", own(F.col("words"))).where(F.arrays_overlap("all", "marks"))
+    # a collision needs a least shingle, and so all its words: the longest is looked for first
+    many = lambda lists: F.array(*[F.array(*[F.lit(w) for w in x]) for x in lists])
+    texts = sorted({tuple(r["words"]) for r in leads})
+    near = docs.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted({x[0] for x in texts})])))
+    common = F.array_intersect("words", F.array(*[F.lit(w) for w in sorted({w for x in texts for w in x})]))
+    # as a lambda's argument the words in common are worked out once a row
+    near = near.where(F.exists(F.array(common), lambda c: F.exists(many(texts), lambda x: F.forall(x, lambda w: F.array_contains(c, w)))))
+    near = materialize(near.select("doc_id", *[shingles(F.col("words"), w).alias(f"of_{w}") for w in widths]), "marked")
+    marks = F.element_at(many([sorted({r["lead"] for r in leads if r["kind"] == k}) for k in range(len(kinds))]), F.col("kind") + 1)
+    at = near.withColumn("kind", F.explode(F.sequence(F.lit(0), F.lit(len(kinds) - 1)))).withColumns(shapes | {"marks": marks})
+    at = at.withColumn("all", F.coalesce(*[F.when(F.col("width") == w, F.col(f"of_{w}")) for w in widths])).where(F.arrays_overlap("all", "marks"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") - 1), F.col("stride"))
     wins = at.select("doc_id", "kind", "bands", "marks", "held", "all", F.explode(starts).alias("start"))
     wins = wins.select("doc_id", "kind", "bands", "marks", "start", F.slice("all", F.col("start") + 1, F.col("held")).alias("window")).where(F.arrays_overlap("window", "marks"))
