@@ -23,7 +23,7 @@ _MARKS = b" \n.,!|*%$&#"
 _CLASSES = len(_MARKS) + 4
 _BUCKETS = 10
 _SHAPES = _CLASSES**3 + 3 * _BUCKETS
-_WORDS = 1 << 13  # buckets of words, by hash
+_WORDS = 1 << 12  # buckets of words, by hash
 TERMS = _SHAPES + _WORDS
 MEANING = 0.5  # weight of the words beside the shapes
 
@@ -107,9 +107,9 @@ class Model:
         x = np.zeros((len(rows), TERMS), np.float32)
         for i, (t, n) in enumerate(rows):
             x[i, t] = np.log1p(n) * self.idf[t]
-        x[:, :_SHAPES] = self.unit(x[:, :_SHAPES])
-        x[:, _SHAPES:] = MEANING * self.unit(x[:, _SHAPES:])
-        return self.unit(x)
+        for part, weight in ((x[:, :_SHAPES], 1.0), (x[:, _SHAPES:], MEANING), (x, 1.0)):  # in place: x is large in fit()
+            part *= weight / np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), 1e-9)[:, None]
+        return x
 
     @staticmethod
     def unit(x: np.ndarray) -> np.ndarray:
