@@ -1,5 +1,7 @@
 """Hand cases with exact expectations."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,10 @@ def test_late_and_suppressed(spark):
     assert [r["late"] for r in features.late_events(ev, "key", "arrival").orderBy("event_id").collect()] == [False, True, False]
     ev = spark.createDataFrame([("A", i, t) for i, t in enumerate([0, 50, 99, 100, 150, 200])], "key string, event_id long, ts_ms long")
     assert [r["event_id"] for r in features.suppressed(ev, "key", "ts_ms", "event_id", 100).where("emitted").orderBy("event_id").collect()] == [0, 3, 5]
+    odd = spark.createDataFrame([("A", 2**60 + 1, 0), ("B", 2**60 + 1, 5), ("A", None, 20), ("A", 7, None), (None, 1, 3), (None, 2, 4)], "key string, event_id long, ts_ms long")
+    got = {tuple(r) for r in features.suppressed(odd, "key", "ts_ms", "event_id", 10).collect()}
+    assert got == {("A", 2**60 + 1, 0, True), ("B", 2**60 + 1, 5, True), ("A", None, 20, True), ("A", 7, None, False), (None, 1, 3, True), (None, 2, 4, False)}
+    assert features.suppressed(odd.where("false"), "key", "ts_ms", "event_id", 10).count() == 0
 
 
 def test_wallet_p95(spark):
@@ -114,6 +120,26 @@ def test_agents(spark):
     assert (r["cycles"], r["cycle_amount_minor"], r["score"]) == (5, 1000, 0.6)
 
 
+def test_profile_is_the_fold(spark):
+    rng = random.Random(5)
+    rows = [(f"a{i % 7}", rng.randrange(30) * 1_800_000, rng.choice([0.0, 0.3, 0.55, 0.9]), i) for i in range(300)]
+    rows += [("zero", 0, 0.0, 900), ("gap", 0, 0.9, 901), ("gap", 10 * 3_600_000, 0.2, 902), ("gap", 11 * 3_600_000, 0.1, 903)]
+    want = {}
+    for agent, t, score, _ in sorted(rows, key=lambda r: (r[0], r[1], r[3])):
+        last, risk, n = want.get(agent, (t, 0.0, 0))
+        want[agent] = (t, max(score, risk * max(0.0, 1 - (t - last) / 3_600_000 * 0.1)), n + 1)
+    got = agents.profile(spark.createDataFrame(rows, "agent string, ts_ms long, score double, event_id long"))
+    assert {r["agent"]: (r["risk"], r["detections"]) for r in got.collect()} == {a: (pytest.approx(r, abs=2e-6), n) for a, (_, r, n) in want.items()}
+
+
+def test_metadata_merges_by_key(spark):
+    schema = "kind string, identifier string, risk_score double, hit_count long, last_ms long, expires_ms long, metadata map<string, string>"
+    old = spark.createDataFrame([("n", "1", 0.5, 2, 10, 90, {"a": "x", "b": "y"}), ("n", "2", 0.1, 1, 5, 50, None), (None, "3", 0.2, 1, 1, 1, {"k": "v"})], schema)
+    new = spark.createDataFrame([("n", "1", 0.4, 3, 20, 80, {"b": "z", "c": None})], schema)
+    got = {(r["kind"], r["identifier"]): (r["risk_score"], r["hit_count"], r["last_ms"], r["expires_ms"], r["metadata"]) for r in serving.upsert_intel(old, new).collect()}
+    assert got == {("n", "1"): (0.5, 5, 20, 90, {"a": "x", "b": "z", "c": None}), ("n", "2"): (0.1, 1, 5, 50, {}), (None, "3"): (0.2, 1, 1, 1, {"k": "v"})}
+
+
 def test_content(spark):
     df = spark.createDataFrame([("mtn.com.gh", None, None), ("mtn-login.com", "mtn", None), ("ecobnk.com", "ecobank.com", 1), ("example.org", None, None)], "domain string, target string, distance int")
     for r in df.withColumn("x", content.lookalike(F.col("domain"))).collect():

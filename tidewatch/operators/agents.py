@@ -64,9 +64,17 @@ def composite(detections: list[DataFrame]) -> DataFrame:
 def profile(detections: DataFrame, decay: float = 0.1) -> DataFrame:
     """agent, risk: the fold of its detections (agent, ts_ms, score, event_id) in time, decaying by the hour.
 
-    risk = max(score, risk * max(0, 1 - hours * decay)). State of an agent: its own detections, 16 bytes each.
+    risk = max(score, risk * max(0, 1 - hours * decay)), which is the greatest score times the product of the factors after
+    it. A running sum of their logarithms gives each product, and a factor of 0 starts a new run that forgets what was
+    before it; so running windows and groupings do, and no list of an agent's detections is held.
     """
-    xs = detections.groupBy("agent").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "event_id", "score"))).alias("xs"))
-    fold = f"""aggregate(xs, named_struct('t', cast(null as bigint), 'r', 0.0D), (a, x) -> named_struct('t', x.ts_ms,
-        'r', greatest(x.score, a.r * greatest(0.0D, 1 - coalesce((x.ts_ms - a.t) / 3600000, 0.0D) * {decay}))), a -> a.r)"""
-    return xs.select("agent", F.round(F.expr(fold), 6).alias("risk"), F.size("xs").cast("long").alias("detections"))
+    w = Window.partitionBy("agent").orderBy("ts_ms", "event_id", "score")
+    factor = F.greatest(F.lit(0.0), 1 - F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(w)) / 3_600_000, F.lit(0.0)) * decay)
+    steps = detections.select("agent", "score", F.row_number().over(w).alias("n"), factor.alias("factor"))
+    by = Window.partitionBy("agent").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    kept = F.coalesce(F.sum(F.when(F.col("factor") > 0, F.ln("factor"))).over(by), F.lit(0.0))
+    runs = steps.select("agent", "n", "score", F.count_if(F.col("factor") == 0).over(by).alias("run"), kept.alias("kept"))
+    best = F.max(F.when(F.col("score") > 0, F.ln("score") - F.col("kept")))
+    last = runs.groupBy("agent", "run").agg(F.max("n").alias("n"), F.max_by("kept", "n").alias("end"), best.alias("best"))
+    own = last.groupBy("agent").agg(F.max_by(F.struct("end", "best"), "run").alias("x"), F.max("n").alias("detections"))
+    return own.select("agent", F.round(F.coalesce(F.exp(F.col("x.best") + F.col("x.end")), F.lit(0.0)), 6).alias("risk"), F.col("detections").cast("long").alias("detections"))

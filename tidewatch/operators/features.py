@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 MINUTE, HOUR, DAY = 60_000, 3_600_000, 86_400_000
 LATENESS = 30_000
@@ -30,14 +32,25 @@ def first_of_each(events: DataFrame, ids: list[str], order: list[str]) -> DataFr
 def suppressed(events: DataFrame, key: str, ts: str, order: str, window_ms: int) -> DataFrame:
     """events with emitted: the first of its key, and the first after each silence of window_ms.
 
-    Suppressed events do not extend the silence, so the emitted ones depend on each other in turn; a fold over the sorted
-    times of a key carries the last emitted one. Memory: 16 bytes for each event of a key.
+    Suppressed events do not extend the silence, so the emitted ones depend on each other in turn. A task reads its keys
+    sorted by time and carries only the last key and its last emitted time, so no list of a key's events is held and rows
+    with equal ids stay apart. A null time is not emitted; null keys are one key.
     """
-    times = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(ts, order))).alias("xs"))
-    step = f"""aggregate(xs, named_struct('last', cast(null as bigint), 'out', cast(array() as array<bigint>)), (a, x) ->
-        if(a.last is null or x.{ts} - a.last >= {window_ms}, named_struct('last', x.{ts}, 'out', array_append(a.out, x.{order})), a), a -> a.out)"""
-    kept = times.select(F.explode(F.expr(step)).alias(order)).withColumn("emitted", F.lit(True))
-    return events.join(kept, order, "left").withColumn("emitted", F.coalesce("emitted", F.lit(False)))
+    schema = StructType([*events.schema.fields, StructField("emitted", BooleanType(), False)])
+
+    def step(batches):
+        own, last = (), None
+        for batch in batches:
+            out = []
+            for k, t in zip(batch.column(key).to_pylist(), batch.column(ts).to_pylist()):
+                if own != (k,):
+                    own, last = (k,), None
+                go = t is not None and (last is None or t - last >= window_ms)
+                last = t if go else last
+                out.append(go)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, "emitted"])
+
+    return events.repartition(key).sortWithinPartitions(key, ts, order).mapInArrow(step, schema)
 
 
 def number_events(voice: DataFrame, sms: DataFrame, data: DataFrame) -> DataFrame:
@@ -116,9 +129,13 @@ def anomaly(volume: Column, baseline: Column) -> Column:
 
 
 def first_seen(data: DataFrame, window_days: int = 30) -> DataFrame:
-    """Each domain event with the age of its domain on the wire and whether that is at most window_days."""
-    first = F.min("ts_ms").over(Window.partitionBy("domain"))
-    out = data.where("domain is not null").withColumn("age_s", F.floor((F.col("ts_ms") - first) / 1000))
+    """Each domain event with the age of its domain on the wire and whether that is at most window_days.
+
+    The first times are a grouping, one row a domain, so a popular domain is combined before the shuffle and its events can
+    be split among tasks by the adaptive join.
+    """
+    own = data.where("domain is not null")
+    out = own.join(own.groupBy("domain").agg(F.min("ts_ms").alias("_first")), "domain").select(*own.columns, F.floor((F.col("ts_ms") - F.col("_first")) / 1000).alias("age_s"))
     return out.withColumn("newly_seen", F.col("age_s") <= window_days * 86_400)
 
 

@@ -39,12 +39,18 @@ def dashboard(alerts: DataFrame, now_ms: int, keys: list[str]) -> DataFrame:
 def upsert_intel(old: DataFrame, new: DataFrame) -> DataFrame:
     """Entries by (kind, identifier): the greater score, hits added, the latest time to live, later metadata over earlier.
 
-    Both are one union and one grouping; metadata maps are merged in the order of last_ms.
+    Metadata goes by its keys: of each, the value at the latest last_ms (ties: the greater value), so what a task holds for
+    an identifier grows with its different keys, not with its entries. Null maps count as empty.
     """
     both = old.unionByName(new)
-    merged = F.expr("""aggregate(array_sort(collect_list(struct(last_ms, map_entries(metadata) as own))), cast(map() as map<string, string>), (a, x) ->
-        map_concat(map_filter(a, (k, v) -> not map_contains_key(map_from_entries(x.own), k)), map_from_entries(x.own)))""")
-    return both.groupBy("kind", "identifier").agg(F.max("risk_score").alias("risk_score"), F.sum("hit_count").alias("hit_count"), F.max("last_ms").alias("last_ms"), F.max("expires_ms").alias("expires_ms"), merged.alias("metadata"))
+    ids = ["kind", "identifier"]
+    named = both.select(*ids, "last_ms", F.explode("metadata").alias("name", "value"))
+    named = named.groupBy(*ids, "name").agg(F.max_by(F.struct("value"), F.struct("last_ms", "value")).alias("x"))
+    merged = named.groupBy(*ids).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "x.value")))).alias("_own"))
+    out = both.groupBy(*ids).agg(F.max("risk_score").alias("risk_score"), F.sum("hit_count").alias("hit_count"), F.max("last_ms").alias("last_ms"), F.max("expires_ms").alias("expires_ms"))
+    out, merged = out.alias("o"), merged.alias("m")
+    same = F.col("o.kind").eqNullSafe(F.col("m.kind")) & F.col("o.identifier").eqNullSafe(F.col("m.identifier"))
+    return out.join(merged, same, "left").select("o.*", F.coalesce("m._own", F.expr("cast(map() as map<string, string>)")).alias("metadata"))
 
 
 def sweep(entries: DataFrame, now_ms: int) -> DataFrame:

@@ -22,8 +22,10 @@ def append_new(rows: DataFrame, path: str, key: str) -> int:
     try:
         have = rows.sparkSession.read.parquet(path).select(key)
         fresh = fresh.join(have, key, "left_anti")
-    except AnalysisException:
-        pass  # nothing has been written yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # nothing has been written yet
     fresh = fresh.cache()
     n = fresh.count()
     if n:

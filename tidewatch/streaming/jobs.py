@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators.features import HOUR
+from tidewatch.operators.features import HOUR, LATENESS
 from tidewatch.sources.sinks import upsert_latest
 
 
@@ -65,9 +65,17 @@ def sliding_counts(events: DataFrame, key: str, ttl_ms: int = HOUR) -> DataFrame
 
 
 def suppress(events: DataFrame, key: str, window_ms: int) -> DataFrame:
-    """key, event_id, ts_ms of events that are not silenced: the first, and the first window_ms after the last let through."""
+    """key, event_id, ts_ms of events that are not silenced: the first, and the first window_ms after the last let through.
+
+    The state of a key goes when the key has been idle for window_ms and the lateness on the clock; a replay runs faster
+    than its events, so it keeps state longer, never shorter. After an outage of that length an event that should be
+    silenced may be let through. No event is dropped as late.
+    """
 
     def step(k, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["ts_ms", "event_id"], kind="stable")
         out = []
@@ -77,18 +85,26 @@ def suppress(events: DataFrame, key: str, window_ms: int) -> DataFrame:
                 out.append((k[0], e, t))
         if last is not None:
             state.update((last,))
+            state.setTimeoutDuration(window_ms + LATENESS)
         yield pd.DataFrame(out, columns=[key, "event_id", "ts_ms"])
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} string, event_id long, ts_ms long", "last long", "append", "NoTimeout")
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} string, event_id long, ts_ms long", "last long", "append", "ProcessingTimeTimeout")
 
 
 def otp_during_call(calls: DataFrame, texts: DataFrame, ttl_ms: int = 900_000) -> DataFrame:
-    """sms_id, number, caller, age_s: messages while a call to the number is open. The latest start wins, any end closes."""
+    """sms_id, number, caller, age_s: messages while a call to the number is open. The latest start wins, any end closes.
+
+    An end takes the call out of the state; one whose end is lost goes when its number has been idle for ttl_ms and the
+    lateness on the clock, as in suppress. No event is dropped as late.
+    """
     null = F.lit(None)
     c = calls.select(F.col("callee").alias("number"), "ts_ms", F.lit(0).alias("side"), "event_id", "kind", "caller", "event_time")
     t = texts.select(F.col("recipient").alias("number"), "ts_ms", F.lit(1).alias("side"), "event_id", null.cast("string").alias("kind"), null.cast("string").alias("caller"), "event_time")
 
     def step(k, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         kind, caller, since = state.get if state.exists else (None, None, None)
         rows = pd.concat(list(batches)).sort_values(["ts_ms", "side", "event_id"], kind="stable")
         out = []
@@ -97,11 +113,14 @@ def otp_during_call(calls: DataFrame, texts: DataFrame, ttl_ms: int = 900_000) -
                 kind, caller, since = r.kind, r.caller, int(r.ts_ms)
             elif kind == "call_start" and r.ts_ms - since <= ttl_ms:
                 out.append((int(r.event_id), k[0], caller, int(r.ts_ms - since) // 1000))
-        if kind is not None:
+        if kind == "call_start":
             state.update((kind, caller, since))
+            state.setTimeoutDuration(ttl_ms + LATENESS)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["sms_id", "number", "caller", "age_s"])
 
-    return c.unionByName(t).groupBy("number").applyInPandasWithState(step, "sms_id long, number string, caller string, age_s long", "kind string, caller string, since long", "append", "NoTimeout")
+    return c.unionByName(t).groupBy("number").applyInPandasWithState(step, "sms_id long, number string, caller string, age_s long", "kind string, caller string, since long", "append", "ProcessingTimeTimeout")
 
 
 def upsert_stream(events: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, keys: list[str], version: str, checkpoint: str):
