@@ -182,3 +182,21 @@ def test_learned(spark):
     out = learned.score_features(rows, learned.fit_features(rows, ["x"], rounds=3), ["x"])
     assert out.where("(score >= 0.7) <> (label = 1)").count() == 0
     assert learned.score_features(rows, None, ["x"]) is rows
+
+
+def test_sessions_connect_to_a_domain_or_else_to_an_address(spark):
+    schema = "event_id long, msisdn string, kind string, domain string, rdata string, bytes_up long, bytes_down long, ts_ms long"
+    data = [
+        (0, "A", "ipdr_session", "a.com", "10.0.0.1", 5, None, 0), (1, "A", "ipdr_session", None, "10.0.0.2", None, 7, 1), (2, "A", "ipdr_session", "", "10.0.0.3", 1, 2, 2),
+        (3, None, "ipdr_session", None, "10.0.0.4", 1, 2, 3), (4, "A", "dns_response", "a.com", "::1", 0, 0, 4), (5, "A", "dns_response", None, "10.0.0.5", 0, 0, 5),
+        (6, "A", "dns_response", "a.com", "b.com", 0, 0, 6), (7, "A", "ipdr_session", None, None, 0, 0, 7),
+    ]
+    out = graph.data_operations(spark.createDataFrame(data, schema))
+    edges = {(r["event_id"], r["edge_kind"], r["dst_kind"], r["dst_id"], (r["properties"] or {}).get("bytes_up"), (r["properties"] or {}).get("bytes_down")) for r in out.where("op = 'upsert_edge'").collect()}
+    assert edges == {
+        (0, "CONNECTED", "Domain", "a.com", "5", "0"), (1, "CONNECTED", "IPEndpoint", "10.0.0.2", "0", "7"), (2, "CONNECTED", "IPEndpoint", "10.0.0.3", "1", "2"), (4, "QUERIED", "Domain", "a.com", None, None),
+        (4, "RESOLVED_TO", "IPEndpoint", "::1", None, None), (6, "QUERIED", "Domain", "a.com", None, None),
+    }
+    assert {(r["event_id"], r["node_id"]) for r in out.where("node_kind = 'IPEndpoint'").collect()} == {(1, "10.0.0.2"), (2, "10.0.0.3"), (4, "::1")}
+    sms = spark.createDataFrame([(0, "A", "B", "mt", "t", 0), (1, "A", "B", "mo", None, 1), (2, "A", "B", "mt_delivery_receipt", "t", 2)], SMS)
+    assert [(r["event_id"], r["properties"]) for r in graph.sms_operations(sms).where("op = 'upsert_edge'").orderBy("event_id").collect()] == [(0, {"template_hash": "t"}), (1, {})]

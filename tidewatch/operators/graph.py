@@ -9,21 +9,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SIDE = "struct<op: string, node_kind: string, node_id: string, edge_kind: string, src_kind: string, src_id: string, dst_kind: string, dst_id: string>"
-
 
 def node(kind: str, node_id: str | Column, when: Column | None = None) -> Column:
     own = F.col(node_id) if isinstance(node_id, str) else node_id
     null = F.lit(None).cast("string")
-    out = F.struct(F.lit("upsert_node").alias("op"), F.lit(kind).alias("node_kind"), own.alias("node_id"), null.alias("edge_kind"), null.alias("src_kind"), null.alias("src_id"), null.alias("dst_kind"), null.alias("dst_id"))
+    out = F.struct(
+        F.lit("upsert_node").alias("op"), F.lit(kind).alias("node_kind"), own.alias("node_id"), null.alias("edge_kind"), null.alias("src_kind"), null.alias("src_id"), null.alias("dst_kind"), null.alias("dst_id"),
+        F.lit(None).cast("map<string,string>").alias("properties"),
+    )
     return F.when(own.isNotNull() if when is None else own.isNotNull() & when, out)
 
 
-def edge(kind: str, src_kind: str, src: str | Column, dst_kind: str | Column, dst: str | Column, when: Column | None = None) -> Column:
+def edge(kind: str, src_kind: str, src: str | Column, dst_kind: str | Column, dst: str | Column, when: Column | None = None, **properties: Column) -> Column:
+    """An edge where both ends are there and `when` holds, with those of its properties that are there, as text."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (src, dst))
     null = F.lit(None).cast("string")
     to = F.lit(dst_kind) if isinstance(dst_kind, str) else dst_kind
-    out = F.struct(F.lit("upsert_edge").alias("op"), null.alias("node_kind"), null.alias("node_id"), F.lit(kind).alias("edge_kind"), F.lit(src_kind).alias("src_kind"), a.alias("src_id"), to.alias("dst_kind"), b.alias("dst_id"))
+    given = [x for k, v in properties.items() for x in (F.lit(k), v.cast("string"))]
+    held = F.map_filter(F.create_map(*given), lambda k, v: v.isNotNull()) if given else F.lit(None)
+    out = F.struct(
+        F.lit("upsert_edge").alias("op"), null.alias("node_kind"), null.alias("node_id"), F.lit(kind).alias("edge_kind"), F.lit(src_kind).alias("src_kind"), a.alias("src_id"), to.alias("dst_kind"), b.alias("dst_id"),
+        held.cast("map<string,string>").alias("properties"),
+    )
     fine = a.isNotNull() & b.isNotNull()
     return F.when(fine if when is None else fine & when, out)
 
@@ -41,7 +48,8 @@ def voice_operations(voice: DataFrame) -> DataFrame:
 
 
 def sms_operations(sms: DataFrame) -> DataFrame:
-    return operations(sms, node("Number", "sender"), node("Number", "recipient"), edge("SMSED", "Number", "sender", "Number", "recipient", F.col("kind").isin("mt", "mo")))
+    """Both numbers; SMSED, with the template, for messages sent or delivered."""
+    return operations(sms, node("Number", "sender"), node("Number", "recipient"), edge("SMSED", "Number", "sender", "Number", "recipient", F.col("kind").isin("mt", "mo"), template_hash=F.col("template_hash")))
 
 
 def looks_like_ip(value: Column) -> Column:
@@ -49,13 +57,18 @@ def looks_like_ip(value: Column) -> Column:
 
 
 def data_operations(data: DataFrame) -> DataFrame:
-    """QUERIED a domain; RESOLVED_TO an address on responses; CONNECTED to the domain, else the address, on sessions."""
+    """QUERIED a domain; RESOLVED_TO an address on responses; CONNECTED to the domain, else the address, on sessions, with
+    its bytes (0 where unknown). Empty names count as none."""
+    named = data.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("msisdn", "domain", "rdata")})
     dns = F.col("kind").isin("dns_query", "dns_response")
-    ip = (F.col("kind") == "dns_response") & looks_like_ip(F.col("rdata"))
+    ip = (F.col("kind") == "dns_response") & F.col("domain").isNotNull() & looks_like_ip(F.col("rdata"))
     session = F.col("kind") == "ipdr_session"
+    direct = session & F.col("msisdn").isNotNull() & F.col("domain").isNull()
+    size = {c: F.coalesce(c, F.lit(0)) for c in ("bytes_up", "bytes_down")}
     return operations(
-        data, node("Number", "msisdn"), node("Domain", "domain"), edge("QUERIED", "Number", "msisdn", "Domain", "domain", dns),
-        node("IP", "rdata", ip), edge("RESOLVED_TO", "Domain", "domain", "IP", "rdata", ip), edge("CONNECTED", "Number", "msisdn", "Domain", "domain", session),
+        named, node("Number", "msisdn"), node("Domain", "domain"), edge("QUERIED", "Number", "msisdn", "Domain", "domain", dns),
+        node("IPEndpoint", "rdata", ip), edge("RESOLVED_TO", "Domain", "domain", "IPEndpoint", "rdata", ip), edge("CONNECTED", "Number", "msisdn", "Domain", "domain", session, **size),
+        node("IPEndpoint", "rdata", direct), edge("CONNECTED", "Number", "msisdn", "IPEndpoint", "rdata", direct, **size),
     )
 
 

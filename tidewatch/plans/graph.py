@@ -30,20 +30,35 @@ def ed(kind: str, a: str, x: str, b: str, y: str, cond: str = "true") -> tuple[s
 
 SEND = "sender_wallet is not null and recipient_wallet is not null and kind not in ('reversal', 'cash_in')"
 ACCOUNT = f"not ({SEND}) and counterparty_kind in ('bank', 'external') and account_hash is not null"
-IP = "kind = 'dns_response' and rdata is not null"
+IP = "kind = 'dns_response' and rdata is not null and domain is not null"
+DIRECT = "kind = 'ipdr_session' and msisdn is not null and domain is null"
 OPS_SQL = {
     "voice": ops_sql("voice", nd("Number", "caller"), nd("Number", "callee"), ed("CALLED", "Number", "caller", "Number", "callee", "kind = 'call_start'"), nd("Device", "imei"), ed("USED", "Number", "caller", "Device", "imei")),
     "sms": ops_sql("sms", nd("Number", "sender"), nd("Number", "recipient"), ed("SMSED", "Number", "sender", "Number", "recipient", "kind in ('mt', 'mo')")),
-    "data": ops_sql("data", nd("Number", "msisdn"), nd("Domain", "domain"), ed("QUERIED", "Number", "msisdn", "Domain", "domain", "kind in ('dns_query', 'dns_response')"), nd("IP", "rdata", IP), ed("RESOLVED_TO", "Domain", "domain", "IP", "rdata", IP), ed("CONNECTED", "Number", "msisdn", "Domain", "domain", "kind = 'ipdr_session'")),
+    "data": ops_sql(
+        "(select event_id, kind, nullif(msisdn, '') msisdn, nullif(domain, '') as domain, nullif(rdata, '') rdata from data)", nd("Number", "msisdn"), nd("Domain", "domain"),
+        ed("QUERIED", "Number", "msisdn", "Domain", "domain", "kind in ('dns_query', 'dns_response')"), nd("IPEndpoint", "rdata", IP), ed("RESOLVED_TO", "Domain", "domain", "IPEndpoint", "rdata", IP),
+        ed("CONNECTED", "Number", "msisdn", "Domain", "domain", "kind = 'ipdr_session'"), nd("IPEndpoint", "rdata", f"{DIRECT} and rdata is not null"), ed("CONNECTED", "Number", "msisdn", "IPEndpoint", "rdata", DIRECT),
+    ),
     "momo": ops_sql("momo", nd("Wallet", "sender_wallet"), nd("Wallet", "recipient_wallet"), ed("OWNS", "Number", "sender_msisdn", "Wallet", "sender_wallet"), ed("OWNS", "Number", "recipient_msisdn", "Wallet", "recipient_wallet"), ed("SENT", "Wallet", "sender_wallet", "Wallet", "recipient_wallet", SEND), nd("Account", "account_hash", ACCOUNT), ed("CASHED_OUT_TO", "Wallet", "sender_wallet", "Account", "account_hash", ACCOUNT)),
 }
 MAKERS = {"voice": g.voice_operations, "sms": g.sms_operations, "data": g.data_operations, "momo": g.momo_operations}
 
 
+# Properties of the edges: those of the edge kind, as text.
+PROPERTIES = {"sms": ("SMSED", ["template_hash"]), "data": ("CONNECTED", ["bytes_up", "bytes_down"])}
+
+
+def properties_sql(name: str) -> str:
+    kind, own = PROPERTIES.get(name, ("", []))
+    more = "".join(f", case when edge_kind = '{kind}' then e.{c}::varchar end {c}" for c in own)
+    return f"select o.*{more} from ({OPS_SQL[name]}) o join {name} e using (event_id)"
+
+
 def register_ops(name: str) -> None:
-    @query(f"graph_ops_{name}", OPS_SQL[name])
+    @query(f"graph_ops_{name}", properties_sql(name))
     def run(v):
-        return MAKERS[name](getattr(v, name)).select(*OPS.split(", "))
+        return MAKERS[name](getattr(v, name)).select(*OPS.split(", "), *[F.col("properties")[c].alias(c) for c in PROPERTIES.get(name, ("", []))[1]])
 
 
 for _name in MAKERS:
