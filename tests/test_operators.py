@@ -200,3 +200,11 @@ def test_sessions_connect_to_a_domain_or_else_to_an_address(spark):
     assert {(r["event_id"], r["node_id"]) for r in out.where("node_kind = 'IPEndpoint'").collect()} == {(1, "10.0.0.2"), (2, "10.0.0.3"), (4, "::1")}
     sms = spark.createDataFrame([(0, "A", "B", "mt", "t", 0), (1, "A", "B", "mo", None, 1), (2, "A", "B", "mt_delivery_receipt", "t", 2)], SMS)
     assert [(r["event_id"], r["properties"]) for r in graph.sms_operations(sms).where("op = 'upsert_edge'").orderBy("event_id").collect()] == [(0, {"template_hash": "t"}), (1, {})]
+
+
+def test_domains_are_valid_and_allowed_with_what_is_below(spark):
+    own = spark.createDataFrame([(x,) for x in ("a.com", "x.a.com", "xa.com", "com", "b.c1", "ü.de", "", None)], "domain string")
+    assert {r["domain"] for r in own.where(content.valid_domain(F.col("domain"))).collect()} == {"a.com", "x.a.com", "xa.com"}
+    free = spark.createDataFrame([(" A.com. ",), (None,)], "domain string")
+    assert {r["domain"] for r in content.not_allowed(own, "domain", free).collect()} == {"xa.com", "com", "b.c1", "ü.de", "", None}
+    assert content.not_allowed(own, "domain", free.where("false")).count() == 8

@@ -55,6 +55,11 @@ def registrable(domain: Column) -> Column:
     return F.substring_index(domain, ".", -2)
 
 
+def valid_domain(domain: Column) -> Column:
+    """Whether a canonical domain is small letters, digits, dots and hyphens with letters at the end; null is not."""
+    return F.coalesce(domain.rlike(r"^[a-z0-9.-]+\.[a-z]{2,}$"), F.lit(False))
+
+
 def suffixes(domain: Column, least: int = 1) -> Column:
     """The domain and its parents, down to `least` labels."""
     labels = F.split(domain, r"\.")
@@ -73,6 +78,12 @@ def listed(df: DataFrame, domain: str, blocked: DataFrame, least: int = 1) -> Da
     return df.join(hit, domain, "left")
 
 
+def not_allowed(df: DataFrame, domain: str, allowed: DataFrame) -> DataFrame:
+    """df without the rows whose domain, or a parent of it, is in allowed (column domain); rows without domain stay."""
+    own = listed(df.select(domain).distinct(), domain, allowed.select(canonical(F.col("domain")).alias("domain"))).where("listed is not null")
+    return df.join(own.select(domain), domain, "left_anti")
+
+
 def shortener(domain: Column) -> Column:
     d = F.rtrim(F.lower(domain), F.lit("."))
     out = d.isin(SHORTENERS)

@@ -60,9 +60,9 @@ def domains(v) -> DataFrame:
 CANON = "case when rtrim(lower(trim(domain)), '.') <> '' and length(rtrim(lower(trim(domain)), '.')) <= 253 and not regexp_matches(rtrim(lower(trim(domain)), '.'), '(^|\\.)(\\.|$)') then rtrim(lower(trim(domain)), '.') end"
 
 
-@query("domain_canon", f"with {DOMS}, k as (select domain, {CANON} canonical from dm) select domain, canonical, array_to_string(list_slice(string_split(canonical, '.'), -2, -1), '.') registrable from k")
+@query("domain_canon", f"with {DOMS}, k as (select domain, {CANON} canonical from dm) select domain, canonical, array_to_string(list_slice(string_split(canonical, '.'), -2, -1), '.') registrable, coalesce(regexp_full_match(canonical, '[a-z0-9.-]+\\.[a-z]{{2,}}'), false) as valid from k")
 def domain_canon(v):
-    return domains(v).withColumn("canonical", c.canonical(F.col("domain"))).withColumn("registrable", c.registrable(F.col("canonical")))
+    return domains(v).withColumn("canonical", c.canonical(F.col("domain"))).withColumns({"registrable": c.registrable(F.col("canonical")), "valid": c.valid_domain(F.col("canonical"))})
 
 
 @query("domain_of", "select page_id, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/:?#]+)', 1)) host from pages")
@@ -115,11 +115,12 @@ def suspicious_domain(v):
 
 
 @query("blocklist_check", f"""with {BLOCKED}, al as (select distinct domain a from data where event_id % 90 = 1), d as (select distinct domain from data where domain is not null)
-    select domain, (select max_by(b, length(b)) from bl where (domain = b or ends_with(domain, '.' || b)) and contains(b, '.')) listed from d where domain not in (select a from al where a is not null)""")
+    select domain, (select max_by(b, length(b)) from bl where (domain = b or ends_with(domain, '.' || b)) and contains(b, '.')) listed from d
+    where not exists (select 1 from al where domain = a or ends_with(domain, '.' || a))""")
 def blocklist_check(v):
     blocked = v.data.where("event_id % 40 = 1").select(c.registrable(F.col("domain")).alias("domain"))
     free = v.data.where("event_id % 90 = 1").select("domain").distinct()
-    own = v.data.select("domain").where("domain is not null").distinct().join(free, "domain", "left_anti")
+    own = c.not_allowed(v.data.select("domain").where("domain is not null").distinct(), "domain", free)
     return c.listed(own, "domain", blocked, 2).select("domain", "listed")
 
 
