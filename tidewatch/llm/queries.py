@@ -13,6 +13,7 @@ from tidewatch.llm.pii import op2_pii
 from tidewatch.llm.quality import op1_quality_knn
 from tidewatch.llm.topk import op3_kdtree_topk
 from tidewatch.llm.toxicity import op9_toxicity
+from tidewatch.llm.whiten import op11_whitening
 
 
 def queries() -> dict:
@@ -20,7 +21,7 @@ def queries() -> dict:
 
     own = (
         op1_quality_knn, op2_pii, op3_kdtree_topk, op4_decontamination, op5_best_fit_packing, op6_line_dedup, op7_minhash_dedup,
-        op8_license_scan, op9_toxicity, op10_chat_format,
+        op8_license_scan, op9_toxicity, op10_chat_format, op11_whitening,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
