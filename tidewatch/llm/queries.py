@@ -9,6 +9,7 @@ from tidewatch.llm.license import op8_license_scan
 from tidewatch.llm.lines import op6_line_dedup
 from tidewatch.llm.minhash import OP7_SQL, op7_minhash_dedup
 from tidewatch.llm.packing import op5_best_fit_packing
+from tidewatch.llm.phrases import OP12_SQL, op12_phrases
 from tidewatch.llm.pii import op2_pii
 from tidewatch.llm.quality import op1_quality_knn
 from tidewatch.llm.topk import op3_kdtree_topk
@@ -21,10 +22,10 @@ def queries() -> dict:
 
     own = (
         op1_quality_knn, op2_pii, op3_kdtree_topk, op4_decontamination, op5_best_fit_packing, op6_line_dedup, op7_minhash_dedup,
-        op8_license_scan, op9_toxicity, op10_chat_format, op11_whitening,
+        op8_license_scan, op9_toxicity, op10_chat_format, op11_whitening, op12_phrases,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL, "op3_kdtree_topk": topk.OP3_SQL, "op4_decontamination": OP4_SQL, "op7_minhash_dedup": OP7_SQL, "op8_license_scan": license.oracle()}
+    return {"op10_chat_format": OP10_SQL, "op12_phrases": OP12_SQL, "op3_kdtree_topk": topk.OP3_SQL, "op4_decontamination": OP4_SQL, "op7_minhash_dedup": OP7_SQL, "op8_license_scan": license.oracle()}
