@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from tidewatch.operators.sliding import Slide, slide
+
 MINUTE, HOUR, DAY = 60_000, 3_600_000, 86_400_000
 LATENESS = 30_000
+LONG = 7 * 24  # hours from which a frame is a long one
 
 
 def frame(key: str, width: int, closed: bool = True, ts: str = "ts_ms"):
@@ -65,57 +68,71 @@ def number_events(voice: DataFrame, sms: DataFrame, data: DataFrame) -> DataFram
     return v.unionByName(s).unionByName(d)
 
 
-def _count(cond: Column, w) -> Column:
-    return F.count(F.when(cond, 1)).over(w)
+NUMBER = ("velocity_1m", "velocity_5m", "velocity_1h", "fanout_1h", "imei_count", "sms_freq_1h", "sms_template_top", "dns_query_rate_1h", "suspicious_domain_count_1h", "data_volume_1h_bytes", "data_volume_baseline_bytes", "geo_entropy")
+WALLET = ("txn_velocity_1h", "counterparty_diversity_24h", "value_p95_24h")
 
 
-def _distinct(value: Column | str, w) -> Column:
-    return F.size(F.collect_set(value).over(w)).cast("long")
+def number_slides(scale: int = 1) -> list[Slide]:
+    """The frames of a number. One-minute, five-minute and fanout frames leave out their boundary; the others hold it."""
+    hour = HOUR * scale
+    return [
+        Slide("velocity_1m", "count", "_call", MINUTE * scale, False), Slide("velocity_5m", "count", "_call", 5 * MINUTE * scale, False), Slide("velocity_1h", "count", "_call", hour),
+        Slide("fanout_1h", "distinct", "callee", hour, False), Slide("imei_count", "distinct", "imei", 30 * DAY), Slide("sms_freq_1h", "count", "_sms", hour), Slide("sms_template_top", "top", "template_hash", hour),
+        Slide("dns_query_rate_1h", "count", "domain", hour), Slide("suspicious_domain_count_1h", "count", "_bad", hour), Slide("data_volume_1h_bytes", "sum", "_bytes", hour),
+        Slide("data_volume_baseline_bytes", "sum", "_bytes", 7 * DAY * scale),
+    ]
 
 
-def number_features(events: DataFrame, scale: int = 1, suspicious: Column | None = None) -> DataFrame:
-    """Features of a number at each of its events; scale widens all windows but the one-minute ones are widened too.
+def wallet_slides(scale: int = 1) -> list[Slide]:
+    day = DAY * scale
+    return [Slide("txn_velocity_1h", "count", "_amount", HOUR * scale), Slide("counterparty_diversity_24h", "distinct", "_cp", day), Slide("value_p95_24h", "p95", "_amount", day)]
+
+
+def number_inputs(events: DataFrame, suspicious: Column | None = None) -> DataFrame:
+    """number_events with the columns that number_slides reads; null where an event does not count."""
+    bad = F.lit(False) if suspicious is None else suspicious
+    marks = {"_call": F.when(F.col("call"), 1), "_sms": F.when(F.col("topic") == "sms", 1), "_bad": F.when(F.col("domain").isNotNull() & bad, 1), "_bytes": F.nullif("bytes", F.lit(0))}
+    return events.withColumns({n: c.cast("long") for n, c in marks.items()})
 
-    One-minute, five-minute and fanout frames leave out their boundary; hourly ones hold it. Null callees, templates and
-    domains do not count. geo_entropy is always 0. The frames share a partitioning, so one shuffle serves them all.
-    """
-    hour = frame("msisdn", HOUR * scale)
-    week, bad = frame("msisdn", 7 * DAY * scale), F.lit(False) if suspicious is None else suspicious
-    return events.select(
-        "msisdn", "ts_ms", "event_id", "topic", _count(F.col("call"), frame("msisdn", MINUTE * scale, False)).alias("velocity_1m"),
-        _count(F.col("call"), frame("msisdn", 5 * MINUTE * scale, False)).alias("velocity_5m"), _count(F.col("call"), hour).alias("velocity_1h"),
-        _distinct("callee", frame("msisdn", HOUR * scale, False)).alias("fanout_1h"), _distinct("imei", frame("msisdn", 30 * DAY)).alias("imei_count"),
-        _count(F.col("topic") == "sms", hour).alias("sms_freq_1h"), _top(hour).alias("sms_template_top"),
-        _count(F.col("domain").isNotNull(), hour).alias("dns_query_rate_1h"), _count(F.col("domain").isNotNull() & bad, hour).alias("suspicious_domain_count_1h"),
-        F.sum("bytes").over(hour).alias("data_volume_1h_bytes"), F.floor(F.sum("bytes").over(week) / 168).alias("data_volume_baseline_bytes"),
-        F.lit(0.0).alias("geo_entropy"),
-    )
 
+def wallet_inputs(momo: DataFrame) -> DataFrame:
+    """Transactions with their wallet, the sender or else the recipient; reversals count for diversity only."""
+    own = momo.withColumns({"wallet_id": F.coalesce("sender_wallet", "recipient_wallet"), "_cp": F.coalesce("recipient_wallet", "account_hash"), "_amount": F.when(F.col("kind") != "reversal", F.col("amount_minor").cast("long"))})
+    return own.where("wallet_id is not null")
 
-def _top(w) -> Column:
-    """The most frequent template of a frame; ties go to the one seen first, then to the smaller hash."""
-    seen = F.collect_list(F.when(F.col("template_hash").isNotNull(), F.struct("ts_ms", "template_hash"))).over(w)
-    names = F.array_distinct(F.transform(seen, lambda x: x["template_hash"]))
 
-    def rated(h):
-        own = F.filter(seen, lambda x: x["template_hash"] == h)
-        return F.struct((-F.size(own)).alias("n"), F.array_min(F.transform(own, lambda x: x["ts_ms"])).alias("first"), h.alias("hash"))
+def _slid(events: DataFrame, key: str, slides: list[Slide]) -> DataFrame:
+    """Short frames and long ones one after the other, as chunks of a busy key are as long as its frames ask for."""
+    for group in ([s for s in slides if s.width < HOUR * LONG], [s for s in slides if s.width >= HOUR * LONG]):
+        if group:
+            events = slide(events, key, group)
+    return events
 
-    return F.array_min(F.transform(names, rated))["hash"]
+
+def number_features(events: DataFrame, scale: int = 1, suspicious: Column | None = None, only: list[str] | tuple = NUMBER) -> DataFrame:
+    """Features of a number at each of its events; scale widens all frames but that of devices.
+
+    Null callees, templates and domains do not count. geo_entropy is always 0. The top template's ties go to the one seen
+    first in the frame, then to the smaller hash. only: the features to work out.
+    """
+    slides = [s for s in number_slides(scale) if s.name in only]
+    read = {s.column for s in slides}
+    own = number_inputs(events, suspicious).select("msisdn", "ts_ms", "event_id", "topic", *sorted(read))
+    out = _slid(own, "msisdn", slides).withColumn("geo_entropy", F.lit(0.0))
+    if "data_volume_baseline_bytes" in only:
+        out = out.withColumn("data_volume_baseline_bytes", F.floor(F.col("data_volume_baseline_bytes") / 168))
+    return out.select("msisdn", "ts_ms", "event_id", "topic", *[n for n in NUMBER if n in only])
 
 
-def wallet_features(momo: DataFrame, scale: int = 1) -> DataFrame:
+def wallet_features(momo: DataFrame, scale: int = 1, only: list[str] | tuple = WALLET) -> DataFrame:
     """Features of a wallet at each of its transactions.
 
     The wallet is the sender, else the recipient. Reversals count for diversity only. p95 is the sorted amount at
-    max(0, int(n * 0.95) - 1), 0 without amounts.
+    max(0, int(n * 0.95) - 1), 0 without amounts. only: the features to work out.
     """
-    own = momo.withColumns({"wallet_id": F.coalesce("sender_wallet", "recipient_wallet"), "cp": F.coalesce("recipient_wallet", "account_hash"), "real": F.col("kind") != "reversal"}).where("wallet_id is not null")
-    day = frame("wallet_id", DAY * scale)
-    amounts = F.sort_array(F.collect_list(F.when(F.col("real"), F.col("amount_minor"))).over(day))
-    at = F.greatest(F.lit(1), F.floor(F.size("amounts") * 95 / 100)).cast("int")
-    out = own.select("wallet_id", "ts_ms", "event_id", _count(F.col("real"), frame("wallet_id", HOUR * scale)).alias("txn_velocity_1h"), _distinct("cp", day).alias("counterparty_diversity_24h"), amounts.alias("amounts"))
-    return out.withColumn("value_p95_24h", F.coalesce(F.get("amounts", at - 1), F.lit(0)).cast("double")).drop("amounts")
+    slides = [s for s in wallet_slides(scale) if s.name in only]
+    own = wallet_inputs(momo).select("wallet_id", "ts_ms", "event_id", *sorted({s.column for s in slides}))
+    return slide(own, "wallet_id", slides).select("wallet_id", "ts_ms", "event_id", *[n for n in WALLET if n in only])
 
 
 def final_state(features: DataFrame, key: str) -> DataFrame:

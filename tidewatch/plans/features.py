@@ -23,14 +23,14 @@ def over(w: int, closed: bool = True, key: str = "msisdn") -> str:
     return f"over (partition by {key} order by ts_ms range between {w if closed else w - 1} preceding and current row)"
 
 
-def numbers(v):
-    return f.number_features(f.number_events(v.voice, v.sms, v.data), LAB, F.col("domain").like("%.net"))
+def numbers(v, *only):
+    return f.number_features(f.number_events(v.voice, v.sms, v.data), LAB, F.col("domain").like("%.net"), only or f.NUMBER)
 
 
 def number_query(name: str, cols: str, sql: str):
     @query(name, f"with {NUMBERS} select msisdn, event_id, topic, {sql} from nums")
     def run(v):
-        return numbers(v).select("msisdn", "event_id", "topic", *cols.split())
+        return numbers(v, *cols.split()).select("msisdn", "event_id", "topic", *cols.split())
 
 
 number_query("feat_velocity", "velocity_1m velocity_5m velocity_1h", f"count(*) filter (is_call) {over(f.MINUTE * LAB, False)} velocity_1m, count(*) filter (is_call) {over(5 * f.MINUTE * LAB, False)} velocity_5m, count(*) filter (is_call) {over(H)} velocity_1h")
@@ -45,14 +45,14 @@ number_query("feat_dns", "dns_query_rate_1h suspicious_domain_count_1h", f"count
         and n.ts_ms between x.ts_ms - {H} and x.ts_ms group by all)
     select x.msisdn, x.event_id, x.topic, arg_min(h, (-c, t, h)) sms_template_top from x left join c using (msisdn, event_id, topic) group by all""")
 def template_top(v):
-    return numbers(v).select("msisdn", "event_id", "topic", "sms_template_top")
+    return numbers(v, "sms_template_top").select("msisdn", "event_id", "topic", "sms_template_top")
 
 
 @query("feat_volume", f"""with {NUMBERS}, x as (select msisdn, event_id, topic, sum(bytes) {over(H)}::bigint data_volume_1h_bytes,
         (sum(bytes) {over(7 * D)} // 168)::bigint data_volume_baseline_bytes from nums)
     select *, round(case when data_volume_baseline_bytes <= 0 then 0 else data_volume_1h_bytes / data_volume_baseline_bytes end, 6) data_volume_anomaly from x""")
 def volume(v):
-    out = numbers(v).select("msisdn", "event_id", "topic", "data_volume_1h_bytes", "data_volume_baseline_bytes")
+    out = numbers(v, "data_volume_1h_bytes", "data_volume_baseline_bytes").drop("ts_ms")
     return out.withColumn("data_volume_anomaly", F.round(f.anomaly(F.col("data_volume_1h_bytes"), F.col("data_volume_baseline_bytes")), 6))
 
 
@@ -65,12 +65,12 @@ WALLETS = f"""wals as (select *, coalesce(sender_wallet, recipient_wallet) walle
 
 @query("feat_wallet", f"with {WALLETS} select wallet_id, event_id, txn_velocity_1h, counterparty_diversity_24h from wfeat")
 def wallet(v):
-    return f.wallet_features(v.momo, LAB).select("wallet_id", "event_id", "txn_velocity_1h", "counterparty_diversity_24h")
+    return f.wallet_features(v.momo, LAB, ("txn_velocity_1h", "counterparty_diversity_24h")).drop("ts_ms")
 
 
 @query("feat_p95", f"with {WALLETS} select wallet_id, event_id, value_p95_24h from wfeat")
 def p95(v):
-    return f.wallet_features(v.momo, LAB).select("wallet_id", "event_id", "value_p95_24h")
+    return f.wallet_features(v.momo, LAB, ("value_p95_24h",)).drop("ts_ms")
 
 
 @query("feat_final", f"""with {WALLETS} select wallet_id, ts_ms, event_id, txn_velocity_1h, counterparty_diversity_24h, value_p95_24h
