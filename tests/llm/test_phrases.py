@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidewatch.llm import phrases
@@ -60,12 +61,12 @@ def test_tries_burst_and_slices_lose_nothing(monkeypatch):
     monkeypatch.setattr(phrases, "WORDS", 40)
     monkeypatch.setattr(phrases, "FEED", 16)
     for entries, burst in ((10**6, 4096), (10**6, 3), (60, 3), (60, 1)):
-        own, got = phrases.Counter(3, entries, burst, feed=16), Counter()
+        own, got = phrases.Counter((1, 2, 3), None, entries, burst, feed=16), Counter()
         text = " ".join(texts(40, 5)).encode()
         found = [*own.read("x", text), *own.read("x", b""), *own.spill(0)]
+        assert len(found) > 1
         for run in found:
-            cols = [run.column(c).to_pylist() for c in ("first", "second", "third")]
-            keys = [tuple(w.encode() for w in k if w is not None) for k in zip(*cols)]
+            keys = [tuple(k.encode().partition(b"\n")[2].split()) for k in run.column("key").to_pylist()]
             assert keys == sorted(keys) and len(set(keys)) == len(keys)
             for k, n in zip(keys, run.column("n").to_pylist()):
                 got[k] += n
@@ -77,6 +78,39 @@ def test_tries_burst_and_slices_lose_nothing(monkeypatch):
         assert got == want
 
 
+def test_trie_bursts_at_branches():
+    r = random.Random(8)
+    for burst in (1, 2, 5, 50):
+        trie, want = phrases.HatTrie(burst), Counter()
+        for _ in range(30):
+            some = Counter((r.randrange(1, 9) << 42) | (r.randrange(0, 9) << 21) | r.randrange(0, 9) for _ in range(60))
+            codes = sorted(some)
+            trie.add(np.array(codes), np.array([some[c] for c in codes]))
+            want += some
+            assert trie.entries == sum(map(len, trie.containers)) and trie.edges == sorted(trie.edges)
+            for lo, hi, own in zip(trie.edges, [*trie.edges[1:], 1 << 63], trie.containers):
+                assert all(lo <= k < hi for k in own) and lo % (1 << 21) == 0
+                assert len(own) <= burst or len({k >> 21 for k in own}) == 1
+            if r.random() < 0.4:
+                keep = r.randrange(trie.entries)
+                codes, counts = trie.take(keep)
+                assert trie.entries <= keep
+                want -= Counter(dict(zip(codes.tolist(), counts.tolist())))
+        codes, counts = trie.take(0)
+        assert dict(zip(codes.tolist(), counts.tolist())) == dict(want) and trie.entries == 0
+
+
+def test_filter_lets_all_frequent_pairs_pass(spark):
+    words = [f"w{i}" for i in range(50)] + ["é\x00", "\U0001f600"]
+    pairs = [(a, b) for a in words for b in words if random.Random(a + b).random() < 0.3]
+    bits = np.frombuffer(phrases.pair_filter(spark.createDataFrame([(f"{a} {b}",) for a, b in pairs], "phrase string")), np.uint8)
+    own = phrases.Counter((3,), bits)
+    list(own.read("x", " ".join(f"{a} {b}." for a in words for b in words).encode()))
+    ids = np.array([own.ids[x.encode()] for a in words for b in words for x in (a, b)])
+    passes = own._passes(ids)[::2]
+    assert [p for p, ok in zip([(a, b) for a in words for b in words], passes) if ok] == pairs and len(bits) == 1 << (phrases.FILTER - 3)
+
+
 def test_awkward_documents(spark):
     rows = [(1, None, None), (2, "", "en"), (None, "\x00 \x00 nul\x00 A a", "en"), (None, "\x00 \x00 nul\x00 A a", "en"), (5, "Long text " * 30_000, "en"), (6, "\U0001f600 é\xa0é \U0001f600", "en")]
     df = spark.createDataFrame([(*r, 1, "x", "y", 2) for r in rows], DOC + ", n int, phrase string, first string, part int")

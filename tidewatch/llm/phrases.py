@@ -2,108 +2,127 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import materialize, table
+from tidewatch.llm.common import materialize, share, table
 
 BITS = 21  # of a word id: three ids fit 64 bits
-ENTRIES = 600_000  # phrases that the tries of a task hold; beyond it whole subtrees spill
-BURST = 4096  # phrases of a container that becomes a node
+ENTRIES = 800_000  # phrases that the tries of a task hold; beyond it whole subtrees spill
+BURST = 8192  # phrases of a container that is burst
 FEED = 1 << 18  # words counted at once
 WORDS = 1 << 19  # different words that a task numbers before it starts anew
-SALT = 64  # parts that the phrases behind one prefix go to, and parts of a language's ranking
+FILTER = 27  # 2^FILTER bits say which pairs are frequent: 16 MB, whatever the input
+SALT = 64  # parts of a language's ranking
 _LOW = (1 << BITS) - 1
 # What parts pieces, and what parts words.
 _ENDS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _END = b"A"  # capitals are gone when it is set
 _TABLE = bytes(10 if c in _ENDS else 32 if c in _BLANKS else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_RUN = "lang string, first string, second string, third string, n long"
 
 
 class HatTrie:
-    """Counts of phrases of one to three word ids: a trie over the first ids, with hash containers under it.
+    """Counts of phrases of one to three word ids: a trie over the first two ids, with hash containers under it.
 
-    A phrase is its ids, 0 behind the last. The container of a first id maps the other two ids, packed, to a count; one
-    with over BURST phrases bursts into a node that has a container for each second id. Deeper it does not go: a phrase
-    ends there. sizes holds the phrases under each first id, so that the largest subtrees can be found.
+    A phrase is its ids, packed, 0 behind the last. A container is a hash table for a run of neighbouring branches: all
+    phrases from its edge up to the next edge. With over `burst` phrases it is burst where a first id begins, or, if all
+    its phrases begin with the same id, where a second id begins; a pair's own branch is not divided.
     """
 
     def __init__(self, burst: int = BURST):
-        self.burst, self.nodes, self.sizes, self.entries = burst, {}, {}, 0
+        self.burst, self.edges, self.containers, self.entries = burst, [0], [{}], 0
 
     def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        """codes: sorted, distinct phrases, packed; counts: how often each comes."""
-        first = codes >> (2 * BITS)
-        cuts = np.flatnonzero(np.diff(first, prepend=-1))
-        rest, n = (codes & ((1 << 2 * BITS) - 1)).tolist(), counts.tolist()
-        for word, a, b in zip(first[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(codes)]):
-            node = self.nodes.get(word)
-            if node is None:
-                node, self.sizes[word] = self.nodes.setdefault(word, {}), 0
-            before = self.sizes[word]
-            if before > self.burst:
-                grown = 0
-                for k, c in zip(rest[a:b], n[a:b]):
-                    own = node.get(k >> BITS)
-                    if own is None:
-                        own = node[k >> BITS] = {}
-                    grown -= len(own)
-                    own[k & _LOW] = own.get(k & _LOW, 0) + c
-                    grown += len(own)
-            else:
-                for k, c in zip(rest[a:b], n[a:b]):
-                    node[k] = node.get(k, 0) + c
-                grown = len(node) - before
-                if len(node) > self.burst:
-                    self.nodes[word] = burst = {}
-                    for k, c in node.items():
-                        burst.setdefault(k >> BITS, {})[k & _LOW] = c
-            self.sizes[word] = before + grown
-            self.entries += grown
+        """codes: sorted, distinct phrases; counts: how often each comes."""
+        cuts = [*np.searchsorted(codes, self.edges).tolist(), len(codes)]
+        keys, n = codes.tolist(), counts.tolist()
+        edges, containers = [], []
+        for edge, own, a, b in zip(self.edges, self.containers, cuts, cuts[1:]):
+            before, get = len(own), own.get
+            for k, c in zip(keys[a:b], n[a:b]):
+                own[k] = get(k, 0) + c
+            self.entries += len(own) - before
+            for e, x in self._burst(edge, own):
+                edges.append(e)
+                containers.append(x)
+        self.edges, self.containers = edges, containers
+
+    def _burst(self, edge: int, own: dict) -> list[tuple[int, dict]]:
+        if len(own) <= self.burst:
+            return [(edge, own)]
+        keys = np.sort(np.fromiter(own, np.int64, len(own)))
+        for level in (2 * BITS, BITS):
+            heads = keys >> level
+            at = np.flatnonzero(heads[1:] != heads[:-1]) + 1  # where a branch begins
+            if len(at):
+                cut = int(at[np.abs(at - len(keys) // 2).argmin()])
+                low, high = ({k: own[k] for k in part.tolist()} for part in (keys[:cut], keys[cut:]))
+                return self._burst(edge, low) + self._burst(int(heads[cut]) << level, high)
+        return [(edge, own)]
 
     def take(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
         """Remove whole subtrees, the largest first, until at most `keep` phrases are left: their codes and counts."""
-        codes, counts = [], []
-        for word in sorted(self.sizes, key=self.sizes.__getitem__, reverse=True):
+        taken = []
+        for i in sorted(range(len(self.edges)), key=lambda i: -len(self.containers[i])):
             if self.entries <= keep:
                 break
-            node, size = self.nodes.pop(word), self.sizes.pop(word)
-            self.entries -= size
-            head = word << 2 * BITS
-            for second, own in node.items() if size > self.burst else [(0, node)]:
-                codes.append(np.fromiter(own, np.int64, len(own)) + (head + (second << BITS)))
-                counts.append(np.fromiter(own.values(), np.int64, len(own)))
-        return (np.concatenate(codes), np.concatenate(counts)) if codes else (np.empty(0, np.int64), np.empty(0, np.int64))
+            taken.append(self.containers[i])
+            self.containers[i] = {}
+            self.entries -= len(taken[-1])
+        held = [i for i, own in enumerate(self.containers) if own or i == 0]
+        self.edges, self.containers = [self.edges[i] for i in held], [self.containers[i] for i in held]
+        n = sum(map(len, taken))
+        return np.fromiter(chain.from_iterable(taken), np.int64, n), np.fromiter(chain.from_iterable(x.values() for x in taken), np.int64, n)
 
 
 class Names(dict):
-    """Ids of words, in the order of their first use; 0 is the mark for the end of a piece, which no word can be."""
+    """Ids of words, in the order of their first use, and their hashes; 0 is the mark for the end of a piece."""
 
     def __init__(self):
         super().__init__({_END: 0})
-        self.words = [b""]
+        self.words, self.hashes = [b""], [0]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = i = len(self.words)
         self.words.append(word)
+        self.hashes.append(xxhash.xxh64_intdigest(word, 42))
         return i
 
 
+def places(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each pair of words, from the hashes of both; as `_PLACES` in SQL."""
+    h = (first << np.uint64(1) | first >> np.uint64(63)) ^ second
+    mask = np.uint64((1 << FILTER) - 1)
+    return h & mask, (h >> np.uint64(FILTER)) & mask
+
+
+_HASH = "(shiftleft(xxhash64(w[0]), 1) | shiftrightunsigned(xxhash64(w[0]), 63)) ^ xxhash64(w[1])"
+_PLACES = f"transform(array(0, {FILTER}), i -> cast(shiftrightunsigned({_HASH}, i) & {(1 << FILTER) - 1} as int))"
+
+
 class Counter:
-    """The tries of a task, one for each language, over word ids of its own."""
+    """The tries of a task, one for each language, over word ids of its own.
 
-    def __init__(self, longest: int, entries: int = ENTRIES, burst: int = BURST, feed: int = FEED):
-        self.longest, self.limit, self.burst, self.feed = longest, entries, burst, feed
+    sizes: how many words the counted phrases have. frequent: the bits of the filter; only phrases of three words whose
+    pairs both pass it are counted.
+    """
+
+    def __init__(self, sizes: tuple = (1, 2, 3), frequent: np.ndarray | None = None, entries: int = ENTRIES, burst: int = BURST, feed: int = FEED):
+        self.sizes, self.frequent, self.limit, self.burst, self.feed = sizes, frequent, entries, burst, feed
         self.ids, self.tries, self.held, self.total = Names(), {}, {}, {}
 
     def read(self, lang: str, text: bytes):
         """Take in a text; gives runs where the tries have grown too large. Id 0 ends a piece."""
-        tokens = text.translate(_TABLE).replace(b"\n", b" " + _END + b" ").split()
+        tokens, more = text.translate(_TABLE).replace(b"\n", b" " + _END + b" ").split(), max(self.sizes) - 1
         for at in range(0, max(1, len(tokens)), self.feed):
-            part = tokens[at : at + self.feed + self.longest - 1]  # the words behind the slice end its phrases
+            part = tokens[at : at + self.feed + more]  # the words behind the slice end its phrases
             if len(self.ids.words) + len(part) > WORDS + FEED:
                 yield from self.spill(0)
             own = np.zeros(len(part) + 1, np.int64)
@@ -121,17 +140,29 @@ class Counter:
             return
         ids = np.concatenate([x for x, _ in waiting])
         start = np.concatenate([np.arange(len(x)) < n for x, n in waiting]) & (ids > 0)
-        self.total[lang] = self.total.get(lang, 0) + int(start.sum())
-        code, codes = ids << (2 * BITS), [(ids << (2 * BITS))[start]]
-        for k in range(1, self.longest):
-            start = start[:-1] & (ids[k:] > 0)
-            code = code[:-1] | (ids[k:] << (BITS * (2 - k)))
-            codes.append(code[start])
+        if 1 in self.sizes:
+            self.total[lang] = self.total.get(lang, 0) + int(start.sum())
+        code, codes = ids << (2 * BITS), []
+        for k in range(1, max(self.sizes) + 1):
+            if k > 1:
+                start = start[:-1] & (ids[k - 1 :] > 0)
+                code = code[:-1] | (ids[k - 1 :] << (BITS * (3 - k)))
+            if k == 3 and self.frequent is not None:
+                own = self._passes(ids)
+                start = start & own[:-1] & own[1:]
+            if k in self.sizes:
+                codes.append(code[start])
         trie = self.tries.setdefault(lang, HatTrie(self.burst))
         trie.add(*np.unique(np.concatenate(codes), return_counts=True))
         if sum(t.entries for t in self.tries.values()) > self.limit:
             yield from self.spill(self.limit // 2)
 
+    def _passes(self, ids: np.ndarray) -> np.ndarray:
+        used, at = np.unique(ids, return_inverse=True)
+        h = np.array([self.ids.hashes[i] for i in used.tolist()], np.uint64)[at]
+        one, two = ((self.frequent[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 for p in places(h[:-1], h[1:]))
+        return (one & two).astype(bool)
+
     def spill(self, keep: int):
         """Runs of whole subtrees, sorted by their words; with keep 0 of all that is held, after which ids start anew."""
         if keep == 0:
@@ -144,51 +175,90 @@ class Counter:
                 yield self._run(lang, codes, counts)
         if keep == 0:
             self.ids, self.tries = Names(), {}
-            for lang, n in self.total.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), *[pa.array([None], pa.string())] * 3, pa.array([n])], names=["lang", "first", "second", "third", "n"])
+            if self.total:
+                yield pa.RecordBatch.from_arrays([pa.array([f"{lang}\n" for lang in self.total]), pa.array(self.total.values(), pa.int64())], names=["key", "n"])
             self.total = {}
 
     def _run(self, lang: str, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        parts = [codes >> 2 * BITS, (codes >> BITS) & _LOW, codes & _LOW]
+        parts = [p for p in (codes >> 2 * BITS, (codes >> BITS) & _LOW, codes & _LOW) if p.any()]
         used = np.unique(np.concatenate(parts))
         words = [self.ids.words[i] for i in used.tolist()]
         place = sorted(range(len(words)), key=words.__getitem__)
-        rank = np.empty(len(words), np.int64)
-        rank[place] = np.arange(len(words))
-        ranks = [rank[np.searchsorted(used, p)] for p in parts]
-        order = np.argsort((ranks[0] << 2 * BITS) | (ranks[1] << BITS) | ranks[2])
+        rank = np.zeros(int(used[-1]) + 1, np.int64)
+        rank[used[place]] = np.arange(len(words))
+        ranks = [rank[p] for p in parts]
+        order = np.argsort(sum(r << (BITS * (2 - i)) for i, r in enumerate(ranks)))
         names = pa.array([words[i] for i in place], pa.binary()).cast(pa.string())
         cols = [names.take(pa.array(r[order], mask=p[order] == 0)) for r, p in zip(ranks, parts)]
-        return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(codes), np.int64))), *cols, pa.array(counts[order])], names=["lang", "first", "second", "third", "n"])
+        phrase = pc.binary_join_element_wise(*cols, pa.scalar(" "), null_handling="skip")
+        return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.scalar(f"{lang}\n"), phrase, ""), pa.array(counts[order])], names=["key", "n"])
 
 
-def runs(docs: DataFrame, longest: int = 3, entries: int = ENTRIES) -> DataFrame:
-    """lang, first, second, third, n: the sorted runs of all tasks; a row without first has the number of words of a run."""
+def runs(docs: DataFrame, sizes: tuple, frequent: bytes | None = None, entries: int = ENTRIES) -> DataFrame:
+    """key (language, line end, phrase), n: the sorted runs of all tasks.
+
+    With phrases of one word, a run also has the number of words of each language, under the key without a phrase.
+    frequent, bits of a fixed number, is broadcast.
+    """
+    held = None if frequent is None else share(docs.sparkSession, frequent)
 
     def count(batches):
-        own = Counter(longest, entries)
+        own = Counter(sizes, None if held is None else np.frombuffer(held(), np.uint8), entries)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 if text.is_valid:
                     yield from own.read(lang, text.as_py())
         yield from own.spill(0)
 
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(count, _RUN)
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(count, "key string, n long")
+
+
+def merged(rows: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, k, f) of the runs' phrases that come `least` times or more; k is 0 for the words of a language.
+
+    Runs meet by the whole key, of which the words are a prefix of longer phrases' keys: what begins with a frequent
+    word or pair is as many keys, so no partition is hot, and a task sends a phrase once for each of its runs.
+    """
+    own = rows.groupBy("key").agg(F.sum("n").alias("f"))
+    phrase = F.substring_index("key", "\n", -1)
+    k = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))
+    out = own.select(F.expr("left(key, length(key) - length(substring_index(key, '\n', -1)) - 1)").alias("lang"), phrase.alias("phrase"), k.alias("k"), "f")
+    return out.where((F.col("f") >= least) | (F.col("k") == 0))
+
+
+def pair_filter(pairs: DataFrame) -> bytes:
+    """Bits for the places of each phrase of two words. Their number is fixed, so it may be broadcast."""
+
+    @F.pandas_udf("binary")
+    def packed(sets: pd.Series) -> pd.Series:
+        def pack(own):
+            bits = np.zeros(1 << 16, np.uint8)
+            bits[np.asarray(own, np.int64)] = 1
+            return np.packbits(bits, bitorder="little").tobytes()
+
+        return sets.map(pack)
+
+    place = pairs.select(F.split("phrase", " ").alias("w")).select(F.explode(F.expr(_PLACES)).alias("p"))
+    blocks = place.groupBy(F.shiftright("p", 16).alias("block")).agg(F.collect_set(F.col("p").bitwiseAND(0xFFFF)).alias("own")).select("block", packed("own").alias("bits"))
+    out = bytearray(1 << (FILTER - 3))
+    for r in blocks.toLocalIterator():
+        out[r["block"] << 13 : (r["block"] + 1) << 13] = r["bits"]
+    return bytes(out)
 
 
 def frequencies(docs: DataFrame, least: int, longest: int = 3, entries: int = ENTRIES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, f) of phrases of up to `longest` words that come `least` times or more, (lang, n) of all words).
 
-    Runs meet by prefix: the phrases behind two words are dealt to one partition, or, as that may be a hot pair, to SALT
-    of them by the third word. There equal phrases of different runs are added up.
+    Words and pairs are counted first. A phrase of three words is as frequent as its pairs at most, so the second reading
+    counts only those whose pairs pass a filter of the frequent ones. The filter may let others pass, which costs rows
+    and is right still, as all that is counted is held against `least`.
     """
-    part = F.pmod(F.xxhash64("third"), F.lit(SALT)).alias("part")
-    dealt = runs(docs, longest, entries).select("*", part).repartition("lang", "first", "second", "part")
-    merged = dealt.groupBy("lang", "first", "second", "third", "part").agg(F.sum("n").alias("f"))
-    merged = merged.where((F.col("f") >= least) | F.col("first").isNull())
-    k = F.size(F.array_compact(F.array("first", "second", "third")))
-    merged = materialize(merged.select("lang", F.when(F.col("first").isNotNull(), F.concat_ws(" ", "first", "second", "third")).alias("phrase"), k.alias("k"), "f"), "phrases")
-    return merged.where("phrase is not null"), merged.where("phrase is null").select("lang", F.col("f").alias("n"))
+    short = materialize(merged(runs(docs, (1, 2), None, entries), least), "phrases")
+    frequent = short.where("k > 0")
+    if longest > 2:
+        bits = pair_filter(short.where("k = 2").select("phrase").distinct())
+        frequent = frequent.unionByName(materialize(merged(runs(docs, (3,), bits, entries), least), "triples"))
+    return frequent, short.where("k = 0").select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, longest: int = 3, covered: int = 50, entries: int = ENTRIES) -> DataFrame:
