@@ -76,28 +76,28 @@ def number_slides(scale: int = 1) -> list[Slide]:
     """The frames of a number. One-minute, five-minute and fanout frames leave out their boundary; the others hold it."""
     hour = HOUR * scale
     return [
-        Slide("velocity_1m", "count", "_call", MINUTE * scale, False), Slide("velocity_5m", "count", "_call", 5 * MINUTE * scale, False), Slide("velocity_1h", "count", "_call", hour),
-        Slide("fanout_1h", "distinct", "callee", hour, False), Slide("imei_count", "distinct", "imei", 30 * DAY), Slide("sms_freq_1h", "count", "_sms", hour), Slide("sms_template_top", "top", "template_hash", hour),
-        Slide("dns_query_rate_1h", "count", "domain", hour), Slide("suspicious_domain_count_1h", "count", "_bad", hour), Slide("data_volume_1h_bytes", "sum", "_bytes", hour),
-        Slide("data_volume_baseline_bytes", "sum", "_bytes", 7 * DAY * scale),
+        Slide("velocity_1m", "count", "is_call", MINUTE * scale, False), Slide("velocity_5m", "count", "is_call", 5 * MINUTE * scale, False), Slide("velocity_1h", "count", "is_call", hour),
+        Slide("fanout_1h", "distinct", "callee", hour, False), Slide("imei_count", "distinct", "imei", 30 * DAY), Slide("sms_freq_1h", "count", "is_sms", hour), Slide("sms_template_top", "top", "template_hash", hour),
+        Slide("dns_query_rate_1h", "count", "domain", hour), Slide("suspicious_domain_count_1h", "count", "is_bad", hour), Slide("data_volume_1h_bytes", "sum", "traffic", hour),
+        Slide("data_volume_baseline_bytes", "sum", "traffic", 7 * DAY * scale),
     ]
 
 
 def wallet_slides(scale: int = 1) -> list[Slide]:
     day = DAY * scale
-    return [Slide("txn_velocity_1h", "count", "_amount", HOUR * scale), Slide("counterparty_diversity_24h", "distinct", "_cp", day), Slide("value_p95_24h", "p95", "_amount", day)]
+    return [Slide("txn_velocity_1h", "count", "real_amount", HOUR * scale), Slide("counterparty_diversity_24h", "distinct", "cp_id", day), Slide("value_p95_24h", "p95", "real_amount", day)]
 
 
 def number_inputs(events: DataFrame, suspicious: Column | None = None) -> DataFrame:
     """number_events with the columns that number_slides reads; null where an event does not count."""
     bad = F.lit(False) if suspicious is None else suspicious
-    marks = {"_call": F.when(F.col("call"), 1), "_sms": F.when(F.col("topic") == "sms", 1), "_bad": F.when(F.col("domain").isNotNull() & bad, 1), "_bytes": F.nullif("bytes", F.lit(0))}
+    marks = {"is_call": F.when(F.col("call"), 1), "is_sms": F.when(F.col("topic") == "sms", 1), "is_bad": F.when(F.col("domain").isNotNull() & bad, 1), "traffic": F.nullif("bytes", F.lit(0))}
     return events.withColumns({n: c.cast("long") for n, c in marks.items()})
 
 
 def wallet_inputs(momo: DataFrame) -> DataFrame:
     """Transactions with their wallet, the sender or else the recipient; reversals count for diversity only."""
-    own = momo.withColumns({"wallet_id": F.coalesce("sender_wallet", "recipient_wallet"), "_cp": F.coalesce("recipient_wallet", "account_hash"), "_amount": F.when(F.col("kind") != "reversal", F.col("amount_minor").cast("long"))})
+    own = momo.withColumns({"wallet_id": F.coalesce("sender_wallet", "recipient_wallet"), "cp_id": F.coalesce("recipient_wallet", "account_hash"), "real_amount": F.when(F.col("kind") != "reversal", F.col("amount_minor").cast("long"))})
     return own.where("wallet_id is not null")
 
 
@@ -118,7 +118,12 @@ def number_features(events: DataFrame, scale: int = 1, suspicious: Column | None
     slides = [s for s in number_slides(scale) if s.name in only]
     read = {s.column for s in slides}
     own = number_inputs(events, suspicious).select("msisdn", "ts_ms", "event_id", "topic", *sorted(read))
-    out = _slid(own, "msisdn", slides).withColumn("geo_entropy", F.lit(0.0))
+    return finished(_slid(own, "msisdn", slides), only)
+
+
+def finished(slid: DataFrame, only: list[str] | tuple = NUMBER) -> DataFrame:
+    """The features from what the frames of a number give: the baseline as bytes of an hour, geo_entropy as 0."""
+    out = slid.withColumn("geo_entropy", F.lit(0.0))
     if "data_volume_baseline_bytes" in only:
         out = out.withColumn("data_volume_baseline_bytes", F.floor(F.col("data_volume_baseline_bytes") / 168))
     return out.select("msisdn", "ts_ms", "event_id", "topic", *[n for n in NUMBER if n in only])

@@ -196,11 +196,15 @@ class Frames:
         self.slides = slides
         self.held = [(deque(), KINDS[s.kind][0](), s.width if s.closed else s.width - 1) for s in slides]
 
+    def put(self, i: int, ts: int, value) -> None:
+        queue, own, _ = self.held[i]
+        queue.append((ts, value))
+        own.add(ts, value)
+
     def add(self, ts: int, values: tuple) -> None:
-        for (queue, own, _), value in zip(self.held, values):
+        for i, value in enumerate(values):
             if value is not None:
-                queue.append((ts, value))
-                own.add(ts, value)
+                self.put(i, ts, value)
 
     def at(self, ts: int) -> tuple:
         """The results at ts; what is older than a frame leaves it for good."""

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs. What is stateless or windowed reuses the batch functions; what is keyed state stands here."""
+"""Structured Streaming jobs. What is stateless or windowed reuses the batch functions; keyed state stands here and, for sliding features, in sliding.py."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators.features import HOUR, LATENESS
+from tidewatch.operators.features import LATENESS
 from tidewatch.sources.sinks import upsert_latest
 
 
@@ -39,31 +39,6 @@ def hourly(events: DataFrame, keys: list[str], aggs: list) -> DataFrame:
     return own.select((F.unix_millis("window.start")).alias("window_start_ms"), *keys, *[c for c in own.columns if c not in ("window", *keys)])
 
 
-def sliding_counts(events: DataFrame, key: str, ttl_ms: int = HOUR) -> DataFrame:
-    """key, event_id, ts_ms, late, n: for each event the events of its key in the closed ttl_ms before it.
-
-    State of a key: the times in its window and the highest time. An event more than 30 s behind the highest is late: it
-    is marked, changes nothing and has the count as it was. Times leave by event time, not by their place in a queue.
-    """
-
-    def step(k, batches, state):
-        times, high = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        rows = pd.concat(list(batches)).sort_values(["ts_ms", "event_id"], kind="stable")
-        out = []
-        for t, e in zip(rows["ts_ms"].tolist(), rows["event_id"].tolist()):
-            late = high > 0 and high - t > 30_000
-            if not late:
-                high = max(high, t)
-                times.append(t)
-            now = high if late else t
-            out.append((k[0], e, t, late, sum(now - ttl_ms <= x <= now for x in times)))
-        times = [x for x in times if x >= high - ttl_ms - 30_000]
-        state.update((times, high))
-        yield pd.DataFrame(out, columns=[key, "event_id", "ts_ms", "late", "n"])
-
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} string, event_id long, ts_ms long, late boolean, n long", "times array<long>, high long", "append", "NoTimeout")
-
-
 def suppress(events: DataFrame, key: str, window_ms: int) -> DataFrame:
     """key, event_id, ts_ms of events that are not silenced: the first, and the first window_ms after the last let through.
 
