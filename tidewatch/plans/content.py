@@ -191,7 +191,8 @@ def metaphone_ref(v):
 def aml_name(v):
     own = v.table("part").select("p_partkey", F.col("p_name").alias("nm"))
     q = own.select(F.col("p_partkey").alias("query_id"), F.expr("concat(substr(nm, 1, 3), substr(nm, 5))").alias("name"))
-    hits = n.check_names(q, own.select(F.col("p_partkey").alias("entry_id"), F.col("nm").alias("name")))
+    listed = own.select(F.col("p_partkey").alias("entry_id"), F.col("nm").alias("name"), F.array(F.expr("array_join(reverse(split(nm, ' ')), ' ')"), F.expr("concat(nm, ' ', p_partkey)")).alias("aliases"))
+    hits = n.check_names(q, listed)
     return hits.withColumn("severity", n.severity(F.col("score")))
 
 
