@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import materialize, share, table
 
 BITS = 21  # of a word id: three ids fit 64 bits
-ENTRIES = 800_000  # phrases that the tries of a task hold; beyond it whole subtrees spill
+ENTRIES = 300_000  # phrases that the tries of a task hold; beyond it whole subtrees spill
 BURST = 8192  # phrases of a container that is burst
-FEED = 1 << 18  # words counted at once
-WORDS = 1 << 19  # different words that a task numbers before it starts anew
+FEED = 1 << 16  # words counted at once, and phrases of a batch that goes back
+WORDS = 1 << 17  # different words that a task numbers before it starts anew
 FILTER = 27  # 2^FILTER bits say which pairs are frequent: 16 MB, whatever the input
-SALT = 64  # parts of a language's ranking
+PARTS = (64, 8)  # parts of a language's ranking, before the last
+ROWS = 1000  # texts of a batch that goes to Python
 _LOW = (1 << BITS) - 1
 # What parts pieces, and what parts words.
 _ENDS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -45,10 +46,12 @@ class HatTrie:
         keys, n = codes.tolist(), counts.tolist()
         edges, containers = [], []
         for edge, own, a, b in zip(self.edges, self.containers, cuts, cuts[1:]):
-            before, get = len(own), own.get
-            for k, c in zip(keys[a:b], n[a:b]):
-                own[k] = get(k, 0) + c
-            self.entries += len(own) - before
+            more = dict(zip(keys[a:b], n[a:b]))
+            for k in own.keys() & more.keys():
+                more[k] += own[k]
+            self.entries -= len(own)
+            own.update(more)
+            self.entries += len(own)
             for e, x in self._burst(edge, own):
                 edges.append(e)
                 containers.append(x)
@@ -57,14 +60,19 @@ class HatTrie:
     def _burst(self, edge: int, own: dict) -> list[tuple[int, dict]]:
         if len(own) <= self.burst:
             return [(edge, own)]
-        keys = np.sort(np.fromiter(own, np.int64, len(own)))
+        codes = np.sort(np.fromiter(own, np.int64, len(own)))
         for level in (2 * BITS, BITS):
-            heads = keys >> level
-            at = np.flatnonzero(heads[1:] != heads[:-1]) + 1  # where a branch begins
+            heads = codes >> level
+            at = np.flatnonzero(heads[1:] != heads[:-1]) + 1  # where branches begin
             if len(at):
-                cut = int(at[np.abs(at - len(keys) // 2).argmin()])
-                low, high = ({k: own[k] for k in part.tolist()} for part in (keys[:cut], keys[cut:]))
-                return self._burst(edge, low) + self._burst(int(heads[cut]) << level, high)
+                # the first branch behind each half of a full container, so that most parts are half full, and the last
+                half = max(1, self.burst // 2)
+                cuts = np.unique([*at[np.searchsorted(at, np.arange(half, at[-1] + 1, half))], at[-1]]).tolist()
+                keys, parts = codes.tolist(), []
+                values = list(map(own.__getitem__, keys))
+                for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+                    parts += self._burst(edge if a == 0 else int(heads[a]) << level, dict(zip(keys[a:b], values[a:b])))
+                return parts
         return [(edge, own)]
 
     def take(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,16 +91,15 @@ class HatTrie:
 
 
 class Names(dict):
-    """Ids of words, in the order of their first use, and their hashes; 0 is the mark for the end of a piece."""
+    """Ids of words, in the order of their first use; 0 is the mark for the end of a piece."""
 
     def __init__(self):
         super().__init__({_END: 0})
-        self.words, self.hashes = [b""], [0]
+        self.words = [b""]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = i = len(self.words)
         self.words.append(word)
-        self.hashes.append(xxhash.xxh64_intdigest(word, 42))
         return i
 
 
@@ -159,7 +166,7 @@ class Counter:
 
     def _passes(self, ids: np.ndarray) -> np.ndarray:
         used, at = np.unique(ids, return_inverse=True)
-        h = np.array([self.ids.hashes[i] for i in used.tolist()], np.uint64)[at]
+        h = np.array([xxhash.xxh64_intdigest(self.ids.words[i], 42) for i in used.tolist()], np.uint64)[at]
         one, two = ((self.frequent[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 for p in places(h[:-1], h[1:]))
         return (one & two).astype(bool)
 
@@ -202,7 +209,7 @@ def runs(docs: DataFrame, sizes: tuple, frequent: bytes | None = None, entries:
     """
     held = None if frequent is None else share(docs.sparkSession, frequent)
 
-    def count(batches):
+    def found(batches):
         own = Counter(sizes, None if held is None else np.frombuffer(held(), np.uint8), entries)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -210,6 +217,11 @@ def runs(docs: DataFrame, sizes: tuple, frequent: bytes | None = None, entries:
                     yield from own.read(lang, text.as_py())
         yield from own.spill(0)
 
+    def count(batches):
+        for run in found(batches):
+            for at in range(0, run.num_rows, FEED):
+                yield run.slice(at, FEED)
+
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(count, "key string, n long")
 
 
@@ -246,6 +258,17 @@ def pair_filter(pairs: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table, made with small batches, as texts may be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(ROWS))
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def frequencies(docs: DataFrame, least: int, longest: int = 3, entries: int = ENTRIES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, f) of phrases of up to `longest` words that come `least` times or more, (lang, n) of all words).
 
@@ -253,11 +276,11 @@ def frequencies(docs: DataFrame, least: int, longest: int = 3, entries: int = EN
     counts only those whose pairs pass a filter of the frequent ones. The filter may let others pass, which costs rows
     and is right still, as all that is counted is held against `least`.
     """
-    short = materialize(merged(runs(docs, (1, 2), None, entries), least), "phrases")
+    short = _stored(merged(runs(docs, (1, 2), None, entries), least), "phrases")
     frequent = short.where("k > 0")
     if longest > 2:
         bits = pair_filter(short.where("k = 2").select("phrase").distinct())
-        frequent = frequent.unionByName(materialize(merged(runs(docs, (3,), bits, entries), least), "triples"))
+        frequent = frequent.unionByName(_stored(merged(runs(docs, (3,), bits, entries), least), "triples"))
     return frequent, short.where("k = 0").select("lang", F.col("f").alias("n"))
 
 
@@ -274,7 +297,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, longest: int
     table gives no rows. Long texts are counted in slices. Other columns are ignored.
 
     A part of a candidate is as frequent as the candidate, so all counts that a score needs are of frequent phrases:
-    the table that is joined with itself is a small part of all phrases. A language's ranking is cut in SALT parts first.
+    the table that is joined with itself is a small part of all phrases. A language's ranking is cut in parts first.
     """
     if longest not in (2, 3):
         raise ValueError("phrases have two or three words at most")
@@ -290,9 +313,9 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, longest: int
     inner = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = best.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a")))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    kept = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(SALT)))
-    first = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    for parts in PARTS:  # no task ranks more than `top` phrases of each part before it
+        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))).orderBy(*order))).where(F.col("rank") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
