@@ -491,6 +491,44 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert got == brute_components(rows)
 
 
+def test_pipeline_stages_on_awkward_rows(spark, small):
+    """Nulls, repeats, very long and empty texts and an empty table go through each stage with the columns they came with."""
+    import corpus_pipeline
+
+    rows = [(None, None, None, None, None), (1, None, "en", "web", None), (2, "", "en", None, 0), (2, "", "en", None, 0), (3, "plain words " * 20_000, None, "web", 240_000), (None, "no id at all here", "de", "x", 17)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clean = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clean.unionByName(docs) if name == "toxicity" else docs, small)
+        own = [r for r in out.collect() if r["doc_id"] is None or name != "toxicity" or r["doc_id"] <= 3]
+        assert sum(r["doc_id"] is None for r in own) == 2
+        if name == "packing":
+            assert sum(r["length"] for r in own if r["doc_id"] == 2) == 2 and max(r["length"] for r in own) == 1024
+        else:
+            assert out.columns == docs.columns and len(own) >= (5 if name == "near_dedup" else 6)
+        assert stage(spark, docs.limit(0), small).count() == 0
+
+
+def test_ip_scan_is_linear_and_the_same():
+    import time
+
+    plain, r = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), random.Random(11)
+    for _ in range(3000):
+        text = "".join(r.choice("0123456789..... a") for _ in range(r.randrange(40)))
+        assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in plain.finditer(text)]
+    began = time.time()
+    assert pii.base("7" * 1_000_000) == [] and time.time() - began < 5
+
+
+def test_minhash_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(words(30, seed)) for seed in (71, 72, 73))
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, None), (9, c), (2, ""), (2, " "), (11, c + " x")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.components(frame(spark, rows)).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (7, 3, False), (9, 9, True), (11, 9, False), (2, 2, True)}
+    assert minhash.components(frame(spark, rows)).count() == len(rows)
+
+
+
 def test_near_duplicates_on_awkward_rows(spark):
     got = [tuple(r) for r in minhash.components(awkward(spark)).orderBy("doc_id").collect()]
     assert len(got) == 8 and (1, 0, 1, True) in got and got.count((4, 1, 4, True)) == 2 and (None, 1, None, True) in got

@@ -120,8 +120,8 @@ def components(docs: DataFrame) -> DataFrame:
 
     Null and empty texts, and texts of white space, have no shingles and are components of their own. Copies share a set
     and are one class from the start, so they are never paired. Rows that repeat a doc_id each get a row with the same
-    component (they are one document). A row without doc_id is linked with nothing and kept; its component_id is null. Other
-    columns of docs are ignored.
+    component: they are one document, whatever their texts, and an empty one has the component of the others. A row
+    without doc_id is linked with nothing and kept; its component_id is null. Other columns of docs are ignored.
 
     1. Sketch every document and gather equal sets in classes. 2. Count in how many classes each retained value is, and
     keep the classes with enough values that others have too. A pair must share many, so the most frequent of these
@@ -143,9 +143,15 @@ def components(docs: DataFrame) -> DataFrame:
     heads = prefix.groupBy("value").agg(F.min("rep").alias("head"))
     coarse = connected_components(prefix.join(heads, "value").where("rep <> head").select(F.col("rep").alias("src"), F.col("head").alias("dst")).distinct())
     found = _links(docs, prefix.select("rep", "digest", "n_shingles").distinct().join(coarse, F.col("rep") == F.col("id")).select("rep", "digest", "n_shingles", "component"))
-    final = connected_components(found).withColumnRenamed("component", "low")
     members = sketches.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
-    out = members.join(final, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("low", "rep", "doc_id").alias("component_id"))
+    # a doc_id that comes with several texts is one document: its classes are linked through it
+    again = materialize(sketches.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    repeated = materialize(members.join(again, "doc_id").select("doc_id", "rep"), "repeated")
+    heads = materialize(repeated.groupBy("doc_id").agg(F.min("rep").alias("head")), "heads")
+    same = repeated.join(heads, "doc_id").where("rep <> head").select(F.col("rep").alias("src"), F.col("head").alias("dst")).distinct()
+    final = connected_components(found.unionByName(same)).withColumnRenamed("component", "low")
+    own = members.join(heads, "doc_id", "left").withColumn("rep", F.coalesce("rep", "head"))
+    out = own.join(final, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("low", "rep", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     nameless = every.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(nameless)
