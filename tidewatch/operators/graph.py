@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -193,24 +193,58 @@ def k_hop(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     return seen
 
 
-def paths(edges: DataFrame, seeds: DataFrame, depth: int = 4) -> DataFrame:
-    """Simple directed paths of 1..depth edges from seeds, as arrays of nodes."""
-    hop = edges.select("src", "dst").where("src <> dst").distinct()
-    path = seeds.select(F.array("id").alias("path"))
-    out = []
-    for _ in range(depth):
-        path = path.join(hop, F.expr("element_at(path, -1) = src and not array_contains(path, dst)")).select(F.array_append("path", F.col("dst")).alias("path"))
-        out.append(path)
-    return reduce(DataFrame.unionByName, out)
+def _passed_by_all(walks: DataFrame, total: DataFrame) -> DataFrame:
+    """seed, id, via: the nodes that all walks to id pass; walks: a row for each walk and node on it, total: their number n."""
+    return walks.groupBy("seed", "id", "via").agg(F.count("*").alias("c")).join(total, ["seed", "id"]).where("c = n").select("seed", "id", "via")
+
+
+def flow_links(edges: DataFrame, seeds: DataFrame, depth: int = 4) -> DataFrame:
+    """seed, src, dst, hop: the links on simple directed paths of at most `depth` edges from each seed.
+
+    hop: how many edges from the seed the link is, at least. A link x -> y is on such a path if x is reached in fewer than
+    `depth` edges by a walk that does not pass y. So no path is listed: layer by layer, each reached node keeps the nodes
+    that all walks to it pass (as many as the layer's number at most, with itself), and an edge is looked at once a layer.
+    Loops do not count; a seed that sends nothing has no links.
+    """
+    out = Rounds(edges.sparkSession)
+    hop = out.write(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct(), "hops")
+    start = seeds.where("id is not null").select(F.col("id").alias("seed"), "id").distinct()
+    layer = out.write(start.withColumn("via", F.col("id")), "layer0")
+    layers = [layer]
+    for d in range(1, depth):
+        step = layer.join(hop, F.col("id") == F.col("src")).select("seed", "src", F.col("dst").alias("id"), "via")
+        came = step.select("seed", "src", "id").distinct()
+        passed = _passed_by_all(step, came.groupBy("seed", "id").agg(F.count("*").alias("n")))
+        own = came.select("seed", "id").distinct().withColumn("via", F.col("id"))
+        layer = out.write(passed.unionByName(own).distinct(), f"layer{d}")
+        layers.append(layer)
+    every = reduce(DataFrame.unionByName, [x.withColumn("hop", F.lit(d + 1)) for d, x in enumerate(layers)])
+    reached = every.select("seed", "id", "hop").distinct().groupBy("seed", "id").agg(F.count("*").alias("n"), F.min("hop").alias("hop"))
+    barred = _passed_by_all(every.select("seed", "id", "via"), reached.select("seed", "id", "n"))
+    links = reached.join(hop, F.col("id") == F.col("src")).select("seed", "src", "dst", "hop")
+    return links.join(barred.select("seed", F.col("id").alias("src"), F.col("via").alias("dst")), ["seed", "src", "dst"], "left_anti")
 
 
 def fund_flow(edges: DataFrame, seeds: DataFrame, depth: int = 4) -> DataFrame:
     """Totals of the distinct links on paths from the seeds: src, dst, amount_minor, n."""
-    own = paths(edges, seeds, depth).select(F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("x"), F.slice("path", F.lit(2), F.size("path") - 1).alias("y"))).alias("l"))
-    links = own.select(F.col("l.x").alias("src"), F.col("l.y").alias("dst")).distinct()
+    links = flow_links(edges, seeds, depth).select("src", "dst").distinct()
     return edges.join(links, ["src", "dst"]).groupBy("src", "dst").agg(F.sum("amount_minor").alias("amount_minor"), F.count("*").alias("n"))
 
 
+def largest_flows(edges: DataFrame, seeds: DataFrame, depth: int = 4, most: int = 200) -> DataFrame:
+    """seed, rank, src, dst, kind, amount_minor, n, hop: each seed's `most` links nearest to it, then largest, then by name.
+
+    edges have kind, of which a link has the smallest. The links of a seed are cut in parts before they are ranked.
+    """
+    links = flow_links(edges, seeds, depth)
+    totals = edges.groupBy("src", "dst").agg(F.min("kind").alias("kind"), F.sum("amount_minor").alias("amount_minor"), F.count("*").alias("n"))
+    own = links.join(totals, ["src", "dst"])
+    for key in ([F.col("seed"), F.pmod(F.xxhash64("src", "dst"), F.lit(64))], [F.col("seed")]):
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("hop", F.desc("amount_minor"), "src", "dst"))
+        own = own.withColumn("rank", place).where(F.col("rank") <= most)
+    return own.select("seed", "rank", "src", "dst", "kind", "amount_minor", "n", "hop")
+
+
 def identifier_hash(kind: Column, value: Column, salt: str = "salt") -> Column:
     """Salted digest by which operators compare identifiers; devices keep 16 hex digits."""
     full = F.sha2(F.concat_ws("|", F.lit(salt), kind, value), 256)

@@ -4,17 +4,28 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MINUTE, HOUR, DAY = 60_000, 3_600_000, 86_400_000
 
 
-def first_match(left: DataFrame, right: DataFrame, on: Column, keys: list[str], order: list[str], take: list[str]) -> DataFrame:
-    """left with `take` of its earliest match in right: a grouped minimum, so no sort of all pairs."""
-    rest = [c for c in left.columns if c not in keys]
-    joined = left.join(right, on)
-    return joined.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest], F.min_by(F.struct(*take), F.struct(*order)).alias("m")).select(*keys, *rest, "m.*")
+def first_match(left: DataFrame, right: DataFrame, keys: dict[str, str], at: str, time: str, within: int, tie: str, take: list[str], strict: bool = True) -> DataFrame:
+    """left with `take` of its earliest match in right: equal keys (left column -> right column), `time` behind `at`.
+
+    time is in (at, at + within], or, if not strict, in [at, at + within]; of equal times the smallest `tie` counts. Both
+    sides are one stream of a key, read from its end: each left row takes the right row read last, so no pairs are made
+    and a busy key costs its rows once, sorted with spill. Rows with a null key or time match nothing.
+    """
+    own = [f"_k{i}" for i in range(len(keys))]
+    here, there = (F.struct(*left.columns), F.struct(*dict.fromkeys([time, tie, *take])))
+    null = lambda df, col: F.lit(None).cast(df.select(col).schema[0].dataType)
+    a = left.select(*[F.col(c).alias(k) for c, k in zip(keys, own)], F.col(at).alias("_t"), F.lit(0 if strict else 1).alias("_side"), null(right, F.col(tie)).alias("_tie"), here.alias("_l"), null(right, there).alias("_r"))
+    b = right.select(*[F.col(c).alias(k) for c, k in zip(keys.values(), own)], F.col(time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.col(tie).alias("_tie"), null(left, here).alias("_l"), there.alias("_r"))
+    both = a.unionByName(b).dropna(subset=[*own, "_t"])
+    read = Window.partitionBy(*own).orderBy(F.desc("_t"), "_side", F.desc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_m", F.last("_r", ignorenulls=True).over(read)).where(F.col("_l").isNotNull() & (F.col(f"_m.{time}") <= F.col("_t") + within))
+    return out.select("_l.*", *[f"_m.{c}" for c in take])
 
 
 def voice_sms_momo(calls: DataFrame, sms: DataFrame, owns: DataFrame, sent: DataFrame, sms_within: int = HOUR, send_within: int = DAY) -> DataFrame:
@@ -24,24 +35,27 @@ def voice_sms_momo(calls: DataFrame, sms: DataFrame, owns: DataFrame, sent: Data
     """
     c = calls.select(F.col("event_id").alias("call_id"), "caller", "callee", F.col("ts_ms").alias("call_ms"))
     s = sms.select("sender", "recipient", F.col("ts_ms").alias("sms_ms"), F.col("event_id").alias("sms_id"))
-    near = F.expr(f"caller = sender and callee = recipient and sms_ms > call_ms and sms_ms <= call_ms + {sms_within}")
-    texted = first_match(c, s, near, ["call_id"], ["sms_ms", "sms_id"], ["sms_ms", "sms_id"])
+    texted = first_match(c, s, {"caller": "sender", "callee": "recipient"}, "call_ms", "sms_ms", sms_within, "sms_id", ["sms_ms"])
     owned = texted.join(owns, F.col("callee") == F.col("number")).drop("number")
     p = sent.select(F.col("src").alias("payer"), F.col("ts_ms").alias("send_ms"), F.col("edge_id").alias("send_id"), F.col("dst").alias("payee"))
-    paid = first_match(owned, p, F.expr(f"wallet = payer and send_ms > sms_ms and send_ms <= sms_ms + {send_within}"), ["call_id", "wallet"], ["send_ms", "send_id"], ["send_ms", "payee"])
+    paid = first_match(owned, p, {"wallet": "payer"}, "sms_ms", "send_ms", send_within, "send_id", ["send_ms", "payee"])
     return paid.select("call_id", "caller", "callee", "wallet", "payee", F.expr("(sms_ms - call_ms) div 1000").alias("sms_lag_s"), F.expr("(send_ms - sms_ms) div 1000").alias("send_lag_s"), F.lit(0.9).alias("confidence"))
 
 
 def voice_then_momo(calls: DataFrame, owns: DataFrame, sent: DataFrame, within: int = 30 * MINUTE) -> DataFrame:
-    """call, then the earliest send in [0, within] from a wallet of the caller to one of the callee."""
+    """call, then the earliest send in [0, within] from a wallet of the caller to one of the callee.
+
+    One row for each (call, wallet of the caller), with the wallet of the callee that is sent to first.
+    """
     c = calls.select(F.col("event_id").alias("call_id"), "caller", "callee", F.col("ts_ms").alias("call_ms"))
     mine = owns.select(F.col("number").alias("caller"), F.col("wallet").alias("caller_wallet"))
     theirs = owns.select(F.col("number").alias("callee"), F.col("wallet").alias("callee_wallet"))
     both = c.join(mine, "caller").join(theirs, "callee")
     p = sent.select("src", "dst", F.col("ts_ms").alias("send_ms"), F.col("edge_id").alias("send_id"))
-    near = F.expr(f"caller_wallet = src and callee_wallet = dst and send_ms >= call_ms and send_ms <= call_ms + {within}")
-    paid = first_match(both, p, near, ["call_id", "caller_wallet"], ["send_ms", "send_id"], ["send_ms", "dst"])
-    return paid.select("call_id", "caller", "callee", "caller_wallet", F.col("dst").alias("callee_wallet"), F.expr("(send_ms - call_ms) div 1000").alias("lag_s"), F.lit(0.92).alias("confidence"))
+    paid = first_match(both, p, {"caller_wallet": "src", "callee_wallet": "dst"}, "call_ms", "send_ms", within, "send_id", ["send_ms", "send_id"], strict=False)
+    rest = ["caller", "callee", "callee_wallet", "call_ms", "send_ms"]
+    paid = paid.groupBy("call_id", "caller_wallet").agg(F.min_by(F.struct(*rest), F.struct("send_ms", "send_id")).alias("x")).select("call_id", "caller_wallet", "x.*")
+    return paid.select("call_id", "caller", "callee", "caller_wallet", "callee_wallet", F.expr("(send_ms - call_ms) div 1000").alias("lag_s"), F.lit(0.92).alias("confidence"))
 
 
 def sms_url(sms: DataFrame, data: DataFrame, flagged: DataFrame, within: int = HOUR) -> DataFrame:
@@ -49,8 +63,7 @@ def sms_url(sms: DataFrame, data: DataFrame, flagged: DataFrame, within: int = H
     q = data.where("kind = 'dns_query' and msisdn is not null").join(flagged.select("domain").distinct(), "domain", "left_semi")
     q = q.select("msisdn", "domain", F.col("ts_ms").alias("query_ms"), F.col("event_id").alias("query_id"))
     s = sms.select(F.col("event_id").alias("sms_id"), "sender", "recipient", F.col("ts_ms").alias("sms_ms"))
-    near = F.expr(f"recipient = msisdn and query_ms > sms_ms and query_ms <= sms_ms + {within}")
-    hit = first_match(s, q, near, ["sms_id"], ["query_ms", "query_id"], ["query_ms", "domain"])
+    hit = first_match(s, q, {"recipient": "msisdn"}, "sms_ms", "query_ms", within, "query_id", ["query_ms", "domain"])
     return hit.select("sms_id", "sender", "recipient", "domain", F.expr("(query_ms - sms_ms) div 1000").alias("lag_s"), F.lit(0.94).alias("confidence"))
 
 

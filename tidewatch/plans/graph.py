@@ -255,18 +255,38 @@ def rings(v):
 
 
 @query("khop", f"""with recursive u as (select distinct least(src, dst) a, greatest(src, dst) b from sent where src <> dst), bi as (select a, b from u union all select b, a from u),
-    h(id, hops) as (select 'W19', 0 union select bi.b, hops + 1 from h join bi on bi.a = h.id where hops < 3)
+    h(id, hops) as (select id, 0 from (values ('W19'), ('W5'), ('none')) t(id) union select bi.b, hops + 1 from h join bi on bi.a = h.id where hops < 3)
     select id, min(hops)::int hops from h group by 1""")
 def khop(v):
-    return g.k_hop(v.sent, v.spark.createDataFrame([("W19",)], "id string"))
+    return g.k_hop(v.sent, v.spark.createDataFrame([(s,) for s in SEEDS], "id string"))
 
 
-@query("fund_flow", f"""with recursive e as (select src, dst, ts_ms, amount_minor from sent), hop as (select distinct src, dst from e where src <> dst),
-    p(path) as (select ['W19'] union all select list_append(path, dst) from p join hop on src = path[-1] and not list_contains(path, dst) where len(path) < 5),
-    l as (select distinct path[i] src, path[i + 1] dst from (select path, unnest(range(1, len(path))) i from p))
-    select src, dst, sum(amount_minor)::bigint amount_minor, count(*) n from e join l using (src, dst) group by 1, 2""")
+# Two wallets that send and one that is not there.
+SEEDS = ("W19", "W5", "none")
+FLOWS = f"""e as (select src, dst, 'SENT' kind, amount_minor from sent union all select sender_wallet, account_hash, 'CASHED_OUT_TO', amount_minor from momo where account_hash is not null and kind <> 'reversal'),
+    hop as (select distinct src, dst from e where src <> dst),
+    p(seed, path) as (select s, [s] from (values {", ".join(f"('{s}')" for s in SEEDS)}) t(s) union all select seed, list_append(path, dst) from p join hop on src = path[-1] and not list_contains(path, dst) where len(path) < 5),
+    l as (select distinct seed, path[i] src, path[i + 1] dst from (select seed, path, unnest(range(1, len(path))) i from p))"""
+
+
+def flows(v):
+    """Wallet to wallet and wallet to account, with the seeds of the queries."""
+    out = v.momo.where("account_hash is not null and kind <> 'reversal'").select(F.col("sender_wallet").alias("src"), F.col("account_hash").alias("dst"), F.lit("CASHED_OUT_TO").alias("kind"), "amount_minor")
+    both = v.sent.select("src", "dst", F.lit("SENT").alias("kind"), "amount_minor").unionByName(out)
+    return both, v.spark.createDataFrame([(s,) for s in SEEDS], "id string")
+
+
+@query("fund_flow", f"""with recursive {FLOWS}
+    select src, dst, sum(amount_minor)::bigint amount_minor, count(*) n from e join (select distinct src, dst from l) using (src, dst) group by 1, 2""")
 def fund_flow(v):
-    return g.fund_flow(v.sent, v.spark.createDataFrame([("W19",)], "id string"))
+    return g.fund_flow(*flows(v))
+
+
+@query("fund_flow_top", f"""with recursive {FLOWS}, d as (select seed, path[i] src, min(i) hop from (select seed, path, unnest(range(1, len(path) + 1)) i from p) group by 1, 2),
+    t as (select seed, src, dst, min(kind) kind, sum(amount_minor)::bigint amount_minor, count(*) n from e join l using (src, dst) group by 1, 2, 3)
+    select seed, rank::int rank, src, dst, kind, amount_minor, n, hop::int hop from (select *, row_number() over (partition by seed order by hop, amount_minor desc, src, dst) as rank from t join d using (seed, src)) where rank <= 200""")
+def fund_flow_top(v):
+    return g.largest_flows(*flows(v))
 
 
 HASH = "sha256('salt|' || {kind} || '|' || {value})"
