@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Vendor kinds and what they are called here.
-VOICE_KINDS = {"CALL_START": "call_start", "CALL_SETUP": "call_start", "CALL_END": "call_end", "CALL_RELEASE": "call_end", "REGISTRATION": "registration", "HANDOVER": "handover"}
+VOICE_KINDS = {"CALL_START": "call_start", "CALL_END": "call_end", "REGISTRATION": "registration", "REGISTER": "registration", "HANDOVER": "handover", "HANDOFF": "handover"}
 MOMO_KINDS = {
     "P2P": "p2p_transfer", "P2P_TRANSFER": "p2p_transfer", "DEPOSIT": "cash_in", "CASH_IN": "cash_in", "WITHDRAWAL": "cash_out", "CASH_OUT": "cash_out",
     "BILL": "bill_payment", "MERCHANT": "merchant_payment", "BANK_TRANSFER": "bank_transfer", "INTL_REMIT": "international_remittance", "REVERSAL": "reversal",
@@ -50,7 +50,9 @@ def msisdn(value: Column) -> Column:
 
 def voice(raw: DataFrame) -> DataFrame:
     """raw: vendor_id, event_type, caller, callee, ts_ms, imei."""
-    return raw.select(event_id("voice", F.col("vendor_id"), F.col("event_type"), F.col("caller"), F.col("callee"), F.col("ts_ms")).alias("event_id"), kind(F.col("event_type"), VOICE_KINDS).alias("kind"), "caller", "callee", "ts_ms", "imei", F.col("caller").alias("partition_key"))
+    given = F.when(F.coalesce("vendor_id", F.lit("")) != "", F.concat(F.lit("voice_"), F.substring("vendor_id", 1, 32)))
+    derived = event_id("voice", F.lit(None).cast("string"), F.col("caller"), F.col("callee"), F.col("event_type"), F.col("ts_ms"))
+    return raw.select(F.coalesce(given, derived).alias("event_id"), kind(F.col("event_type"), VOICE_KINDS).alias("kind"), "caller", "callee", "ts_ms", "imei", F.col("caller").alias("partition_key"))
 
 
 def momo(raw: DataFrame) -> DataFrame:
