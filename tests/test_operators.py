@@ -1,5 +1,6 @@
 """Hand cases with exact expectations."""
 
+import hashlib
 import random
 
 import pytest
@@ -165,9 +166,9 @@ def test_components_and_communities(spark):
 
 
 def test_ingest(spark):
-    raw = spark.createDataFrame([(None, "call_setup", "A", None, 5, None), ("v1", "other", "A", "B", 6, None)], "vendor_id string, event_type string, caller string, callee string, ts_ms long, imei string")
+    raw = spark.createDataFrame([(None, "handoff", "A", None, 5, None), ("v1", "other", "A", "B", 6, None)], "vendor_id string, event_type string, caller string, callee string, ts_ms long, imei string")
     a, b = ingest.voice(raw).orderBy("ts_ms").collect()
-    assert a["kind"] == "call_start" and a["event_id"].startswith("voice_") and b["event_id"] == "v1" and b["kind"] is None
+    assert a["kind"] == "handover" and a["event_id"] == "voice_" + hashlib.sha256(b"A||handoff|5").hexdigest()[:24] and b["event_id"] == "voice_v1" and b["kind"] is None
     good, dead = ingest.split_valid(ingest.voice(raw), F.col("kind").isNotNull())
     assert (good.count(), dead.count()) == (1, 1) and ingest.dead_letter_topic("sms.events.v1") == "sms.events.dlq.v1"
 
@@ -208,3 +209,21 @@ def test_domains_are_valid_and_allowed_with_what_is_below(spark):
     free = spark.createDataFrame([(" A.com. ",), (None,)], "domain string")
     assert {r["domain"] for r in content.not_allowed(own, "domain", free).collect()} == {"xa.com", "com", "b.c1", "ü.de", "", None}
     assert content.not_allowed(own, "domain", free.where("false")).count() == 8
+
+
+def test_redaction_reaches_into_objects(spark):
+    deep = '{"a":{"b":{"c":{"d":{"Token":"abc","x":[{"pin":1}],"msisdn":null}}}},"wallet_id":{"n":1},"extra":"q","n":5}'
+    rows = [(1, deep), (2, "[1]"), (3, "7"), (4, None), (5, "{}")]
+    df = spark.createDataFrame(rows, "i int, j string").select("i", F.parse_json("j").alias("v"))
+    got = {r["i"]: r["o"] for r in df.select("i", F.to_json(content.redact_nested(F.col("v"), ("EXTRA",))).alias("o")).collect()}
+    assert got[1] == '{"a":{"b":{"c":{"d":{"Token":"<redacted:3>","msisdn":"<none>","x":[{"pin":1}]}}}},"extra":"<redacted:1>","n":5,"wallet_id":"<redacted:7>"}'
+    assert (got[2], got[3], got[4], got[5]) == ("[1]", "7", None, "{}")
+    cut = df.where("i = 1").select(F.to_json(content.redact_nested(F.col("v"), depth=2)).alias("o")).first()["o"]
+    assert '"b":"<redacted:' in cut and "Token" not in cut
+
+
+def test_patterns_keep_their_greatest_score(spark):
+    h = 3_600_000
+    rows = [("A", "p", 0, 1, 0.8), ("A", "q", h, 2, 0.5), ("A", "p", 2 * h, 3, 0.1), ("B", "p", 0, 4, 0.9), ("B", "q", 20 * h, 5, 0.2), ("B", None, 20 * h, 6, 0.9)]
+    got = {(r["agent"], r["pattern"]): (r["score"], r["n"]) for r in agents.pattern_profile(spark.createDataFrame(rows, "agent string, pattern string, ts_ms long, event_id long, score double")).collect()}
+    assert got == {("A", "p"): (0.648, 2), ("A", "q"): (0.45, 1), ("B", "p"): (0.0, 1), ("B", "q"): (0.2, 1)}

@@ -78,3 +78,21 @@ def profile(detections: DataFrame, decay: float = 0.1) -> DataFrame:
     last = runs.groupBy("agent", "run").agg(F.max("n").alias("n"), F.max_by("kept", "n").alias("end"), best.alias("best"))
     own = last.groupBy("agent").agg(F.max_by(F.struct("end", "best"), "run").alias("x"), F.max("n").alias("detections"))
     return own.select("agent", F.round(F.coalesce(F.exp(F.col("x.best") + F.col("x.end")), F.lit(0.0)), 6).alias("risk"), F.col("detections").cast("long").alias("detections"))
+
+
+def pattern_profile(detections: DataFrame, decay: float = 0.1) -> DataFrame:
+    """agent, pattern, score, n: the greatest score of each pattern as it has decayed by its agent's last detection.
+
+    detections: agent, pattern, ts_ms, event_id, score. All scores of an agent decay by each of its detections, as in
+    profile; a pattern has the greatest of what is left of its own. n counts its detections; without pattern: left out.
+    """
+    w = Window.partitionBy("agent").orderBy("ts_ms", "event_id", "score")
+    factor = F.greatest(F.lit(0.0), 1 - F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(w)) / 3_600_000, F.lit(0.0)) * decay)
+    steps = detections.select("agent", "pattern", "score", F.row_number().over(w).alias("n"), factor.alias("factor"))
+    by = Window.partitionBy("agent").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    kept = F.coalesce(F.sum(F.when(F.col("factor") > 0, F.ln("factor"))).over(by), F.lit(0.0))
+    runs = steps.select("agent", "pattern", "n", "score", F.count_if(F.col("factor") == 0).over(by).alias("run"), kept.alias("kept"))
+    end = runs.groupBy("agent").agg(F.max_by(F.struct("run", "kept"), "n").alias("end"))
+    alive = F.when((F.col("run") == F.col("end.run")) & (F.col("score") > 0), F.ln("score") - F.col("kept") + F.col("end.kept"))
+    out = runs.where("pattern is not null").join(end, "agent").groupBy("agent", "pattern").agg(F.max(alive).alias("best"), F.count("*").alias("n"))
+    return out.select("agent", "pattern", F.round(F.coalesce(F.exp("best"), F.lit(0.0)), 6).alias("score"), "n")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 SCAM_WORDS = ["lottery", "prize", "winner", "claim", "urgent", "deactivated", "verify", "click", "suspended", "unauthorized", "kindly", "momo", "ghs", "won", "congratulations"]
@@ -20,6 +24,47 @@ def collapse(body: Column) -> Column:
     return F.trim(F.regexp_replace(body, r"\s+", " "))
 
 
+def ascii_only(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+@F.pandas_udf(T.StringType())
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+@F.pandas_udf(T.StringType())
+def _a_labels(domain: pd.Series) -> pd.Series:
+    """A-labels of domains; null where a label cannot be one. Each different label of a batch is encoded once."""
+    known: dict = {}
+
+    def encoded(label: str):
+        if label not in known:
+            try:
+                known[label] = label if label.isascii() else label.encode("idna").decode()
+            except UnicodeError:
+                known[label] = None
+        return known[label]
+
+    def whole(name):
+        labels = [encoded(x) for x in name.split(".")]
+        return None if None in labels else ".".join(labels)
+
+    return domain.map(lambda d: None if d is None else whole(d))
+
+
+def nfc(text: Column) -> Column:
+    """Unicode normal form C. Texts of ASCII only are in it and stay in the JVM: the function gets null for them."""
+    return F.when(ascii_only(text), text).otherwise(_nfc(F.when(~ascii_only(text), text)))
+
+
+def canonical_ascii(domain: Column) -> Column:
+    """As canonical, with labels beyond ASCII as A-labels (nameprep and Punycode); null where one cannot be."""
+    d = canonical(domain)
+    own = F.when(ascii_only(d), d).otherwise(_a_labels(F.when(~ascii_only(d), d)))
+    return F.when(~own.rlike(r"(^|\.)(\.|$)"), own)
+
+
 def body_hash(body: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(collapse(body), 256))
 
@@ -34,7 +79,9 @@ def template(body: Column) -> Column:
 
 def urls(body: Column) -> Column:
     """Distinct URLs, sorted, without punctuation behind them, scheme and host in small letters."""
-    found = F.regexp_extract_all(collapse(body), F.lit(f"({URL})"), F.lit(1))
+    # a URL has no white space, so it stands in the text as it is; most texts have none and are not searched
+    none = F.array().cast("array<string>")
+    found = F.when(F.contains(body, F.lit("://")), F.regexp_extract_all(body, F.lit(f"({URL})"), F.lit(1))).when(body.isNotNull(), none)
     clean = F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?)\]}\"']+$", ""))
     lowered = F.transform(clean, lambda u: F.concat(F.lower(F.regexp_extract(u, r"^([^/]*//[^/?#]*)", 1)), F.regexp_replace(u, r"^[^/]*//[^/?#]*", "")))
     return F.array_sort(F.array_distinct(lowered))
@@ -113,7 +160,9 @@ def cascade(df: DataFrame) -> DataFrame:
 
     In order: known body, known template, no body, reputation of a URL, lookalike, shortener, three scam words, URL only.
     """
-    hits = F.size(F.filter(F.array(*[F.lit(w) for w in SCAM_WORDS]), lambda w: F.contains(F.lower("body"), w)))
+    words = F.array(*[F.lit(w) for w in SCAM_WORDS])
+    # the text is an argument here, so it is put in small letters once and not for each word
+    hits = F.get(F.transform(F.array(F.lower("body")), lambda b: F.size(F.filter(words, lambda w: F.contains(b, w)))), F.lit(0))
     none, fake, short = F.coalesce(F.col("body"), F.lit("")) == "", F.col("target").isNotNull(), F.coalesce(F.col("short"), F.lit(False))
     rated, three, url = F.col("reputation").isNotNull(), hits >= 3, F.col("url").isNotNull()
     def pick(body, temp, empty, rep, both, look, shortened, words, link, rest):
@@ -140,6 +189,31 @@ def redact(value: Column) -> Column:
     return F.when(value.isNull(), "<none>").when(n == 0, "<empty>").when(phone, F.concat(F.substring(value, 1, 4), F.lit("****"), F.substring(value, -2, 2))).when(value.rlike(r"^[0-9]{10,}$"), F.concat(F.substring(value, 1, 2), F.lit("****"), F.substring(value, -2, 2))).otherwise(F.concat(F.lit("<redacted:"), n, F.lit(">")))
 
 
+# Fields whose values are never shown.
+PRIVATE = [
+    "account", "account_hash", "account_number", "callee", "caller", "card", "card_number", "imei", "imsi", "msisdn", "national_id", "password", "phone", "phone_number", "pin", "recipient",
+    "recipient_wallet_id", "secret", "sender", "sender_wallet_id", "ssn", "token", "wallet_id",
+]
+
+
+def redact_nested(value: Column, more: tuple[str, ...] = (), depth: int = 8) -> Column:
+    """A VARIANT in which the values of private fields are redacted, in objects within objects, whatever the case of names.
+
+    Arrays and values of other fields stay. What lies deeper than `depth` objects is redacted as a whole, so nothing is
+    shown that was not looked at. Null stays null; a value that is no object stays.
+    """
+    names = [*PRIVATE, *(m.lower() for m in more)]
+
+    def level(x: Column, left: int) -> Column:
+        def field(k: Column, v: Column) -> Column:
+            return F.when(F.lower(k).isin(names), redact(v.cast("string")).cast("variant")).otherwise(level(v, left - 1))
+
+        whole = redact(x.cast("string")).cast("variant") if left == 0 else F.to_variant_object(F.transform_values(x.cast("map<string,variant>"), field))
+        return F.when(F.schema_of_variant(x).startswith("OBJECT"), whole).otherwise(x)
+
+    return level(value, depth)
+
+
 def scrub(text: Column) -> Column:
     """Free text without phones, device ids and tokens."""
     out = text

@@ -140,10 +140,10 @@ def wallet_features(momo: DataFrame, scale: int = 1, only: list[str] | tuple = W
     return slide(own, "wallet_id", slides).select("wallet_id", "ts_ms", "event_id", *[n for n in WALLET if n in only])
 
 
-def final_state(features: DataFrame, key: str) -> DataFrame:
-    """The features of each key at its last event (ties: the largest event_id)."""
+def final_state(features: DataFrame, key: str, order: tuple[str, ...] = ("ts_ms", "event_id")) -> DataFrame:
+    """The features of each key at its last event, by default the latest, of these the one with the largest event_id."""
     rest = [c for c in features.columns if c != key]
-    return features.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("ts_ms", "event_id")).alias("x")).select(key, "x.*")
+    return features.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(key, "x.*")
 
 
 def anomaly(volume: Column, baseline: Column) -> Column:

@@ -37,7 +37,7 @@ def score_features(rows: DataFrame, model: PipelineModel | None, names: list[str
 
 
 def fit_text(rows: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 14) -> PipelineModel:
-    """Words and word pairs, hashed, with dampened counts and inverse document frequencies, into a logistic regression."""
+    """Words and word pairs, hashed, their counts weighted by inverse document frequencies, into a logistic regression."""
     stages = [
         RegexTokenizer(inputCol=text, outputCol="w1", pattern=r"\W+"), NGram(n=2, inputCol="w1", outputCol="w2"), SQLTransformer(statement="select *, concat(w1, w2) as terms from __THIS__"),
         HashingTF(inputCol="terms", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="vector"), LogisticRegression(featuresCol="vector", labelCol=label, weightCol="weight", maxIter=20, regParam=0.01),

@@ -28,11 +28,21 @@ FOREIGN = "([^\\x00-\\x7F\\PL])"
 COLL = "trim(regexp_replace(body, '\\s+', ' ', 'g'))"
 
 
-@query("sms_template_hash", f"""with {MSG}, t as (select event_id, {COLL} b from msg)
+@query("sms_template_hash", f"""with {MSG}, t as (select event_id, {COLL.replace('body', 'nfc_normalize(body)')} b from msg)
     select event_id, 'sha256:' || sha256(b) body_hash, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(b), '{FOREIGN}', '_\\1_', 'g'),
         '{c.PHONE}', '<MSISDN>', 'g'), '{c.AMOUNT}', '<AMOUNT>', 'g'), '{c.NUMBER}', '<NUM>', 'g'), '_{FOREIGN}_', '\\1', 'g') as template from t""")
 def sms_template(v):
-    return messages(v).select("event_id", c.body_hash(F.col("body")).alias("body_hash"), c.template(F.col("body")).alias("template"))
+    own = messages(v).withColumn("body", c.nfc(F.col("body")))
+    return own.select("event_id", c.body_hash(F.col("body")).alias("body_hash"), c.template(F.col("body")).alias("template"))
+
+
+@query("domain_idna")
+def domain_idna(v):
+    """Hosts below labels that words of the texts are: most beyond ASCII, in four languages."""
+    word = v.table("documents").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\p{L}*[^\x00-\x7F\P{L}]\p{L}*)"), F.lit(1))).alias("label")).distinct()
+    hosts = v.table("pages").select(c.domain_of(F.col("url")).alias("host")).distinct().withColumn("n", F.pmod(F.xxhash64("host"), F.lit(997)))
+    named = word.withColumn("n", F.pmod(F.xxhash64("label"), F.lit(997))).join(hosts, "n", "left").select(F.concat_ws(".", "label", F.coalesce("host", F.lit("example.org"))).alias("domain"))
+    return named.withColumn("canonical", c.canonical_ascii(F.col("domain"))).withColumn("valid", c.valid_domain(F.col("canonical")))
 
 
 URL_SQL = c.URL.replace("'", "''")
@@ -281,6 +291,24 @@ def profiles(v) -> DataFrame:
     return a.profile(own, 0.002)
 
 
+@query("agent_patterns_kept", """with s as (select sender_wallet agent, 'p' || event_id % 3 pattern, ts_ms, event_id, (amount_minor % 100 / 100)::double score, row_number() over (partition by sender_wallet order by ts_ms, event_id) rn from momo where kind = 'cash_out'),
+    d as (select a.*, greatest(0, 1 - coalesce((a.ts_ms - b.ts_ms) / 3600000, 0) * 0.002)::double factor from s a left join s b on b.agent = a.agent and b.rn = a.rn - 1),
+    k as (select a.agent, a.pattern, a.rn, a.score * coalesce(case when min(b.factor) = 0 then 0 else exp(sum(ln(nullif(b.factor, 0)))) end, 1) left_over from d a left join d b on b.agent = a.agent and b.rn > a.rn group by a.agent, a.pattern, a.rn, a.score)
+    select agent, pattern, round(max(left_over), 6) score, count(*) n from k group by 1, 2""")
+def agent_patterns_kept(v):
+    own = v.momo.where("kind = 'cash_out'").select(F.col("sender_wallet").alias("agent"), F.concat(F.lit("p"), F.col("event_id") % 3).alias("pattern"), "ts_ms", "event_id", (F.col("amount_minor") % 100 / 100).alias("score"))
+    return a.pattern_profile(own, 0.002)
+
+
+@query("redact_nested", """with x as (select event_id, '+' || (233240000000 + user_id) p, lpad(event_id::varchar, 15, '7') i from ev)
+    select event_id, '{"caller":"' || left(p, 4) || '****' || right(p, 2) || '","meta":{"deep":{"IMEI":"' || left(i, 2) || '****' || right(i, 2) || '","kind":"' || event_type || '"},"list":["' || p || '"],"pin":"<redacted:' || length(event_id::varchar) || '>"},"note":"ok"}' doc from x join ev using (event_id)""")
+def redact_nested(v):
+    p, i = F.expr("concat('+', 233240000000 + user_id)"), F.expr("lpad(cast(event_id as string), 15, '7')")
+    deep = F.struct(i.alias("IMEI"), F.col("event_type").alias("kind"))
+    doc = F.struct(p.alias("caller"), F.struct(deep.alias("deep"), F.array(p).alias("list"), F.col("event_id").alias("pin")).alias("meta"), F.lit("ok").alias("note"))
+    return v.events.select("event_id", F.to_json(c.redact_nested(F.parse_json(F.to_json(doc)))).alias("doc"))
+
+
 @query("agent_profile", PROFILE.replace("{select}", "select agent, round(risk, 6) risk, rn detections from r qualify row_number() over (partition by agent order by rn desc) = 1"))
 def agent_profile(v):
     return profiles(v)
@@ -298,12 +326,12 @@ def agent_patterns(v):
     return own.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-VOICE_RAW = "(['Call_Start', 'call_setup', 'CALL_END', 'Call_Release', 'registration', 'Handover', 'unknown'])[event_id % 7 + 1]"
-KIND = "case upper({}) when 'CALL_START' then 'call_start' when 'CALL_SETUP' then 'call_start' when 'CALL_END' then 'call_end' when 'CALL_RELEASE' then 'call_end' when 'REGISTRATION' then 'registration' when 'HANDOVER' then 'handover' end"
+VOICE_RAW = "(['Call_Start', 'register', 'CALL_END', 'HandOff', 'registration', 'Handover', 'unknown'])[event_id % 7 + 1]"
+KIND = "case upper({}) when 'CALL_START' then 'call_start' when 'CALL_END' then 'call_end' when 'REGISTRATION' then 'registration' when 'REGISTER' then 'registration' when 'HANDOVER' then 'handover' when 'HANDOFF' then 'handover' end"
 
 
 @query("ingest_voice", f"""with r as (select case when event_id % 4 = 0 then 'vend-' || event_id end vendor_id, {VOICE_RAW} event_type, caller, callee, ts_ms, imei from voice)
-    select case when vendor_id is not null then left(vendor_id, 32) else 'voice_' || left(sha256(event_type || '|' || caller || '|' || callee || '|' || ts_ms), 24) end event_id, {KIND.format('event_type')} kind, caller, callee, ts_ms, imei, caller partition_key from r""")
+    select 'voice_' || case when vendor_id is not null then left(vendor_id, 32) else left(sha256(caller || '|' || callee || '|' || event_type || '|' || ts_ms), 24) end event_id, {KIND.format('event_type')} kind, caller, callee, ts_ms, imei, caller partition_key from r""")
 def ingest_voice(v):
     kinds = VOICE_RAW.replace("([", "element_at(array(").replace("])[event_id % 7 + 1]", "), cast(event_id % 7 + 1 as int))")
     return i.voice(v.voice.select(F.expr("if(event_id % 4 = 0, concat('vend-', event_id), null)").alias("vendor_id"), F.expr(kinds).alias("event_type"), "caller", "callee", "ts_ms", "imei"))

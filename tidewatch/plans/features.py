@@ -79,6 +79,14 @@ def final(v):
     return f.final_state(f.wallet_features(v.momo, LAB), "wallet_id")
 
 
+@query("feat_final_number", f"""with {NUMBERS} select msisdn, ts_ms, event_id, topic, count(*) filter (is_call) {over(H)} velocity_1h, count(distinct callee) {over(H, False)} fanout_1h, count(distinct imei) {over(30 * f.DAY)} imei_count,
+        count(*) filter (topic = 'sms') {over(H)} sms_freq_1h, count(domain) {over(H)} dns_query_rate_1h, sum(bytes) {over(H)}::bigint data_volume_1h_bytes
+    from nums qualify row_number() over (partition by msisdn order by ts_ms desc, event_id desc, topic desc) = 1""")
+def final_number(v):
+    own = numbers(v, "velocity_1h", "fanout_1h", "imei_count", "sms_freq_1h", "dns_query_rate_1h", "data_volume_1h_bytes")
+    return f.final_state(own, "msisdn", ("ts_ms", "event_id", "topic"))
+
+
 @query("nrd", """select event_id, domain, (ts_ms - min(ts_ms) over (partition by domain)) // 1000 age_s,
     (ts_ms - min(ts_ms) over (partition by domain)) // 1000 <= 7 * 86400 newly_seen from data where domain is not null""")
 def nrd(v):

@@ -65,13 +65,14 @@ def report_events(v):
     return r.report_events(own).select("id", "source", "confidence")
 
 
-@query("federation_lookup", f"""with q as (select distinct 'Q' || substr(sender_wallet, 2)::int // 300 request_id, {HASH.format(kind="'Wallet'", value='sender_wallet')} identifier_hash from momo),
+# A request for every wallet is among them: it is refused where there are more than 500.
+@query("federation_lookup", f"""with q as (select distinct unnest(['Q' || substr(sender_wallet, 2)::int // 300, 'all']) request_id, {HASH.format(kind="'Wallet'", value='sender_wallet')} identifier_hash from momo),
     f as (select distinct {HASH.format(kind="'Wallet'", value='sender_wallet')} identifier_hash, 'P' || substr(sender_wallet, 2)::int % 3 peer from momo where substr(sender_wallet, 2)::int % 4 = 0)
     select request_id, identifier_hash, peer from q join f using (identifier_hash) where request_id in (select request_id from q group by 1 having count(*) <= 500)""")
 def federation_lookup(v):
     n = F.substring("sender_wallet", 2, 30).cast("int")
     own = r.hashed(v.momo.select("sender_wallet").distinct(), "Wallet", "sender_wallet", "salt")
-    asked = own.select(F.concat(F.lit("Q"), F.floor(n / 300)).alias("request_id"), "identifier_hash")
+    asked = own.select(F.explode(F.array(F.concat(F.lit("Q"), F.floor(n / 300)), F.lit("all"))).alias("request_id"), "identifier_hash")
     flags = own.where(n % 4 == 0).select("identifier_hash", F.concat(F.lit("P"), n % 3).alias("peer"))
     return r.federation_lookup(asked, flags, 500).select("request_id", "identifier_hash", "peer")
 

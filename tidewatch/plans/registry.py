@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import base, content, extras, features, graph, learned, records, scoring, serving
+from tidewatch.plans import actions, base, content, extras, features, graph, learned, records, scoring, serving
 
-_ = content, extras, features, graph, learned, records, scoring, serving
+_ = actions, content, extras, features, graph, learned, records, scoring, serving
 
 
 def queries() -> dict:
