@@ -15,7 +15,11 @@ REJECTED = 0.3  # toxicity from which on a document goes
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below the limit, as they were."""
+    """Documents whose toxicity is below the limit, as they were.
+
+    Whole texts are rated, however long; null and empty texts are rated as empty ones. Rows equal in text are rated alike.
+    The scorer is fitted on labelled rows of docs, whose doc_ids may be null or repeated. An empty table stays empty.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc() % 4 != 2)
     return docs.where(toxicity.rating(docs, model) < REJECTED)
 
@@ -52,7 +56,11 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item. Rows are told apart by doc_id, null or not, and text."""
+    """Documents without any window of a benchmark item. Rows are told apart by doc_id, null or not, and text.
+
+    Null and empty texts have no words and stay; very long texts are searched in parts that overlap by a window. Rows equal
+    in doc_id and text stay or go together. An empty table, or an empty benchmark, leaves all as they are.
+    """
     hit = decontaminate.row_hits(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
     names = docs.withColumn("__own", _row())
     return names.join(hit.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__row")), "left_anti").select(*docs.columns)
@@ -64,7 +72,11 @@ def _row():
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents left and their places in the sequences."""
+    """The pieces of the documents left and their places in the sequences.
+
+    A null text is an empty one: a piece of the end token alone. Rows that repeat a doc_id are packed each. Long texts are cut
+    into pieces of a whole sequence and one that may be shorter. An empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 
@@ -82,7 +94,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir, each written as Parquet and read again."""
+    """The stages over the documents of sf_dir, each written as Parquet in the shared folder and read again.
+
+    A stage that keeps nothing gives an empty table, which the next takes. Columns beyond those of documents stay up to the
+    packing.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
