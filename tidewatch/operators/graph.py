@@ -134,6 +134,10 @@ class Rounds:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str) -> None:
+        """The last table of this name is not wanted: the next takes its place, and the one before stays."""
+        self.turn[name] = 1 - self.turn[name]
+
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component: the smallest id reachable over (src, dst) links; ids without links to others are absent.
