@@ -1,6 +1,7 @@
 """Names against a watchlist with aliases: the token index finds what comparing all pairs finds."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -70,3 +71,17 @@ def test_common_sound_does_not_mean_all_pairs():
     listed = [(k, s, m, k.split(" "), (i, k)) for i, k in enumerate(rows)]
     found = names.compare([(k, s, m, k.split(" ")) for k in rows[:100]], listed, 0.85, True)
     assert all(x[1] == x[0] and x[2] == 1.0 for x in found) and np.mean([x[3] for x in found]) < len(rows) / 3
+
+
+def test_jaro_winkler_of_many_is_that_of_each_and_faster():
+    rng = random.Random(8)
+    word = lambda most: "".join(rng.choice("abcdé\0ß中😀") for _ in range(rng.randrange(most)))
+    pairs = [(word(12), word(12)) for _ in range(20000)] + [(word(70), word(70)) for _ in range(300)] + [("", ""), ("", "a"), ("a", ""), ("a", "a"), ("a", "b"), ("é" * 60, "é" * 60)]
+    a, b = map(list, zip(*pairs))
+    began = time.process_time()
+    each = [names.jaro_winkler(x, y) for x, y in pairs]
+    between = time.process_time()
+    many = names.jaro_winkler_all(a, b).tolist()
+    assert many == each
+    assert 2 * (time.process_time() - between) < between - began
+    assert len(names.jaro_winkler_all([], [])) == 0

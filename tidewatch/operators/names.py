@@ -104,9 +104,49 @@ def match(query: list[str], other: list[str], similarity=jaro_winkler) -> float:
     return min(1.0, 0.7 * sum(best) / len(best) + bonus)
 
 
+LONG = 48  # characters of a word from which on pairs are compared one by one
+
+
+def jaro_winkler_all(a: list[str], b: list[str]) -> np.ndarray:
+    """jaro_winkler of each pair. Pairs of like length are compared at once, a character of all first words at a time."""
+    out = np.zeros(len(a))
+    n, m = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    size = np.maximum(n, m)
+    for i in np.flatnonzero(size > LONG):
+        out[i] = jaro_winkler(a[i], b[i])
+    for low in range(0, LONG, 4):
+        near = np.flatnonzero((size > low) & (size <= low + 4))
+        for at in np.split(near, range(8192, len(near), 8192)):
+            if len(at):
+                out[at] = _jaro_winkler_block([a[i] for i in at], [b[i] for i in at], n[at], m[at], low + 4)
+    out[size == 0] = 1.0  # both empty
+    return out
+
+
+def _jaro_winkler_block(a: list[str], b: list[str], n: np.ndarray, m: np.ndarray, width: int) -> np.ndarray:
+    x, y = (np.array(s, f"U{width}").view(np.uint32).reshape(len(s), width) for s in (a, b))
+    place = np.arange(width)
+    reach, free, matched = np.maximum(n, m) // 2 - 1, place < m[:, None], np.zeros(x.shape, bool)
+    for i in range(width):
+        fits = free & (y == x[:, i, None]) & (np.abs(place - i) <= reach[:, None]) & (i < n)[:, None]
+        j, matched[:, i] = fits.argmax(axis=1), fits.any(axis=1)
+        rows = np.flatnonzero(matched[:, i])
+        free[rows, j[rows]] = False
+    taken, pairs = ~free & (place < m[:, None]), matched.sum(axis=1)
+    # the matched characters of both in their order
+    first, second = (np.take_along_axis(s, np.argsort(~k, axis=1, kind="stable"), axis=1) for s, k in ((x, matched), (y, taken)))
+    moved = ((first != second) & (place < pairs[:, None])).sum(axis=1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        j = np.where(pairs > 0, (pairs / n + pairs / m + (pairs - moved) / pairs) / 3, 0.0)
+    equal = (n == m) & ((x == y) | (place >= n[:, None])).all(axis=1)
+    j = np.where(equal, 1.0, j)
+    same = np.cumprod((x == y)[:, :4] & (place[:4] < np.minimum(n, m)[:, None]), axis=1).sum(axis=1)
+    return j + same * 0.1 * (1 - j)
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b)], dtype=float)
+    return pd.Series(jaro_winkler_all(a.tolist(), b.tolist()), dtype=float)
 
 
 @F.pandas_udf(T.StructType([T.StructField("soundex", T.StringType()), T.StructField("metaphone", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType()))]))
