@@ -44,15 +44,15 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document is a doc_id with a text: rows equal in both stay or go together, texts that share a doc_id are compared
     like any others. Rows without a doc_id take no part and all stay.
     """
-    names = docs.withColumns({"__id": F.col("doc_id"), "__row": _row()})
-    order = names.where("__id is not null").select("__id", "__row").distinct().orderBy("__id", "__row")
-    # numbers that rise with doc_id, one for each document
-    order = materialize(order.withColumn("__n", F.monotonically_increasing_id()), "numbers")
-    own = names.withColumnsRenamed({"__id": "__a", "__row": "__b"}).join(order.hint("shuffle_hash"), F.expr("__a = __id and __b = __row"), "left")
-    own = materialize(own.select(*docs.columns, "__n"), "numbered")
-    kept = minhash.components(own.select(F.col("__n").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    out = own.where("__n is not null").join(kept.hint("shuffle_hash"), F.col("__n") == F.col("__kept"), "left_semi")
-    return out.unionByName(own.where("__n is null")).select(*docs.columns)
+    # rows get numbers where they stand, so texts are not moved for them; one document's rows are equal in id and hash
+    own = materialize(docs.withColumns({"__n": F.monotonically_increasing_id(), "__row": _row()}), "numbered")
+    named = own.where("doc_id is not null")
+    found = minhash.components(named.select(F.col("__n").alias("doc_id"), "text")).select(F.col("doc_id").alias("__m"), "component_id")
+    found = found.join(named.select(F.col("__n").alias("__m"), F.struct("doc_id", "__row").alias("document")), "__m")
+    first = found.groupBy("component_id").agg(F.min("document").alias("document"))
+    kept = found.join(first, ["component_id", "document"]).select("__m")
+    out = named.join(kept.hint("shuffle_hash"), F.col("__n") == F.col("__m"), "left_semi")
+    return out.unionByName(own.where("doc_id is null")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

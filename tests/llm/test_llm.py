@@ -651,3 +651,17 @@ def test_pipeline_keeps_rows_apart(spark, tmp_path):
     rows = [(None, item), (None, a), (None, None), (7, b + " " + item), (7, b), (7, None)]
     got = [tuple(r) for r in p.drop_leaks(spark, frame(spark, rows), str(tmp_path)).collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(None, a), (None, None), (7, b), (7, None)]))
+
+
+def test_near_dedup_numbers_rows_without_moving_texts(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+
+    plans, own = [], common.materialize
+    monkeypatch.setattr(p, "materialize", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), own(df, name))[1])
+    a = " ".join(words(60, 35))
+    # copies of one document stay or go together, wherever they stand; the smallest doc_id of a component stays
+    rows = [(9, a), (4, a + " more"), (4, a + " more"), (-2, a + " yet more"), (-2, a + " yet more"), (7, ""), (7, "")]
+    got = [tuple(r) for r in p.drop_near(spark, frame(spark, rows).repartition(3), str(tmp_path)).collect()]
+    assert sorted(got) == [(-2, a + " yet more")] * 2 + [(7, "")] * 2
+    got = p.drop_near(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), str(tmp_path))
+    assert got.count() > 0 and [x for x in plans if "text" in x[1]][-1][1].count("Exchange") == 0
