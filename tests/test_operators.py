@@ -227,3 +227,17 @@ def test_patterns_keep_their_greatest_score(spark):
     rows = [("A", "p", 0, 1, 0.8), ("A", "q", h, 2, 0.5), ("A", "p", 2 * h, 3, 0.1), ("B", "p", 0, 4, 0.9), ("B", "q", 20 * h, 5, 0.2), ("B", None, 20 * h, 6, 0.9)]
     got = {(r["agent"], r["pattern"]): (r["score"], r["n"]) for r in agents.pattern_profile(spark.createDataFrame(rows, "agent string, pattern string, ts_ms long, event_id long, score double")).collect()}
     assert got == {("A", "p"): (0.648, 2), ("A", "q"): (0.45, 1), ("B", "p"): (0.0, 1), ("B", "q"): (0.2, 1)}
+
+
+def test_templates_of_prefixed_texts_are_worked_out_once_a_document(spark, small):
+    from tidewatch.plans.content import lead, sms_template
+    from tidewatch.sources.views import Views
+
+    texts = ["", " ", "123 foo", "  7,500 and 0241234567", "foo 12", "+233241234567 x", "é  12.50\n", "<b> 1 ", "12345678901 5", "́x 3"]
+    df = spark.createDataFrame([(e, t) for e in range(6) for t in texts], "event_id long, text string").withColumn("lead", lead())
+    got = content.prefixed(F.col("lead"), content.collapse(content.nfc(F.col("text"))), content.template(content.nfc(F.col("text"))))
+    whole = content.nfc(F.concat("lead", "text"))
+    for r in df.select(*got, content.body_hash(whole), content.template(whole)).collect():
+        assert (r[0], r[1]) == (r[2], r[3])
+    plan = sms_template(Views(spark, small))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("ArrowEvalPython")
