@@ -541,6 +541,23 @@ def test_estimate():
     assert not minhash.linked(a, b) and minhash.linked(a, a[:75])
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_near_copies_that_do_not_link_cost_no_test_of_a_pair_alone(monkeypatch, blocks):
+    """Sets around the limit, most pairs below it: brute force has the same components; long sets are estimated first."""
+    r = random.Random(4)
+    base, tests = r.sample(range(10**6), 300), []
+    sets = [np.array(sorted({*r.sample(base, r.randint(225, 290)), *r.sample(range(10**6, 2 * 10**6), 20)}), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(120)]
+    sets, sides = [np.sort(s) for s in sets], [i % blocks if blocks > 1 else 2 for i in range(120)]
+    want = parts([(i, j) for i in range(120) for j in range(i) if (sides[i] != sides[j] or blocks == 1) and minhash.linked(sets[i], sets[j])])
+    estimate, linked = minhash.estimate, minhash.linked
+    monkeypatch.setattr(minhash, "estimate", lambda *a: tests.append(a) or estimate(*a))
+    monkeypatch.setattr(minhash, "linked", lambda *a: tests.append(a) or linked(*a))
+    got = minhash.spanning_links(list(range(120)), sets, sides)
+    assert parts(got) == want and len(got) == len(want) - len(set(want.values())) and 20 < len(want) and not tests
+    monkeypatch.setattr(minhash, "LONG", 280)
+    assert parts(minhash.spanning_links(list(range(120)), sets, sides)) == want and tests
+
+
 # 8: licenses
 
 

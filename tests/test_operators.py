@@ -149,6 +149,24 @@ def test_content(spark):
     assert out == "pay ghs<AMOUNT> to <MSISDN> code<AMOUNT>"
 
 
+def test_components_of_few_links_take_few_tasks(spark, monkeypatch):
+    """However many partitions a shuffle has: a round after the first writes a file for each core at most."""
+    made, write = [], graph.Rounds.write
+    monkeypatch.setattr(graph.Rounds, "write", lambda self, df, name: made.append(write(self, df, name)) or made[-1])
+    held = {"spark.sql.shuffle.partitions": "41", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        pairs = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(300) if i % 50 != 49]
+        got = graph.components(spark.createDataFrame(pairs, "src string, dst string")).collect()
+        assert {r["id"]: r["component"] for r in got} == {f"n{i:03d}": f"n{i // 50 * 50:03d}" for i in range(300)}
+        assert len(made) > 2 and all(len(df.inputFiles()) <= spark.sparkContext.defaultParallelism for df in made[-2:])
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_components_and_communities(spark):
     e = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x"), ("p", "q")]
     df = spark.createDataFrame(e, "src string, dst string")

@@ -14,6 +14,8 @@ from tidewatch.llm.common import connected_components, materialize, table
 
 SKETCH = 48  # retained values of a document
 SHARED = 0.375  # part of a full sketch, and of the union's, that a pair must share; a linked pair shares 0.75 on average, 1e-8 of them less
+LONG = 4096  # shingles from which on two sets are rated by their sketches before they are compared, one pair at a time
+GATHERED = 1 << 20  # shingles that are looked up at once
 BLOCK = 1_000_000  # shingles of a block, with 600 more for each document; a task compares two blocks at most
 
 
@@ -73,31 +75,46 @@ def spanning_links(ids: list, sets: list, sides: list, percent: int = 75, size:
     """A spanning forest of the links among these sets: all the connections, without all the pairs.
 
     sides: 0 and 1 are two blocks of which only pairs across count; 2 counts with all. Inverted lists of the retained
-    values count overlaps; pairs that are connected already are passed over; the union sketch estimates the others and
-    the full sets decide.
+    values count overlaps; pairs that are connected already are passed over; the full sets decide, those of many
+    candidates in one look-up. Of long sets the union sketch estimates the pair first.
     """
     order = np.lexsort((np.array(sides), np.array([len(s) for s in sets])))
     ids, sets, sides = [ids[i] for i in order], [sets[i] for i in order], np.array(sides)[order]
     low = [s[:size] for s in sets]
-    values, where = np.unique(np.concatenate(low), return_inverse=True)
+    _, where = np.unique(np.concatenate(low), return_inverse=True)
     cuts = np.cumsum([0, *map(len, low)])
-    shared = np.bincount(where, minlength=len(values)) > 1
-    lists: dict[int, list] = {}
+    by = np.argsort(where, kind="stable")  # entries by value, then set: the inverted lists
+    holders, place = np.repeat(np.arange(len(sets)), np.diff(cuts))[by], np.empty_like(by)
+    place[by] = np.arange(len(by))
+    begins = np.searchsorted(where[by], where)
+    short = np.array([len(s) <= LONG for s in sets])
+    codes = np.unique(np.concatenate([np.empty(0, np.uint64), *(s for s, own in zip(sets, short) if own)]), return_inverse=True)[1]
+    full = np.cumsum([0, *(len(s) * own for s, own in zip(sets, short))])
+    mark = np.zeros(len(codes), bool)
     n, label, links = np.array([len(s) for s in sets]), np.arange(len(sets)), []
     for i in range(len(sets)):
-        own = where[cuts[i] : cuts[i + 1]]
-        own = own[shared[own]]
-        before = [x for v in own if (x := lists.get(v))]
-        if before:
-            count = np.bincount(np.concatenate([np.array(x, np.int32) for x in before]), minlength=i)
-            need = np.maximum(1, (SHARED * np.minimum(n[:i], size)).astype(int))
-            js = np.flatnonzero((count[:i] >= need) & (100 * n[:i] >= percent * n[i]) & (label[:i] != label[i]) & ((sides[:i] != sides[i]) | (sides[i] == 2)))
-            for j in js[np.argsort(-count[js], kind="stable")]:
-                if label[i] != label[j] and estimate(low[i], low[j], size) >= SHARED and linked(sets[i], sets[j], percent):
+        before = [holders[a:b] for a, b in zip(begins[cuts[i] : cuts[i + 1]], place[cuts[i] : cuts[i + 1]]) if a < b]
+        if not before:
+            continue
+        count = np.bincount(np.concatenate(before), minlength=i)
+        need = np.maximum(1, (SHARED * np.minimum(n[:i], size)).astype(int))
+        js = np.flatnonzero((count[:i] >= need) & (100 * n[:i] >= percent * n[i]) & (label[:i] != label[i]) & ((sides[:i] != sides[i]) | (sides[i] == 2)))
+        js, many = js[np.argsort(-count[js], kind="stable")], 4
+        if len(js) and short[i]:
+            mark[codes[full[i] : full[i + 1]]] = True
+        while len(js):  # few at first, as a link spares the pairs that it connects
+            now, js = js[:many], js[many:]
+            many = min(4 * many, max(1, GATHERED // n[i]))
+            if short[i]:  # and so are those before it
+                both = np.add.reduceat(mark[np.concatenate([codes[full[j] : full[j + 1]] for j in now])], np.cumsum([0, *n[now[:-1]]]), dtype=np.int64)
+                now = now[100 * both >= percent * (n[i] + n[now] - both)]
+            for j in now:
+                if label[i] != label[j] and (short[i] or estimate(low[i], low[j], size) >= SHARED and linked(sets[i], sets[j], percent)):
                     links.append((ids[i], ids[j]))
                     label[label == label[i]] = label[j]
-        for v in own:
-            lists.setdefault(v, []).append(i)
+            js = js[label[js] != label[i]]
+        if short[i]:
+            mark[codes[full[i] : full[i + 1]]] = False
     return links
 
 

@@ -114,6 +114,9 @@ def edge_weights(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("weight")).where("a <> b")
 
 
+LEAST = 50_000  # links from which on another task is worth it
+
+
 class Rounds:
     """Tables of a loop, written as Parquet in the shared folder (spark.checkpoint.dir) so that lineage is cut and a lost
     executor costs its running tasks only. Each name has two places, written in turn, so old rounds take no room."""
@@ -144,20 +147,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps until nothing changes. Each is a partially aggregated minimum and an equi
     join, so a hub with very many neighbours is pre-aggregated in the first and split by the skew join in the second. The
-    number of rounds grows with the logarithm of the longest chain.
+    number of rounds grows with the logarithm of the longest chain. Few links, of which no round makes more, go to few
+    tasks, with at most some LEAST each, however many partitions a shuffle has.
     """
     rounds = Rounds(edges.sparkSession)
     pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     pairs = rounds.write(pairs, "links")
     mark = _mark(pairs)
     while mark[0]:
+        tasks = max(edges.sparkSession.sparkContext.defaultParallelism, 2 * mark[0] // LEAST)  # links stand in both directions
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = large.join(low, "u").coalesce(tasks)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        pairs = rounds.write(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        pairs = rounds.write(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(tasks), "links")
         old, mark = mark, _mark(pairs)
         if mark == old:
             break
