@@ -6,6 +6,7 @@ import itertools
 import os
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -407,6 +408,40 @@ def test_near_lines_lose_no_pair(spark, monkeypatch, hot, block):
     assert got == want if hot == 64 else parts(got) == parts(want)
 
 
+def test_keys_are_probes_of_segments_hashed_row_by_row(spark):
+    """Three segments, the last ones longer by one; and no array of hashes, whose code would be too long to compile."""
+    texts = ["abcdefghijklmnopqrst", "abcdefghijklmnopqrstu", "\u00e4bc\u5b8c\U0001f600fghijklmnopqrstuv"]
+    got = lines.keys(frame(spark, [(i, t) for i, t in enumerate(texts)], "id long, line string").withColumn("length", F.length("line")))
+    assert "array(xxhash64" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for k, t in enumerate(texts):
+        for side, i, less, shift in lines.probes():
+            base, more = divmod(len(t) - less, 3)
+            sizes = [base + (j >= 3 - more) for j in range(3)]
+            start = sum(sizes[:i]) + shift
+            want.append((k, i, len(t) - less, t[start : start + sizes[i]], side))
+    want = frame(spark, want, "id long, i int, n int, part string, side int").select("id", F.xxhash64("i", "n", "part").alias("key"), F.col("side").cast("byte"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 36
+
+
+def test_automaton_passes_over_the_rest_once_nothing_can_come(spark):
+    """400 pairs of long lines that differ from the start take a small part of the time of as many near ones."""
+    r = random.Random(3)
+    far = [(("".join(r.choice("abcdef") for _ in range(900))), "".join(r.choice("ghijkl") for _ in range(900))) for _ in range(40)]
+    near = [(x, x[:450] + "z" + x[451:]) for x, _ in far]
+
+    def took(rows):
+        df = spark.createDataFrame(rows * 10, "x string, y string").select(F.split("x", "").alias("x"), F.split("y", "").alias("y")).coalesce(1)
+        df = common.materialize(df, "split")  # else a filter splits again for each character
+        began = time.time()
+        n = df.where(lines.within()).count()
+        return n, time.time() - began
+
+    took(far)
+    (n, fast), (m, slow) = took(far), took(near)
+    assert (n, m) == (0, 400) and fast < slow / 2
+
+
 def parts(pairs):
     low = {}
     find = lambda x: x if low.setdefault(x, x) == x else find(low[x])

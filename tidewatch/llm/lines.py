@@ -17,18 +17,6 @@ SENT = 1_000_000  # ids of candidate lines that may travel to every task (8 byte
 HELD, ALIKE, LONGER = 3, 2, 1  # what a line is to a key: its own segment; a probe by a line as long; by a longer line
 
 
-def segments(length: Column, edits: int = EDITS) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of the edits + 1 segments of a line of this length; the last ones are longer by one."""
-    base = F.floor(length / (edits + 1)).cast("int")
-    long_ = length % (edits + 1)
-    out, at = [], F.lit(1)
-    for i in range(edits + 1):
-        own = base + F.when(F.lit(i) >= edits + 1 - long_, 1).otherwise(0)
-        out.append((at, own))
-        at = at + own
-    return out
-
-
 def probes(edits: int = EDITS) -> list[tuple[int, int, int, int]]:
     """(side, segment, how much shorter, shift) of the substrings of a line that can equal a segment of a line as long or
     shorter.
@@ -46,11 +34,19 @@ def probes(edits: int = EDITS) -> list[tuple[int, int, int, int]]:
     return sorted(out, key=lambda x: -x[0])
 
 
-def keys(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """An array of the keys of probes(): a hash of the segment's number, the length of the line that has it and the
-    characters. Lines must have 2 * edits + 1 characters at least, so that every probe lies inside."""
-    parts = {less: segments(length - less, edits) for less in range(edits + 1)}
-    return F.array(*[F.xxhash64(F.lit(i), length - less, F.substring(line, parts[less][i][0] + shift, parts[less][i][1])) for _, i, less, shift in probes(edits)])
+def keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """id, key, side of lines (id, line, length): a row for each of probes(), whose key is a hash of the segment's number,
+    the length of the line that has it and the characters. Of the edits + 1 segments of a line the last ones are longer by
+    one. Lines must have 2 * edits + 1 characters at least, so that every probe lies inside.
+
+    The probes are rows before they are hashed: an array of all their hashes is too much code for one compiled method.
+    """
+    table = [F.struct(F.lit(side).cast("byte").alias("side"), F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for side, i, less, shift in probes(edits)]
+    each = lines.select("id", "line", "length", F.inline(F.array(*table)))
+    base = f"cast((length - less) div {edits + 1} as int)"
+    late = f"i - {edits + 1} + (length - less) % {edits + 1}"  # from 0 on: how many longer segments stand before it
+    part = F.expr(f"substring(line, 1 + shift + i * {base} + greatest(0, {late}), {base} + if({late} >= 0, 1, 0))")
+    return each.select("id", F.xxhash64("i", F.expr("length - less"), part).alias("key"), "side")
 
 
 def within(x: str = "x", y: str = "y", edits: int = EDITS) -> Column:
@@ -62,7 +58,8 @@ def within_sql(x: str = "x", y: str = "y", edits: int = EDITS) -> str:
 
     Bit i of word r_e: the first j characters of x match the first j - edits + i of y with e edits. The words move along
     the diagonal, so a match and a substitution keep a bit's place, an insertion moves it down and a deletion up; the
-    band of 2 * edits + 1 bits is all that can matter. Each step of the fold is one character of x.
+    band of 2 * edits + 1 bits is all that can matter. Each step of the fold is one character of x. The last word holds the
+    bits of the others; once it is empty nothing can come any more, and the rest of x is passed over.
     """
     mask = (1 << (2 * edits + 1)) - 1
     start = ", ".join(f"{((1 << (e + 1)) - 1) << edits & mask} as r{e}" for e in range(edits + 1))
@@ -71,7 +68,7 @@ def within_sql(x: str = "x", y: str = "y", edits: int = EDITS) -> str:
     for e in range(1, edits + 1):
         new.append(f"((a.r{e} & m | a.r{e - 1} | shiftright(a.r{e - 1}, 1) | shiftleft({new[-1]}, 1)) & {mask})")
     step = f"transform(array({match}), m -> named_struct({', '.join(f"'r{e}', {own}" for e, own in enumerate(new))}))[0]"
-    folded = f"aggregate(sequence(0, size({x}) - 1), struct({start}), (a, j) -> {step}, a -> a.r{edits})"
+    folded = f"aggregate(sequence(0, size({x}) - 1), struct({start}), (a, j) -> if(a.r{edits} = 0, a, {step}), a -> a.r{edits})"
     near = f"abs(size({x}) - size({y})) <= {edits}"
     return f"case when not {near} then false when size({x}) = 0 or size({y}) = 0 then {near} else shiftright({folded}, size({y}) - size({x}) + {edits}) & 1 = 1 end"
 
@@ -104,9 +101,7 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFra
     belong to one line and go at once. Keys with few pairs are joined. Where a key would make many pairs its lines are
     compared in blocks, so that no row is made for a pair (_in_blocks).
     """
-    sides = [x[0] for x in probes(edits)]
-    side = F.when(F.col("pos") < sides.count(HELD), HELD).when(F.col("pos") < sides.count(HELD) + sides.count(ALIKE), ALIKE).otherwise(LONGER)
-    dealt = lines.select("id", keys(F.col("line"), F.col("length"), edits).alias("keys")).select("id", F.posexplode("keys").alias("pos", "key")).select("id", "key", side.cast("byte").alias("side")).repartition("key")
+    dealt = keys(lines, edits).repartition("key")
     live = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("side").alias("top")).where(f"low <> high and top = {HELD}")
     met = materialize(dealt.join(live.select("key").hint("shuffle_hash"), "key").groupBy("key", "id").agg(F.max("side").alias("side")), "met")
     sizes = met.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("side") == HELD).alias("held"))
