@@ -576,6 +576,15 @@ def test_estimate():
     assert not minhash.linked(a, b) and minhash.linked(a, a[:75])
 
 
+def test_letter_counts_make_no_object_for_each_code_in_the_driver(spark, monkeypatch):
+    kind = type(spark.range(0))
+    for name in ("collect", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(kind, name, lambda *a: pytest.fail("rows became objects"))
+    got = toxicity.letter_counts(frame(spark, [(1, "abcde"), (2, "ABCD"), (3, None)]))
+    code = lambda x: sum((ord(c) - 96) * 27**i for i, c in enumerate(reversed(x)))
+    assert got.dtype == np.int64 and len(got) == 27**toxicity.ORDER and (got[code("abcd")], got[code("bcde")], got[code("dcba")]) == (2, 1, 0)
+
+
 @pytest.mark.parametrize("blocks", [1, 2])
 def test_near_copies_that_do_not_link_cost_no_test_of_a_pair_alone(monkeypatch, blocks):
     """Sets around the limit, most pairs below it: brute force has the same components; long sets are estimated first."""
