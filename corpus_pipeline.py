@@ -48,7 +48,8 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = materialize(docs.withColumns({"__n": F.monotonically_increasing_id(), "__row": _row()}), "numbered")
     named = own.where("doc_id is not null")
     found = minhash.components(named.select(F.col("__n").alias("doc_id"), "text")).select(F.col("doc_id").alias("__m"), "component_id")
-    found = found.join(named.select(F.col("__n").alias("__m"), F.struct("doc_id", "__row").alias("document")), "__m")
+    # written, as it is read twice below: the driver would hold the plan of all that made it twice over, anew at each stage's end
+    found = materialize(found.join(named.select(F.col("__n").alias("__m"), F.struct("doc_id", "__row").alias("document")), "__m"), "members")
     first = found.groupBy("component_id").agg(F.min("document").alias("document"))
     kept = found.join(first, ["component_id", "document"]).select("__m")
     out = named.join(kept.hint("shuffle_hash"), F.col("__n") == F.col("__m"), "left_semi")

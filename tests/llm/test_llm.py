@@ -7,6 +7,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -585,6 +586,27 @@ def test_letter_counts_make_no_object_for_each_code_in_the_driver(spark, monkeyp
     assert got.dtype == np.int64 and len(got) == 27**toxicity.ORDER and (got[code("abcd")], got[code("bcde")], got[code("dcba")]) == (2, 1, 0)
 
 
+def test_scorer_is_fitted_without_numbers_of_8_bytes_for_each_entry(monkeypatch):
+    """Beyond the rows themselves the driver holds little more than an entry's id, row and value; chunks change no weight."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(2000):
+        toxic = int(k % 5 == 0)
+        ids = np.unique(np.append(rng.integers(100, 4000, 600), rng.integers(0, 30, 6 * toxic))).astype(np.int32)
+        rows.append((toxic, ids, rng.integers(1, 256, len(ids)).astype(np.uint8)))
+    tracemalloc.start()
+    try:
+        scorer = toxicity.Scorer(rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 * sum(len(r[1]) for r in rows)
+    assert len(scorer.weights) > 10 and set(scorer.weights) <= set(range(30))
+    monkeypatch.setattr(toxicity, "CHUNK", 1 << 10)
+    assert (lambda s: (s.bias, s.weights))(toxicity.Scorer(rows)) == (scorer.bias, scorer.weights)
+    assert toxicity.Scorer([(0, rows[0][1][:0], rows[0][2][:0]), (1, rows[0][1], rows[0][2])]).weights == {}
+
+
 @pytest.mark.parametrize("blocks", [1, 2])
 def test_near_copies_that_do_not_link_cost_no_test_of_a_pair_alone(monkeypatch, blocks):
     """Sets around the limit, most pairs below it: brute force has the same components; long sets are estimated first."""
@@ -726,3 +748,12 @@ def test_near_dedup_numbers_rows_without_moving_texts(spark, tmp_path, monkeypat
     assert sorted(got) == [(-2, a + " yet more")] * 2 + [(7, "")] * 2
     got = p.drop_near(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), str(tmp_path))
     assert got.count() > 0 and [x for x in plans if "text" in x[1]][-1][1].count("Exchange") == 0
+
+
+def test_near_dedup_leaves_no_plan_that_holds_the_components_twice(spark, tmp_path):
+    """What is left after the components is read from a table, so the driver doesn't plan their making again and again."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = p.drop_near(spark, docs, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Relation") <= 5 and plan.count("Join") <= 3

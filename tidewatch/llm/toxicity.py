@@ -22,6 +22,7 @@ BITS = 26
 LEAST_GAIN = 8.0  # one is added while its score statistic is at least this
 ORDER = 4  # letters of the letter model's terms
 PART = 1 << 20  # characters that are counted together
+CHUNK = 1 << 17  # entries of the sample that are rated together
 
 # Letters that a mark or digit may stand for.
 LEET = {
@@ -257,24 +258,26 @@ class Scorer:
         if not 0 < share < 1:
             return
         self.bias = float(np.log(share / (1 - share)))
-        doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
-        ids, at, often = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True, return_counts=True)
-        keep = often[at] > 2
-        doc, at, value = doc[keep], at[keep], np.concatenate([r[2] for r in rows])[keep] / 255
+        ids, begins, doc, value = _by_id(rows)
+        # ids of about CHUNK entries at a time, so that no number of 8 bytes is made for each entry at once
+        cuts = np.unique(np.append(np.searchsorted(begins, np.arange(0, len(doc), CHUNK)), len(ids))).tolist()
         chosen: list[int] = []
         x, weight = np.ones((len(y), 1)), np.array([self.bias])
-        while True:
+        while len(ids):
             p = 1 / (1 + np.exp(-x @ weight))
-            gradient = np.bincount(at, (y - p)[doc] * value, len(ids))
-            spread = np.bincount(at, (p * (1 - p))[doc] * value**2, len(ids)) + 1.0
-            gain = np.maximum(gradient, 0) ** 2 / spread
+            rest, spread = y - p, p * (1 - p)
+            gain = np.zeros(len(ids))
+            for a, b in zip(cuts, cuts[1:]):
+                at, own = np.repeat(np.arange(b - a), np.diff(begins[a : b + 1])), slice(begins[a], begins[b])
+                d, v = doc[own], value[own] / 255
+                gain[a:b] = np.maximum(np.bincount(at, rest[d] * v, b - a), 0) ** 2 / (np.bincount(at, spread[d] * v**2, b - a) + 1.0)
             gain[chosen] = 0
             top = int(gain.argmax())
             if gain[top] < LEAST_GAIN or len(chosen) >= FEATURES:
                 break
             chosen.append(top)
-            has = np.zeros(len(y))
-            has[doc[at == top]] = value[at == top]
+            has, own = np.zeros(len(y)), slice(begins[top], begins[top + 1])
+            has[doc[own]] = value[own] / 255
             x = np.column_stack([x, has])
             weight = _newton(x, y, np.append(weight, 0.0))
         self.bias, self.weights = float(weight[0]), dict(zip(ids[chosen].tolist(), weight[1:].tolist()))
@@ -283,6 +286,23 @@ class Scorer:
         return float(1 / (1 + np.exp(-self.bias - sum(self.weights[i] * v for i, v in own.items()))))
 
 
+def _by_id(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ids that more than two rows have, where the entries of each begin (and all end), and each entry's row and value."""
+    packed, n = np.empty(sum(len(r[1]) for r in rows), np.uint64), 0
+    for k, (_, own, values) in enumerate(rows):  # id, row, value in one number, sorted where they stand
+        packed[n : n + len(own)] = own.astype(np.uint64) << np.uint64(32) | np.uint64(k << 8) | values
+        n += len(own)
+    packed.sort()
+    low = packed.astype(np.uint32)
+    packed >>= np.uint64(32)
+    own = packed.astype(np.int32)
+    del packed
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if n else np.empty(0, np.int64)
+    often = np.diff(np.append(starts, n))
+    ids, low = own[starts[often > 2]], low[np.repeat(often > 2, often)]
+    return ids, np.append(0, np.cumsum(often[often > 2])), low >> np.uint32(8), low.astype(np.uint8)
+
+
 def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-6
@@ -304,8 +324,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE) -
             rows = [sorted(every.of(t).items()) for t in pdf["text"]]
             yield pd.DataFrame({"label": pdf["label"], "ids": [np.array([i for i, _ in r], np.int32).tobytes() for r in rows], "values": [bytes(round(255 * v) for _, v in r) for r in rows]})
 
-    got = sample(docs, labels, "toxic", learn, rows).mapInPandas(run, "label int, ids binary, values binary").collect()
-    got = sorted((r["label"], bytes(r["ids"]), bytes(r["values"])) for r in got)
+    got = sample(docs, labels, "toxic", learn, rows).mapInPandas(run, "label int, ids binary, values binary").toArrow()
+    got = sorted(zip(*(got[c].to_pylist() for c in ("label", "ids", "values"))))
     return decoder, Scorer([(y, np.frombuffer(i, np.int32), np.frombuffer(v, np.uint8)) for y, i, v in got])
 
 
